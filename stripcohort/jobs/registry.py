@@ -1,9 +1,15 @@
 """Every query of the library with its SQL."""
 
+from __future__ import annotations
+
+from stripcohort.jobs import cohort
+
+MODULES = (cohort,)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: s for m in MODULES for name, s in m.SQL.items()}
