@@ -58,7 +58,7 @@ def _offsets(docs: DataFrame, chunks: int) -> DataFrame:
     return within.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c"))).select("doc_id", "source", "size", (F.col("start") + F.col("inner")).alias("at"))
 
 
-def permuted(index: Column, n: Column, key: list[Column], rounds: int = 16) -> Column:
+def permuted(index: Column, n: Column, key: list[Column], rounds: int = 8) -> Column:
     """index of 0..n-1 under a pseudorandom permutation: swap-or-not rounds, exact for any n."""
 
     def step(x: Column, r: Column) -> Column:
@@ -93,7 +93,9 @@ def draw_slots(by_source: DataFrame, block_words: int, shard_blocks: int, seed:
     runs = numbered.withColumn("to", F.least(F.col("from") + F.col("n"), F.col("quota"))).filter(F.col("from") < F.col("to"))
     # long runs are cut before they are numbered one by one
     cut = runs.withColumn("from", F.explode(F.expr(f"sequence(from, to - 1, {shard_blocks}L)"))).withColumn("to", F.least(F.col("to"), F.col("from") + shard_blocks))
-    slots = cut.repartition("source", "from").select("source", "shard", "blocks", F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("i"))
+    # so many tasks however few bytes the runs are
+    tasks = max(1, min(total // 100_000 + 1, 20_000))
+    slots = cut.repartition(tasks, "source", "from").select("source", "shard", "blocks", F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("i"))
     turn = F.floor(F.col("i") / F.col("blocks"))
     block = permuted(F.col("i") % F.col("blocks"), F.col("blocks"), [F.lit(seed), F.coalesce("source", F.lit("\x00")), turn])
     return slots.select("source", block.alias("block"), "shard", turn.alias("pass"))
@@ -105,7 +107,8 @@ def mix(docs: DataFrame, block_words: int = 64, shard_blocks: int = 4096, seed:
     First frame: doc_id, source, size, at (place in the source's stream), source_size, target. Second: source, block,
     shard, pass; block b holds the words b * block_words and on of its source's stream.
     """
-    base = durable(_offsets(docs.select("doc_id", "source", sizes(docs).alias("size")), chunks))
+    counted = durable(docs.select("doc_id", "source", sizes(docs).alias("size")))
+    base = durable(_offsets(counted, chunks))
     by_source = durable(targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), **weights))
     side = sized(by_source.withColumnRenamed("source", "s"))
     return base.join(side, F.col("source").eqNullSafe(F.col("s"))).drop("s"), draw_slots(by_source, block_words, shard_blocks, seed)
