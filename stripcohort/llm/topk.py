@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from stripcohort.llm.common import durable
 
-PAGE = 32
+PAGE = 128
 SLACK = 1e-9
 
 
@@ -45,6 +45,8 @@ class Space:
 
     def __init__(self, most: int, width: int) -> None:
         self.most, self.width = most, width
+        # sums of products up to 2**53 are exact as doubles, whose products are faster
+        self.exact = np.float64 if most < 1 << 52 else np.int64
 
     def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Of lifted vectors (data) with each other."""
@@ -97,10 +99,12 @@ def search(tree: dict, query: int, q: np.ndarray, pivot_far: float, k: int, floo
             break
         s, e = tree["start"][p], tree["start"][p + 1]
         some = np.flatnonzero(np.abs(at - tree["own"][s:e]) <= limit()) + s
-        for i, score in zip(some, tree["v"][some] @ q, strict=True):
-            if tree["ids"][i] == query or score < floor:
-                continue
-            entry = (int(score), -int(tree["ids"][i]))
+        score = tree["v"][some] @ q
+        fit = (score >= (max(best[0][0], floor) if len(best) == k else floor)) & (tree["ids"][some] != query)
+        some, score = tree["ids"][some][fit], score[fit]
+        # no more than k of a page can be among the k best
+        for i in np.lexsort((some, -score))[:k]:
+            entry = (int(score[i]), -int(some[i]))
             if len(best) < k:
                 heapq.heappush(best, entry)
             elif entry > best[0]:
@@ -151,10 +155,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 64, tr
             out = []
             for _, row in b.iterrows():
                 tree = {c: np.asarray(row[c]) for c in ("ids", "own", "start", "radius", "parent")}
-                tree |= {c: np.asarray(row[c]).reshape(-1, space.width) for c in ("v", "router")}
+                tree |= {c: np.asarray(row[c]).reshape(-1, space.width).astype(space.exact) for c in ("v", "router")}
                 pivot = centres[row["pivot"]]
                 for x in row["queries"]:
-                    q = np.zeros(space.width, np.int64)
+                    q = np.zeros(space.width, space.exact)
                     q[: len(x["qv"])] = x["qv"]
                     far = space.from_query(int(q @ q), pivot[None] @ q)[0]
                     floor = -np.inf if x["floor"] is None or x["floor"] != x["floor"] else x["floor"]
