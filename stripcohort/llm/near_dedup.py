@@ -108,8 +108,11 @@ def _rest_linked(live: DataFrame, sets: DataFrame, percent: int, block: int = 25
     Buckets that overlap are one family. Each family is dealt into blocks of a bounded number of nodes
     and shingles, and each pair of blocks is one small task: every pair is compared, yet no rows of pairs are made.
     """
-    centre = live.groupBy("key").agg(F.min("sid").alias("a"))
-    family = components(live.join(centre, "key").filter("sid <> a").select("a", F.col("sid").alias("b")).distinct())
+    centre = live.groupBy("key").agg(F.min("sid").alias("c"))
+    # a node hangs on its least centre alone, and that centre on the node's others: few edges however many buckets are shared
+    hung = live.join(centre, "key").groupBy("sid").agg(F.min("c").alias("a"), F.collect_set("c").alias("others"))
+    hung = hung.select("a", F.explode(F.array_union(F.array("sid"), F.col("others"))).alias("b"))
+    family = components(hung.filter("a <> b").distinct())
     nodes = live.select("sid", "root", "size").distinct().join(family.select(F.col("node").alias("sid"), F.col("root").alias("family")), "sid")
     parts = nodes.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") / block_grams)).cast("int").alias("parts"))
     dealt = nodes.join(parts, "family").join(sets, "sid").withColumn("at", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
