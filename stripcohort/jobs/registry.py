@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stripcohort.jobs import cohort
+from stripcohort.jobs import cohort, statistics
 
-MODULES = (cohort,)
+MODULES = (cohort, statistics)
 
 
 def queries() -> dict:
