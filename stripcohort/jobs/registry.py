@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stripcohort.jobs import cohort, statistics
+from stripcohort.jobs import cohort, imaging, statistics
 
-MODULES = (cohort, statistics)
+MODULES = (cohort, imaging, statistics)
 
 
 def queries() -> dict:
