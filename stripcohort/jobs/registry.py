@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stripcohort.jobs import cohort, imaging, statistics
+from stripcohort.jobs import cohort, comparisons, imaging, statistics
 
-MODULES = (cohort, imaging, statistics)
+MODULES = (cohort, comparisons, imaging, statistics)
 
 
 def queries() -> dict:

@@ -21,10 +21,40 @@ def benjamini_hochberg(tests: DataFrame, family: str, order: str = "id") -> Data
     return tests.withColumn("_s", step).withColumn("q", F.least(F.lit(1.0), F.min("_s").over(rise.rowsBetween(0, W.unboundedFollowing)))).drop("_s")
 
 
+def numbered(rows: DataFrame, stratum: str, order: Column, key: str, name: str) -> DataFrame:
+    """Adds the row's number (from 0) within its stratum by a hex hash, then key.
+
+    A stratum may hold half of all rows, so no task sorts one whole: it is cut at the hash's first three digits, and
+    each piece starts at the count of those before it (4096 counts per stratum).
+    """
+    cut = rows.withColumn("_h", order).withColumn("_b", F.substring("_h", 1, 3))
+    before = W.partitionBy(stratum).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    start = cut.groupBy(stratum, "_b").agg(F.count(F.lit(1)).alias("_n")).select(F.col(stratum).alias("_s"), F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_0"))
+    piece = F.row_number().over(W.partitionBy(stratum, "_b").orderBy("_h", key))
+    both = cut.withColumn("_r", piece).join(start, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_c")))
+    return both.withColumn(name, F.col("_r") - 1 + F.col("_0")).drop("_h", "_b", "_s", "_c", "_0", "_r")
+
+
+def seeded(seed: Column | int, key: str) -> Column:
+    """A row's place in the order of a seed: md5(seed|key)."""
+    return F.md5(F.concat_ws("|", F.lit(seed).cast("string") if isinstance(seed, int) else seed.cast("string"), F.col(key).cast("string")))
+
+
 def stratified_folds(rows: DataFrame, label: str, k: int = 5, seed: int = 42, key: str = "id") -> DataFrame:
     """fold 0..k-1: rows of a label in the order of md5(seed|id), dealt in turn."""
-    order = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
-    return rows.withColumn("fold", ((F.row_number().over(W.partitionBy(label).orderBy(order, key)) - 1) % k).cast("int"))
+    return numbered(rows, label, seeded(seed, key), key, "_at").withColumn("fold", (F.col("_at") % k).cast("int")).drop("_at")
+
+
+def repeated_folds(rows: DataFrame, label: str, repeats: int, k: int = 5, seed: int = 2026, key: str = "id") -> DataFrame:
+    """stratified_folds() once per repeat 0..repeats-1, whose seed is seed + repeat."""
+    each = rows.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1)))).withColumn("_of", F.concat_ws("|", "repeat", label))
+    return numbered(each, "_of", seeded(F.col("repeat") + seed, key), key, "_at").withColumn("fold", (F.col("_at") % k).cast("int")).drop("_at", "_of")
+
+
+def group_folds(rows: DataFrame, group: str, y: str, repeats: int, k: int = 5, seed: int = 2026) -> DataFrame:
+    """repeat, group, n, fold: repeated folds that keep a group whole, groups dealt within their majority label. Join rows to them by group."""
+    of = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), (2 * F.count_if(y) >= F.count(F.lit(1))).cast("int").alias("_y"))
+    return repeated_folds(of, "_y", repeats, k, seed, key=group).drop("_y")
 
 
 def geometry(circles: DataFrame) -> DataFrame:
