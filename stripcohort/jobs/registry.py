@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stripcohort.jobs import cohort, comparisons, imaging, statistics
+from stripcohort.jobs import blocks, cohort, comparisons, imaging, statistics
 
-MODULES = (cohort, comparisons, imaging, statistics)
+MODULES = (cohort, comparisons, imaging, statistics, blocks)
 
 
 def queries() -> dict:

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from stripcohort.operators import dist
+from stripcohort.operators import dist, rules
 
 #: The studentised range over sqrt(2) at 0.05 for 2 to 10 configurations.
 NEMENYI_Q = [1.960, 2.343, 2.569, 2.728, 2.850, 2.949, 3.031, 3.102, 3.164]
@@ -161,3 +161,10 @@ def ring_coordinates(points: DataFrame, pupil: tuple[float, float, float], iris:
     out = points.withColumn("s", F.when(c < 0, -1.0).otherwise(root))
     theta = F.atan2(F.col("y") - (py + F.col("s") * dy), F.col("x") - (px + F.col("s") * dx))
     return out.withColumn("theta", F.when(F.col("s") >= 0, F.when(theta < 0, theta + 2 * math.pi).otherwise(theta)))
+
+
+def effect(folds: DataFrame, config: str, baseline: str, fold: str, value: str, test_share: float) -> DataFrame:
+    """diff, t, p, k and p_holm of every configuration against the baseline, all classifiers of a fold averaged first."""
+    mean = folds.groupBy(config, fold).agg(F.avg(value).alias(value)).withColumn("_all", F.lit("all"))
+    tests = paired(mean, config, baseline, ["_all"], [fold], value, test_share)
+    return rules.holm(tests, "_all", config).drop("_all")
