@@ -78,7 +78,7 @@ def near_pairs(vectors: DataFrame, least: float = 0.97, tables: int = 48, bits:
     """a, b, r: pairs a < b of vectors (id, v) whose Pearson correlation is least or more.
 
     Candidates share the signs of `bits` random planes in one of `tables`; each is confirmed on the vectors. At 0.97 a
-    pair is missed with a chance of about 1 in a million. Equal strips are to be removed first (by their hash), since
+    pair is missed with a chance of about 1 in 100 million. Equal strips are to be removed first (by their hash), since
     they share every bucket. Vectors that are null or constant take no part.
     """
     mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.size("v")
