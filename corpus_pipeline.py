@@ -25,8 +25,12 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of near duplicates; rows without doc_id stay."""
-    gone = sized(near_dedup.near_duplicates(docs).filter("not kept and doc_id is not null").select("doc_id").distinct())
+    """The document with the least doc_id of each group of near duplicates; rows without doc_id stay.
+
+    Near are texts that share 80 % of their shingles of five words; op4's 85 % is its query's own. 13 collections
+    of 2 miss a pair at 80 % with a chance of about 0.4 in 10,000 (10 would miss 7).
+    """
+    gone = sized(near_dedup.near_duplicates(docs, percent=80, halves=13).filter("not kept and doc_id is not null").select("doc_id").distinct())
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

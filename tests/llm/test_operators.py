@@ -226,3 +226,17 @@ def test_pipeline_stages(spark):
     ids = {r["doc_id"] for r in docs.select("doc_id").collect()}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, DATA).collect()} == ids
     assert pq.read_table(f"{DATA}/documents.parquet").num_rows >= len(ids)
+
+
+def test_pipeline_drops_near_copies_from_80_percent(spark):
+    import corpus_pipeline
+
+    def pair(first, n, own):  # both have n words, the last ones differ
+        words = [f"w{first}x{i}" for i in range(n)]
+        return [" ".join(words), " ".join(words[:-own] + [f"v{first}x{i}" for i in range(own)])]
+
+    # n - 4 shingles each, of which n - 4 - own are shared: 40 of 50 (the very threshold), 41 of 49, 39 of 51
+    texts = pair(1, 49, 5) + pair(2, 49, 4) + pair(3, 49, 6)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect()} == {0, 2, 4, 5}
+    assert near_dedup.near_duplicates(docs).filter("kept").count() == 6
