@@ -21,22 +21,25 @@ CLASSES = (
     ("entropy_hex", r"(?<![0-9A-Za-z])(?=[0-9A-Fa-f]*[0-9])(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{20,}(?![0-9A-Za-z])", 20, 3.0),
     ("entropy_alnum", r"(?<![0-9A-Za-z])(?=[A-Za-z]*[0-9])(?=[0-9A-Fa-f]*[G-Zg-z])[0-9A-Za-z]{20,}(?![0-9A-Za-z])", 20, 3.6),
     ("entropy_base64", r"(?<![0-9A-Za-z+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])[0-9A-Za-z+/_-]{32,}={0,2}", 32, 4.2),
+    # without a digit: both cases, mixed beyond a capital at the start
+    ("entropy_letters", r"(?<![0-9A-Za-z])(?=[A-Za-z][a-z]*[A-Z])(?=[A-Z]*[a-z])[A-Za-z]{20,}(?![0-9A-Za-z])", 20, 3.7),
+    ("entropy_letters64", r"(?<![0-9A-Za-z+/_-])(?=[A-Za-z]*[+/_-])(?=[A-Za-z+/_-][a-z+/_-]*[A-Z])(?=[A-Z+/_-]*[a-z])[A-Za-z+/_-]{32,}(?![0-9A-Za-z+/_-])={0,2}", 32, 4.25),
 )
-#: Strings that look random and are none: identifiers in the form of a UUID, and values of examples.
-ALLOWED = (
-    r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"(?i).*(example|placeholder|dummy|sample|0123456789|abcdefghij).*",
-    r".*(.)\1{7}.*",
-)
+#: Candidates that look random as a whole and are none: identifiers in the form of a UUID.
+ALLOWED = (r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",)
+#: Parts of values of examples: windows that meet such a word, or hold so many equal characters in a row, don't count; the rest does.
+WORDS = r"(?i)example|placeholder|dummy|sample|0123456789|abcdefghij"
+EQUAL = 8
 
 
-def entropy_spans(text: str, start: int, end: int, window: int, least: float) -> tuple[int, int] | None:
+def entropy_spans(text: str, start: int, end: int, window: int, least: float, harmless: list[tuple[int, int]] = ()) -> tuple[int, int] | None:
     """The part of text[start:end] that windows of at least so many bits a character cover, from the first to the last.
 
+    Windows that begin before hi and end after lo of a harmless (lo, hi), sorted by lo, don't count.
     Counts change by one character in and one out as the window slides, and so does the sum of c * log2(c).
     """
     counts: dict[str, int] = {}
-    total, first, last = 0.0, -1, -1
+    total, first, last, at, clear = 0.0, -1, -1, 0, start
     for i in range(start, end):
         c = counts.get(text[i], 0)
         counts[text[i]] = c + 1
@@ -45,13 +48,16 @@ def entropy_spans(text: str, start: int, end: int, window: int, least: float) ->
             c = counts[text[i - window]]
             counts[text[i - window]] = c - 1
             total += ((c - 1) * math.log2(c - 1) if c > 1 else 0.0) - c * math.log2(c)
-        if i - start >= window - 1 and math.log2(window) - total / window >= least - 1e-9:
+        while at < len(harmless) and harmless[at][0] <= i:
+            clear = max(clear, harmless[at][1])
+            at += 1
+        if i - start >= window - 1 and i - window + 1 >= clear and math.log2(window) - total / window >= least - 1e-9:
             first = i - window + 1 if first < 0 else first
             last = i + 1
     return (first, last) if first >= 0 else None
 
 
-def scanner(kinds: tuple = KINDS, classes: tuple = CLASSES, allowed: tuple = ALLOWED) -> object:
+def scanner(kinds: tuple = KINDS, classes: tuple = CLASSES, allowed: tuple = ALLOWED, words: str = WORDS, equal: int = EQUAL) -> object:
     """text -> (base spans, spans of the entropy method), each (start, order of its kind, kind, end)."""
     any_case = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token"))
     assign = kinds[0][1].replace("password|passwd|secret|token|api_?key", any_case + "|[aA][pP][iI]_?[kK][eE][yY]")
@@ -61,18 +67,26 @@ def scanner(kinds: tuple = KINDS, classes: tuple = CLASSES, allowed: tuple = ALL
     more = [(len(kinds) + i, kind, re.compile(form), window, least) for i, (kind, form, window, least) in enumerate(classes)]
     candidate = re.compile(r"[0-9A-Za-z+/_-]{20,}={0,2}")
     allow = [re.compile(a) for a in allowed]
+    word_form, equal_form = re.compile(words), re.compile(r"(.)\1{%d,}" % (equal - 1))
+
+    def harmless(text: str, start: int, end: int) -> list[tuple[int, int]]:
+        """Words as they stand; rows of equal characters narrowed, so that only windows that hold enough of them meet them."""
+        met = [m.span() for m in word_form.finditer(text, start, end)]
+        return sorted(met + [(m.start() + equal - 1, m.end() - equal + 1) for m in equal_form.finditer(text, start, end)])
 
     def scan(text: str) -> tuple[list[tuple], list[tuple]]:
         known = [(m.start(), i, kind, m.end()) for i, kind, form, group, least in base for m in form.finditer(text) if len(m[group]) >= least]
         found = []
         for run in candidate.finditer(text):
             word = run[0]
-            if word.isalpha() or any(a.fullmatch(word) for a in allow):
+            if word.isalpha() and (word[1:].islower() or word.isupper()):
                 continue
             for i, kind, form, window, least in more:
                 for m in form.finditer(text, run.start(), run.end()):
-                    span = entropy_spans(text, m.start(), m.end(), window, least)
-                    if span and not any(a.fullmatch(m[0]) for a in allow):
+                    if any(a.fullmatch(m[0]) for a in allow):
+                        continue
+                    span = entropy_spans(text, m.start(), m.end(), window, least, harmless(text, m.start(), m.end()))
+                    if span:
                         found.append((span[0], i, kind, span[1]))
         return sorted(known), sorted(found)
 
@@ -84,7 +98,7 @@ def scan_secrets(docs: DataFrame, kinds: tuple = KINDS, classes: tuple = CLASSES
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind in the order
     listed. Base spans are the fixed forms; the entropy method adds its own, never on strings of the
-    allow-list, which doesn't touch base spans. A null text counts as empty: no spans, and the
+    allow-list and on windows without words of examples, which don't touch base spans. A null text counts as empty: no spans, and the
     digest of the empty string.
     """
 

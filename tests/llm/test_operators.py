@@ -240,3 +240,25 @@ def test_pipeline_drops_near_copies_from_80_percent(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, DATA).collect()} == {0, 2, 4, 5}
     assert near_dedup.near_duplicates(docs).filter("kept").count() == 6
+
+
+def test_secrets_beside_harmless_parts():
+    scan = secrets.scanner()
+    token = "hT7kQ2vX9sLmPq4Zr1Ye8Wb3"
+
+    def spans(text):
+        return [(kind, a, b) for a, _, kind, b in scan(text)[1]]
+
+    for before in ("--------", "/srv/samples/", "AAAAAAAAA/", "example"):
+        assert any(a <= len(before) + 4 and b == len(before + token) for _, a, b in spans(before + token)), before
+    line = "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZW"
+    assert spans(line)
+    rng = random.Random(7)
+    blob = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(600))
+    for part in ("AAAAAAAAA", "example"):
+        assert ("entropy_alnum", 0, 600 + len(part)) in spans(blob[:300] + part + blob[300:])
+    for letters in ("hTvkQzvXasLmPqcZrdYe", "hTvkQzvXasLmPqc/ZrdYewGbNuJfKoCx"):
+        assert [x[1:] for x in spans(f"x {letters} y")] == [(2, 2 + len(letters))]
+    # still none: values of examples, UUIDs, words
+    for text in ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "123E4567-e89b-12d3-a456-42661417400f", "Donaudampfschifffahrtsgesellschaft", "DONAUDAMPFSCHIFFFAHRTSGESELLSCHAFT", "-" * 80, "hT7kQ2vX9sLmPq4Zexample"):
+        assert not spans(text), text
