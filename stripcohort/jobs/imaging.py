@@ -53,11 +53,21 @@ def p1_channels(spark: SparkSession, d: str) -> DataFrame:
     body="select image_id, representation, channel, round(avg(case when channel = 'gray' then gray else g end), 6) as mean, count(*)::bigint as n from ch cross join reps group by 1, 2, 3",
 )
 def p14_fan_out(spark: SparkSession, d: str) -> DataFrame:
-    """Every image under every representation, read in its default channel."""
+    """The channel that every representation reads by default, and its mean before any transform."""
     out = photometric.fan_out(photometric.channels(views.pixels(spark, d)))
     return out.groupBy("image_id", "representation", "channel").agg(F.round(F.avg("value"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    more=CHANNELS + ", c as (select *, count(*) over (partition by image_id order by gray) as c, count(*) over (partition by image_id) as n from ch), z as (select *, min(c) over (partition by image_id) as c0 from c)",
+    body="""select image_id, 'original' as representation, row, col, gray as value from ch union all
+select image_id, 'histogram', row, col, cast(case when n = c0 then gray else round_even((c - c0) * 255e0 / (n - c0), 0) end as int) from z""",
+)
+def p14_transformed(spark: SparkSession, d: str) -> DataFrame:
+    """P14 as far as it is built: every image under every transform that exists."""
+    return photometric.transformed(photometric.channels(views.pixels(spark, d)))
+
+
 @query(more=PX + ", c as (select *, count(*) over (partition by image_id order by value) as c, count(*) over (partition by image_id) as n from px), z as (select *, min(c) over (partition by image_id) as c0 from c)", body="select image_id, row, col, cast(case when n = c0 then value else round_even((c - c0) * 255e0 / (n - c0), 0) end as int) as value from z")
 def p3_equalised(spark: SparkSession, d: str) -> DataFrame:
     return photometric.equalise(_plain(spark, d))

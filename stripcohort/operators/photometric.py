@@ -6,6 +6,8 @@ one shuffle by image serves a whole chain of operators.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ def channels(image: DataFrame) -> DataFrame:
 
 
 def fan_out(image: DataFrame) -> DataFrame:
-    """Each pixel once per representation, with the channel that it reads and its value. No shuffle: rows are exploded."""
+    """Each pixel once per representation, with the channel that it reads and that channel's value, before any transform. No shuffle: rows are exploded."""
     pairs = F.array(*[F.struct(F.lit(n).alias("representation"), F.lit(c).alias("channel"), F.col({"gray": "gray", "green": "g"}[c]).alias("value")) for n, c in REPRESENTATIONS.items()])
     return image.select("image_id", "row", "col", F.inline(pairs))
 
@@ -48,6 +50,17 @@ def equalise(image: DataFrame) -> DataFrame:
     return out.withColumn("value", new.cast("int")).drop("_c", "_n", "_0")
 
 
+#: The representations whose transform is built; the others' (P4-P9) are not, so they have no values.
+TRANSFORMS = {"original": lambda image: image, "histogram": equalise}
+
+
+def transformed(image: DataFrame) -> DataFrame:
+    """Each image under every transform that is built: image_id, representation, row, col, value (b, g, r, gray given)."""
+    every = fan_out(image)
+    each = [(name, f(every.filter(F.col("representation") == name).select("image_id", "row", "col", "value"))) for name, f in TRANSFORMS.items()]
+    return reduce(DataFrame.unionByName, [out.select("image_id", F.lit(name).alias("representation"), "row", "col", "value") for name, out in each])
+
+
 def min_max(image: DataFrame) -> DataFrame:
     """To 0..255, truncated; a constant image becomes 0."""
     lo, hi = F.min("value").over(of_image()), F.max("value").over(of_image())

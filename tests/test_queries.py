@@ -44,3 +44,15 @@ def test_auc_of_one_class_is_null(spark):
 
     rows = spark.createDataFrame([("k", True, 0.5), ("k", True, 0.7)], "k string, y boolean, score double")
     assert auc(rows, ["k"]).first()["auc"] is None
+
+
+def test_transformed_images_are_not_copies(spark):
+    from stripcohort.operators import photometric
+
+    gray = [10, 10, 20, 30, 30, 30, 40, 90]
+    rows = [(1, 0, i, v, v, v) for i, v in enumerate(gray)]
+    out = photometric.transformed(photometric.channels(spark.createDataFrame(rows, "image_id long, row int, col int, b int, g int, r int")))
+    got = {n: [r["value"] for r in out.filter(f"representation = '{n}'").orderBy("col").collect()] for n in photometric.REPRESENTATIONS}
+    assert got["original"] == gray
+    assert got["histogram"] == [0, 0, 42, 170, 170, 170, 212, 255]
+    assert {n for n, v in got.items() if v} == set(photometric.TRANSFORMS)  # a transform that isn't built has no rows
