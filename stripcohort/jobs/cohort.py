@@ -197,7 +197,9 @@ def a6_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _half(images: DataFrame, low: bool) -> DataFrame:
-    return images.filter(F.col("layout").isin([f"src{i}" for i in (range(10) if low else range(10, 20))]))
+    """Low: src0 to src9; high: every other layout, as in the SQL."""
+    in_low = F.col("layout").isin([f"src{i}" for i in range(10)])
+    return images.filter(in_low if low else ~in_low)
 
 
 LOW = "layout in (" + ", ".join(f"'src{i}'" for i in range(10)) + ")"

@@ -56,3 +56,11 @@ def test_transformed_images_are_not_copies(spark):
     assert got["original"] == gray
     assert got["histogram"] == [0, 0, 42, 170, 170, 170, 212, 255]
     assert {n for n, v in got.items() if v} == set(photometric.TRANSFORMS)  # a transform that isn't built has no rows
+
+
+def test_high_half_holds_every_other_layout(spark):
+    from stripcohort.jobs import cohort
+
+    rows = spark.createDataFrame([("src3",), ("src12",), ("src20",), ("host",)], "layout string")
+    assert {r[0] for r in cohort._half(rows, True).collect()} == {"src3"}
+    assert {r[0] for r in cohort._half(rows, False).collect()} == {"src12", "src20", "host"}
