@@ -13,7 +13,7 @@ from stripcohort.llm.common import table
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that more than a tenth of their source's documents contain."""
-    return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_lines", "n_dropped", "text")
+    return line_dedup.drop_boilerplate(table(spark, sf_dir, "documents")).select("doc_id", "source", "n_lines", "n_dropped", "emptied", "text")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,14 +65,14 @@ l as (select distinct rid, source, unnest(string_split(text, chr(10))) as line f
 n as (select source, line, count(*) as n from l where line <> '' group by source, line),
 t as (select source, count(*) as total from d group by source),
 f as (select n.source, list(n.line) as lines from n join t on n.source is not distinct from t.source
-      where n.n >= 5 and n.n > 0.1 * t.total group by n.source),
+      where n.n >= 2 and n.n > 0.1 * t.total group by n.source),
 x as (select d.*, string_split(text, chr(10)) as ls,
         list_filter(string_split(text, chr(10)), lambda y: y = '' or f.lines is null or not list_contains(f.lines, y)) as kept
       from d left join f on d.source is not distinct from f.source),
 y as (select *, coalesce(len(list_filter(ls, lambda y: y <> '')), 0) as n_lines, coalesce(len(list_filter(kept, lambda y: y <> '')), 0) as rest from x)
 select doc_id, source, cast(n_lines as bigint) as n_lines,
-  cast(case when rest > 0 then n_lines - rest else 0 end as bigint) as n_dropped,
-  case when rest > 0 and rest < n_lines then array_to_string(kept, chr(10)) else text end as text
+  cast(n_lines - rest as bigint) as n_dropped, n_lines > 0 and rest = 0 as emptied,
+  case when rest < n_lines then array_to_string(kept, chr(10)) else text end as text
 from y""",
     "op4_near_duplicates": r"""
 with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws from documents),

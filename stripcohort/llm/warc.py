@@ -18,12 +18,12 @@ from collections.abc import Iterator
 from typing import BinaryIO
 from urllib.parse import quote
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stripcohort.llm.common import durable, shared_dir, sized
+from stripcohort.llm.common import durable, fresh, sized
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Payloads shorter than this are always written in full.
@@ -34,7 +34,7 @@ ARCHIVE_BYTES = 256 << 20
 
 def plan_records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """page_id, url, html, digest, refers_to: of equal payloads of least_bytes or more the smallest page_id stands, the others refer to it."""
-    base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
     long = base.filter(F.octet_length("html") >= least_bytes)
     groups = sized(long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null").select("digest", "first"))
     return base.join(groups, "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
@@ -87,20 +87,25 @@ def write_archives(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE
     again never meets the files of a lost one.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def done(archive: Archive) -> pa.RecordBatch:
+        uri, n = archive.close()
+        return pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([n], pa.int64())], ["uri", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive = None
         for batch in batches:
-            for page_id, url, html, digest, first in batch.itertuples(index=False):
-                page_id, first = (None if pd.isna(x) else int(x) for x in (page_id, first))
+            for row in zip(*batch.columns, strict=True):
+                page_id, url, html, digest, first = (x.as_py() for x in row)
                 archive = archive or Archive(f"{folder}/{uuid.uuid4().hex}.wacz")
                 archive.add(page_id, record(page_id, url, html, digest, first))
                 if archive.at >= archive_bytes:
-                    yield pd.DataFrame([archive.close()], columns=["uri", "n"])
+                    yield done(archive)
                     archive = None
         if archive:
-            yield pd.DataFrame([archive.close()], columns=["uri", "n"])
+            yield done(archive)
 
-    return durable(records.select("page_id", "url", "html", "digest", "refers_to").mapInPandas(run, "uri string, n long"))
+    # ids stay in Arrow: as pandas numbers, those beside a null would lose their low digits
+    return durable(records.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "uri string, n long"))
 
 
 def members(f: BinaryIO, size: int) -> dict[str, tuple[int, int, int]]:
@@ -200,31 +205,36 @@ def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to (and payload) of every record of the archives (uri)."""
     kind = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
     columns = [x.split()[0] for x in kind.split(", ")]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()][: len(columns)]
 
-    def frame(rows: list[dict]) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for uri in batch["uri"]:
+            for uri in batch.column(0):
                 rows: list[dict] = []
-                for r in read_archive(uri):
+                size = 0
+                for r in read_archive(uri.as_py()):
                     rows.append(r)
-                    if len(rows) == 512:
-                        yield frame(rows)
-                        rows = []
-                yield frame(rows)
+                    size += len(r["payload"] or b"") if payloads else 0
+                    if len(rows) == 512 or size >= 16 << 20:
+                        yield _batch(rows, columns, types)
+                        rows, size = [], 0
+                yield _batch(rows, columns, types)
+
+    return archives.select("uri").mapInArrow(run, kind)
+
 
-    return archives.select("uri").mapInPandas(run, kind)
+def _batch(rows: list[dict], columns: list[str], types: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in zip(columns, types, strict=True)], columns)
 
 
 def archive_and_read(pages: DataFrame, least_bytes: int = LEAST_BYTES, payloads: bool = False) -> DataFrame:
     """Writes a record for each row of pages (page_id, url, html) to archives in the shared folder, and reads them back.
 
     A null html is an empty payload; payloads below least_bytes, and rows without a page_id, are always responses; a
-    repeated page_id is a record each time (all responses if it is the smallest of its payload).
+    repeated page_id is a record each time (all responses if it is the smallest of its payload). Other columns of pages
+    are left out. The archives are removed as common.scratch() says: write_archives() makes those that stay.
     """
-    folder = f"{_uri(shared_dir(pages.sparkSession))}/stripcohort-{uuid.uuid4().hex}"
+    folder = _uri(fresh(pages.sparkSession))
     _make(pages, folder)
     archives = write_archives(plan_records(pages, least_bytes), folder)
     spread = archives.repartition(max(1, min(archives.count(), 10_000)), "uri")
