@@ -7,8 +7,9 @@ import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Fixed forms, kind by kind in this order; group 2 of assign and the whole of the others must have so many characters.
 KINDS = (
@@ -99,20 +100,21 @@ def scan_secrets(docs: DataFrame, kinds: tuple = KINDS, classes: tuple = CLASSES
     Spans are kind:start:end in code points, end exclusive, by start and then kind in the order
     listed. Base spans are the fixed forms; the entropy method adds its own, never on strings of the
     allow-list and on windows without words of examples, which don't touch base spans. A null text counts as empty: no spans, and the
-    digest of the empty string.
+    digest of the empty string. Repeated rows and null ids come back as they are; other columns of docs are left out.
     """
+    kind = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(kinds, classes, allowed)
         write = lambda spans: ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in spans)
         for batch in batches:
             rows = []
-            for text in batch["text"]:
-                known, found = scan(text or "")
+            for text in batch.column(1):
+                known, found = scan(text.as_py() or "")
                 n = [sum(x[1] == i for x in known) for i in range(3)]
                 rows.append((*n, hashlib.sha256(write(known).encode()).hexdigest(), write(sorted(known + found)), len(found)))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_entropy"])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out.astype({"doc_id": "Int64"})
+            types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
+            # ids stay in Arrow: as pandas numbers, those beside a null would lose their low digits
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[c] for r in rows], t) for c, t in enumerate(types)]], [x.split()[0] for x in kind.split(", ")])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_entropy long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, kind)
