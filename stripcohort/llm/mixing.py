@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stripcohort.llm.common import durable, sized
+from stripcohort.llm.common import durable, free_names, sized
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Equal cells of [0, 1) by which a draw finds its source in an equi-join.
@@ -36,12 +36,15 @@ def targets(by_source: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0),
     One row per source goes in; the windows run over that small table alone.
     """
     order = W.orderBy(F.col("source").asc_nulls_last())
-    weighed = by_source.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")))
+    turn = ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int")
+    weighed = by_source.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn))
     full = weighed.withColumn("cap", F.lit(float(most)) * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
     rise = W.orderBy("ratio", F.col("source").asc_nulls_last())
     full = full.withColumn("at", F.row_number().over(rise))
     below, everything = rise.rowsBetween(W.unboundedPreceding, -1), W.partitionBy()
-    level = full.withColumn("level", (F.lit(float(share)) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(below), F.lit(0.0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(below), F.lit(0.0))))
+    left = F.lit(float(share)) * F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(below), F.lit(0.0))
+    heavy = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(below), F.lit(0.0))
+    level = full.withColumn("level", left / heavy)
     # below the water, a source is full; the level is that at the first source that isn't
     water = level.withColumn("water", F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("at", "level"))).over(everything)["level"])
     return water.select("source", "source_size", F.least("cap", F.col("weight") * F.coalesce("water", F.lit(float("inf")))).alias("target"))
@@ -58,14 +61,51 @@ def _offsets(docs: DataFrame, chunks: int) -> DataFrame:
     return within.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("chunk") == F.col("c"))).select("doc_id", "source", "size", (F.col("start") + F.col("inner")).alias("at"))
 
 
-def permuted(index: Column, n: Column, key: list[Column], rounds: int = 8) -> Column:
-    """index of 0..n-1 under a pseudorandom permutation: swap-or-not rounds, exact for any n."""
+def permuted(rows: DataFrame, index: str, n: str, key: list[Column], name: str, rounds: int = 8, walks: int = 64) -> DataFrame:
+    """Adds name: the column index (0..n-1) under a pseudorandom permutation of 0..n-1, one per key.
+
+    A Feistel network on pairs (left, right) of a x b numbers, a the rounded-up root of n; at least n and fewer than
+    n + a of them. What lands at n or above goes through again. The places above are fewer than a, and no walk
+    meets one twice, so walks are enough for sure up to n = walks ** 2; beyond, a walk that is longer has a
+    chance below n ** (-walks / 2). Each round is a projection, compiled with the rest of the stage.
+    """
+    a, b, left, right, x, r = free_names(rows.columns, "_a", "_b", "_l", "_r", "_x", "_k")
+    out = rows.withColumn(a, F.ceil(F.sqrt(F.col(n).cast("double"))).cast("long")).withColumn(b, F.expr(f"(`{n}` + `{a}` - 1) div `{a}`")).withColumn(x, F.col(index).cast("long"))
+
+    def half(k: Column, own: Column, other: Column, size: Column) -> Column:
+        return F.pmod(own + F.pmod(F.xxhash64(*key, k, other), size), size)
+
+    out = out.withColumns({left: F.expr(f"`{x}` div `{b}`"), right: F.pmod(x, b)})
+    for k in range(rounds):
+        own, other, size = (left, right, a) if k % 2 == 0 else (right, left, b)
+        out = out.withColumn(own, half(F.lit(k), F.col(own), F.col(other), F.col(size)))
+    out = out.withColumn(x, F.col(left) * F.col(b) + F.col(right))
+
+    def again(at: Column) -> Column:
+        """One more pass, as one expression: few rows need it."""
+        pair = F.struct(F.floor(at / F.col(b)).alias("l"), F.pmod(at, F.col(b)).alias("r"))
+
+        def one(p: Column, k: Column) -> Column:
+            even = F.struct(half(k, p["l"], p["r"], F.col(a)).alias("l"), p["r"].alias("r"))
+            odd = F.struct(p["l"].alias("l"), half(k, p["r"], p["l"], F.col(b)).alias("r"))
+            return F.when(k % 2 == 0, even).otherwise(odd)
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), pair, one, lambda p: p["l"] * F.col(b) + p["r"])
+
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(walks)), F.col(x), lambda at, _: F.when(at < F.col(n), at).otherwise(again(at)))
+    return out.withColumn(name, F.when(F.col(x) < F.col(n), F.col(x)).otherwise(walk)).drop(a, b, left, right, x, r)
 
-    def step(x: Column, r: Column) -> Column:
-        other = F.pmod(F.pmod(F.xxhash64(*key, r), n) - x + n, n)
-        return F.when(F.pmod(F.xxhash64(*key, r, F.greatest(x, other)), F.lit(2)) == 1, other).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), index.cast("long"), step)
+def _running(drawn: DataFrame, run: int = 4096) -> DataFrame:
+    """Adds from, the n of a source's shards before this one: within runs of shards, then over a source's runs, so no task holds all shards of a source."""
+    dealt = durable(drawn.withColumn("run", F.floor(F.col("shard") / run)))
+    before = (W.unboundedPreceding, -1)
+    inner = F.sum("n").over(W.partitionBy("source", "run").orderBy("shard").rowsBetween(*before))
+    sums = dealt.groupBy("source", "run").agg(F.sum("n").alias("n"))
+    start = F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("run").rowsBetween(*before)), F.lit(0))
+    starts = sums.select(F.col("source").alias("s"), F.col("run").alias("r"), start.alias("start"))
+    both = dealt.withColumn("inner", F.coalesce(inner, F.lit(0))).join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("run") == F.col("r")))
+    return both.withColumn("from", F.col("start") + F.col("inner")).drop("s", "r", "run", "start", "inner")
 
 
 def draw_slots(by_source: DataFrame, block_words: int, shard_blocks: int, seed: int) -> DataFrame:
@@ -89,16 +129,15 @@ def draw_slots(by_source: DataFrame, block_words: int, shard_blocks: int, seed:
     # numbers a source's slots through the shards; the make-up shard is the last
     last = (total // shard_blocks) + 1
     more = plan.select(F.lit(last).cast("long").alias("shard"), "source", F.col("quota").alias("n"), "blocks", "quota")
-    numbered = drawn.union(more).withColumn("from", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    runs = numbered.withColumn("to", F.least(F.col("from") + F.col("n"), F.col("quota"))).filter(F.col("from") < F.col("to"))
+    runs = _running(drawn.union(more)).withColumn("to", F.least(F.col("from") + F.col("n"), F.col("quota"))).filter(F.col("from") < F.col("to"))
     # long runs are cut before they are numbered one by one
     cut = runs.withColumn("from", F.explode(F.expr(f"sequence(from, to - 1, {shard_blocks}L)"))).withColumn("to", F.least(F.col("to"), F.col("from") + shard_blocks))
     # so many tasks however few bytes the runs are
     tasks = max(1, min(total // 100_000 + 1, 20_000))
     slots = cut.repartition(tasks, "source", "from").select("source", "shard", "blocks", F.explode(F.sequence(F.col("from"), F.col("to") - 1)).alias("i"))
     turn = F.floor(F.col("i") / F.col("blocks"))
-    block = permuted(F.col("i") % F.col("blocks"), F.col("blocks"), [F.lit(seed), F.coalesce("source", F.lit("\x00")), turn])
-    return slots.select("source", block.alias("block"), "shard", turn.alias("pass"))
+    slots = slots.withColumn("pass", turn).withColumn("at", F.col("i") % F.col("blocks"))
+    return permuted(slots, "at", "blocks", [F.lit(seed), F.coalesce("source", F.lit("\x00")), F.col("pass")], "block").select("source", "block", "shard", "pass")
 
 
 def mix(docs: DataFrame, block_words: int = 64, shard_blocks: int = 4096, seed: int = 7, chunks: int = 4096, **weights: object) -> tuple[DataFrame, DataFrame]:
