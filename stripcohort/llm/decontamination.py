@@ -3,8 +3,9 @@
 A document and a benchmark item are covered with their longest common runs of words, longest
 first and without overlap, whatever their order in the document; the share of the item's words
 under tiles is its coverage. Runs are found from windows of ``shortest`` words with equal
-Karp-Rabin fingerprints. The benchmark goes to the documents in blocks of a bounded size, so no
-document is shuffled and one document is one small piece of work.
+Karp-Rabin fingerprints. The benchmark is a table of blocks of a bounded size in the shared folder;
+tasks read them, so neither the driver nor a plan holds any of it, no document is shuffled, and one
+document is one small piece of work.
 """
 
 from __future__ import annotations
@@ -14,17 +15,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stripcohort.llm.common import fresh
 from stripcohort.llm.wordhash import PUNCTUATION, U, rolling, slices, texts, word_hashes
 
-#: Text of the benchmark that goes to the executors at a time; a larger benchmark takes several passes.
+#: Text of the benchmark that a task holds at a time.
 BLOCK_BYTES = 32 << 20
+#: Documents' text that is held against one block before the next is read, where there are several.
+CHUNK_BYTES = 128 << 20
+#: Pairs of equal windows of a document and an item that are laid out at once; beyond, tiles are looked for length by length.
+PAIRS = 1 << 20
 
 
 def tiles(doc_at: np.ndarray, item_at: np.ndarray, shortest: int) -> list[tuple[int, int, int]]:
-    """(place in the item, place in the document, words) of the tiles, from the places of equal windows."""
+    """(place in the item, place in the document, words) of the tiles, from the places of equal windows.
+
+    The longest free run is always next; of equals the first in the item, then in the document.
+    """
     order = np.lexsort((item_at, doc_at - item_at))
     i, j = item_at[order], doc_at[order]
     breaks = np.flatnonzero((np.diff(i) != 1) | (np.diff(j) != 1)) + 1
@@ -54,74 +65,173 @@ def tiles(doc_at: np.ndarray, item_at: np.ndarray, shortest: int) -> list[tuple[
     return sorted(out)
 
 
+def tiles_by_length(doc: np.ndarray, item: np.ndarray, shortest: int) -> list[tuple[int, int, int]]:
+    """The same tiles from the words themselves, in memory of the order of both texts, however often their windows repeat.
+
+    The longest common run of free words is found by halving over its length, and all tiles of that length are marked.
+    """
+    doc_used, item_used = np.zeros(len(doc) + 1, np.int64), np.zeros(len(item) + 1, np.int64)
+    out, longest = [], min(len(doc), len(item))
+
+    def windows(words: np.ndarray, used: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Fingerprints and places of the free windows of n words."""
+        taken = np.concatenate([[0], np.cumsum(used[:-1])])
+        at = np.flatnonzero(taken[n:] == taken[:-n])
+        return rolling(words, n)[at], at
+
+    def common(n: int) -> bool:
+        return bool(np.isin(windows(item, item_used, n)[0], windows(doc, doc_used, n)[0]).any())
+
+    while longest >= shortest and common(shortest):
+        lo, hi = shortest, longest  # common(lo) holds
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if common(mid) else (lo, mid - 1)
+        longest = lo
+        prints, places = windows(doc, doc_used, longest)
+        order = np.argsort(prints, kind="stable")
+        prints, places = prints[order], places[order]
+        mine, at = windows(item, item_used, longest)
+        left, right = np.searchsorted(prints, mine, "left"), np.searchsorted(prints, mine, "right")
+        next_of: dict[int, int] = {}
+        for a, first, last in zip(at, left, right, strict=True):
+            if first == last or item_used[a : a + longest].any():
+                continue
+            k = next_of.get(first, first)  # places that were used once stay used
+            while k < last and doc_used[places[k] : places[k] + longest].any():
+                k += 1
+            next_of[first] = k
+            if k < last:
+                b = int(places[k])
+                out.append((int(a), b, longest))
+                item_used[a : a + longest] = 1
+                doc_used[b : b + longest] = 1
+        longest -= 1
+    return sorted(out)
+
+
 class Benchmark:
-    """Windows of a block of items, for lookups by fingerprint."""
+    """A block of items, for lookups by fingerprint; items shorter than the shortest tile are windows of their own length."""
 
-    def __init__(self, items: list[tuple[int, str]], shortest: int) -> None:
-        self.shortest = shortest
-        self.ids = [i for i, _ in items]
+    def __init__(self, items: list[tuple[int | None, str]], shortest: int) -> None:
+        self.ids, self.words, self.tables = [i for i, _ in items], [], []
+        if not items:
+            return
         data, bounds = texts(pa.array([t for _, t in items], pa.large_string()))
         words, at = word_hashes(data, bounds, PUNCTUATION)
-        self.size = np.diff(at)
-        parts = [rolling(words[a:b], shortest) for a, b in zip(at[:-1], at[1:], strict=True)]
-        prints = np.concatenate([*parts, np.zeros(0, U)])
-        order = np.argsort(prints, kind="stable")
-        self.prints = prints[order]
-        self.item = np.repeat(np.arange(len(items)), [len(p) for p in parts])[order]
-        self.place = np.concatenate([*[np.arange(len(p)) for p in parts], np.zeros(0, np.int64)])[order]
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[(self.prints & U((1 << 22) - 1)).astype(np.int64)] = True
-
-    def covers(self, words: np.ndarray) -> Iterator[tuple[int, int, int, list[tuple[int, int, int]]]]:
-        """item's number, its words, words covered, tiles, of every item that shares a window with this text."""
-        prints = rolling(words, self.shortest)
-        hit = np.flatnonzero(self.maybe[(prints & U((1 << 22) - 1)).astype(np.int64)])
-        lo, hi = np.searchsorted(self.prints, prints[hit], "left"), np.searchsorted(self.prints, prints[hit], "right")
-        n = hi - lo
-        if not n.sum():
-            return
-        doc_at = np.repeat(hit, n)
-        spot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        item, place = self.item[spot], self.place[spot]
-        for k in np.unique(item):
-            own = item == k
-            found = tiles(doc_at[own], place[own], self.shortest)
-            yield int(k), int(self.size[k]), sum(t[2] for t in found), found
-
-
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """Items (item_id, text) in lists of about block_bytes of text each."""
-    items = benchmark.select("item_id", "text").filter("item_id is not null and length(text) > 0").distinct()
+        self.words = [words[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        size = np.diff(at)
+        for n in range(1, shortest + 1):
+            of = np.flatnonzero((size == n) if n < shortest else (size >= n))
+            if not len(of):
+                continue
+            parts = [rolling(self.words[i], n) for i in of]
+            prints = np.concatenate(parts)
+            order = np.argsort(prints, kind="stable")
+            item = np.repeat(of, [len(p) for p in parts])[order]
+            place = np.concatenate([np.arange(len(p)) for p in parts])[order]
+            maybe = np.zeros(1 << 22, bool)
+            maybe[(prints & U((1 << 22) - 1)).astype(np.int64)] = True
+            self.tables.append((n, prints[order], item, place, maybe))
+
+    def covers(self, words: np.ndarray, least: float) -> Iterator[tuple[int, int, int, int]]:
+        """item's number, its words, words covered and tiles, of every item that this text covers by at least ``least``."""
+        for n, prints, item, place, maybe in self.tables:
+            mine = rolling(words, n)
+            hit = np.flatnonzero(maybe[(mine & U((1 << 22) - 1)).astype(np.int64)])
+            kinds, which, times = np.unique(mine[hit], return_inverse=True, return_counts=True)
+            lo, hi = np.searchsorted(prints, kinds, "left"), np.searchsorted(prints, kinds, "right")
+            if not (hi > lo).any():
+                continue
+            # each kind of window once against the block: at most the block's own windows
+            k = np.repeat(np.arange(len(kinds)), hi - lo)
+            spot = np.arange(len(k)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + np.repeat(lo, hi - lo)
+            order = np.lexsort((place[spot], item[spot]))
+            k, spot = k[order], spot[order]
+            found, start = np.unique(item[spot], return_index=True)
+            places = np.split(hit[np.argsort(which, kind="stable")], np.cumsum(times)[:-1])
+            for i, a, b in zip(found, start, [*start[1:], len(k)], strict=True):
+                at, own = place[spot[a:b]], self.words[i]
+                # words under windows are the most that tiles can cover
+                most = int(np.minimum(np.diff(np.append(at, at[-1] + n)), n).sum())
+                if most < least * len(own):
+                    continue
+                if times[k[a:b]].sum() <= PAIRS:
+                    doc_at = np.concatenate([places[x] for x in k[a:b]])
+                    made = tiles(doc_at, np.repeat(at, times[k[a:b]]), n)
+                else:
+                    made = tiles_by_length(words, own, n)
+                covered = sum(t[2] for t in made)
+                if covered >= least * len(own):
+                    yield int(i), len(own), covered, len(made)
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> tuple[str, int]:
+    """Writes the items (item_id, text) as files of about block_bytes of text each; the folder, and how many blocks."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("length(text) > 0").distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // block_bytes)
-    for b in range(n):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
-        yield sorted((r["item_id"], r["text"]) for r in part.collect())
+    folder = fresh(benchmark.sparkSession)
+    if n:
+        dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+        dealt.repartition(n, "block").write.partitionBy("block").parquet(folder)
+    return (folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"), n
+
+
+def _read(folder: str, block: int, shortest: int) -> Benchmark:
+    system, path = fs.FileSystem.from_uri(f"{folder}/block={block}")
+    items = []
+    for info in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        if info.base_name.endswith(".parquet"):
+            with system.open_input_file(info.path) as f:
+                items += [(r["item_id"], r["text"]) for r in pq.read_table(f, columns=["item_id", "text"]).to_pylist()]
+    return Benchmark(sorted(items, key=lambda x: (x[0] is None, x[0], x[1])), shortest)
+
+
+def _against(batches: Iterator[pa.RecordBatch], folder: str, n: int, shortest: int) -> Iterator[tuple[pa.RecordBatch, Iterator[Benchmark]]]:
+    """Each batch with the blocks one after the other. A single block is read once per task, several once per CHUNK_BYTES of documents."""
+    if n == 1:
+        block = None
+        for batch in batches:
+            block = block or _read(folder, 0, shortest)
+            yield [batch], iter([block])
+        return
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= CHUNK_BYTES:
+            yield held, (_read(folder, b, shortest) for b in range(n))
+            held, size = [], 0
+    if held:
+        yield held, (_read(folder, b, shortest) for b in range(n))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, shortest: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, item_words, covered, n_tiles, coverage of every document and item with a coverage of at least ``least``.
 
-    Words are runs of letters and digits, A-Z lowered. Texts without words, and items of fewer words than the shortest tile,
-    match nothing. Rows of documents that are repeated give repeated rows.
+    Words are runs of letters and digits, A-Z lowered. The shortest tile of an item is ``shortest`` words, or the whole of an
+    item that has fewer. Texts without words match nothing, nor does an empty benchmark. Items with a null id count like others;
+    items that are repeated count once. Rows of documents that are repeated, and those of null ids, each give their rows.
     """
     kind = "doc_id long, item_id long, item_words long, covered long, n_tiles long, coverage double"
-    out = docs.sparkSession.createDataFrame([], kind)
-    for items in _blocks(benchmark, block_bytes):
+    folder, n = _blocks(benchmark, block_bytes)
+    if not n:
+        return docs.sparkSession.createDataFrame([], kind)
 
-        def run(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
-            block = Benchmark(items, shortest)
-            for batch in batches:
-                rows = []
-                ids = batch.column(0)
-                for r, words in _texts(batch.column(1)):
-                    rows += [(ids[r].as_py(), block.ids[k], size, n, len(t), n / size) for k, size, n, t in block.covers(words) if n >= least * size]
-                names = [x.split()[0] for x in kind.split(", ")]
-                types = [pa.int64()] * 5 + [pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], t) for c, t in enumerate(types)], names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in kind.split(", ")]
+        types = [pa.int64()] * 5 + [pa.float64()]
+        for held, blocks in _against(batches, folder, n, shortest):
+            for block in blocks:
+                for batch in held:
+                    rows, ids = [], batch.column(0)
+                    for r, words in _texts(batch.column(1)):
+                        rows += [(ids[r].as_py(), block.ids[k], size, covered, made, covered / size) for k, size, covered, made in block.covers(words, least)]
+                    yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], t) for c, t in enumerate(types)], names)
 
-        out = out.union(docs.select("doc_id", "text").mapInArrow(run, kind))
-    return out
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, kind)
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -134,15 +244,21 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, shortest: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, whole, that cover no item of the benchmark by ``least`` or more."""
+    """The rows of docs, whole, that cover no item of the benchmark by ``least`` or more, as overlaps() counts. Null and empty texts stay."""
     where = docs.columns.index("text")
-    for items in _blocks(benchmark, block_bytes):
+    folder, n = _blocks(benchmark, block_bytes)
+    if not n:
+        return docs
 
-        def run(batches: Iterator[pa.RecordBatch], items: list = items) -> Iterator[pa.RecordBatch]:
-            block = Benchmark(items, shortest)
-            for batch in batches:
-                keep = [all(n < least * size for _, size, n, _ in block.covers(words)) for _, words in _texts(batch.column(where))]
-                yield batch.filter(pa.array(keep, pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held, blocks in _against(batches, folder, n, shortest):
+            keep = [np.ones(len(batch), bool) for batch in held]
+            for block in blocks:
+                for batch, stays in zip(held, keep, strict=True):
+                    for r, words in _texts(batch.column(where)):
+                        if stays[r] and any(True for _ in block.covers(words, least)):
+                            stays[r] = False
+            for batch, stays in zip(held, keep, strict=True):
+                yield batch.filter(pa.array(stays))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)
