@@ -1,10 +1,11 @@
 """Exact top-k by inner product with M-trees and best-first search.
 
 Vectors are lifted to one more component, so that a larger inner product is a smaller Euclidean distance, in
-which the triangle inequality holds. Vectors go to the nearest of a bounded number of pivots, large pivots are
-split, and each part is one small M-tree: pages of vectors with a router, a covering radius, and the distances
-of each entry to its router and of each router to the pivot. A query searches its own pivot's tree first; its
-k-th score then rules out pivots, pages and entries by stored distances alone.
+which the triangle inequality holds. The upper two levels are routers that the driver knows: a bounded number of
+pivots, and within each of them cells around routers of its own. A cell's vectors are one tree, or several of a
+bounded size: nodes split around routers that are far from each other, down to pages, each with its router, its
+covering radius and its distance to the parent's router. A query searches its own cell first; its k-th score then
+rules out pivots, cells, nodes and entries, by stored distances where they are enough.
 """
 
 from __future__ import annotations
@@ -20,16 +21,22 @@ from pyspark.sql import functions as F
 
 from stripcohort.llm.common import durable
 
-PAGE = 128
+PAGE, FAN = 128, 8
 SLACK = 1e-9
 
 
 def quantised(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", scale: float = 256.0) -> DataFrame:
-    """id, v: components as floor(scale * x). Vectors that are null, or hold null or a component that isn't finite, take no part."""
+    """id, v: components as floor(scale * x). Vectors that are null, or hold null or a component that isn't finite, take no part.
+
+    A vec_id stands for one vector: of rows that repeat it, the one whose components come first in order.
+    """
     x = F.transform(F.col(column), lambda c: c.cast("double"))
     finite = F.forall(F.col("x"), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    base = vectors.select(F.col(key).alias("id"), x.alias("x")).filter(F.col("x").isNotNull() & F.col("id").isNotNull() & F.coalesce(finite, F.lit(False)))
-    return base.select("id", F.transform("x", lambda c: F.floor(c * scale).cast("long")).alias("v"))
+    base = vectors.select(F.col(key).cast("long").alias("id"), x.alias("x"))
+    base = base.filter(F.col("x").isNotNull() & F.col("id").isNotNull() & F.coalesce(finite, F.lit(False)))
+    # in range first: components beyond it are found by their norm, not cut to the largest long
+    v = F.transform("x", lambda c: F.floor(F.greatest(F.lit(-4e18), F.least(F.lit(4e18), c * scale))).cast("long"))
+    return base.select("id", v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
@@ -52,53 +59,108 @@ class Space:
         """Of lifted vectors (data) with each other."""
         na, nb = (a * a).sum(1), (b * b).sum(1)
         lift = np.sqrt(np.maximum(self.most - na, 0).astype(float))[:, None] - np.sqrt(np.maximum(self.most - nb, 0).astype(float))[None, :]
-        return np.sqrt(np.maximum((na[:, None] + nb[None, :] - 2 * (a @ b.T)).astype(float), 0) + lift**2)
+        return np.sqrt(np.maximum(na[:, None].astype(float) + nb[None, :].astype(float) - 2 * (a @ b.T).astype(float), 0) + lift**2)
 
-    def from_query(self, norm: int, products: np.ndarray) -> np.ndarray:
+    def from_query(self, norm: float, products: np.ndarray) -> np.ndarray:
         """Of a query, whose lifted component is 0, from data with these products."""
-        return np.sqrt(np.maximum((norm + self.most - 2 * products).astype(float), 0))
-
-
-def build(ids: np.ndarray, v: np.ndarray, pivot: np.ndarray, space: Space) -> dict:
-    """A tree's arrays: entries page by page, their distances to their routers, and the pages' routers, radii and distances to the pivot."""
-    near = space.between(v, pivot[None])[:, 0]
-    order = np.argsort(near, kind="stable")
-    n_pages = -(-len(ids) // PAGE)
-    # routers: members spread over the distances to the pivot; each takes the entries nearest to it
-    routers = order[np.linspace(0, len(order) - 1, n_pages).astype(int)]
-    to = space.between(v, v[routers])
-    page = to.argmin(1)
-    order = np.lexsort((ids, page))
-    page, ids, v, to = page[order], ids[order], v[order], to[order]
-    used, start = np.unique(page, return_index=True)
-    own = to[np.arange(len(ids)), page]
-    return {"ids": ids, "v": v, "own": own, "start": np.append(start, len(ids)), "router": _members(v, own, start), "radius": np.maximum.reduceat(own, start)}
-
-
-def _members(v: np.ndarray, own: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Each page's router: the member at distance 0 of it."""
-    ends = np.append(start[1:], len(v))
-    return np.array([v[s + own[s:e].argmin()] for s, e in zip(start, ends, strict=True)])
-
-
-def search(tree: dict, query: int, q: np.ndarray, pivot_far: float, k: int, floor: float, space: Space) -> list[tuple[int, int]]:
-    """(score, id) of up to k best entries of a tree, none that is worse than floor. pivot_far: distance of the query to the pivot."""
-    norm = int(q @ q)
+        return np.sqrt(np.maximum(float(norm) + float(self.most) - 2 * products.astype(float), 0))
+
+    def limit(self, norm: float, score: float) -> float:
+        """The distance beyond which a score is below this one."""
+        return np.inf if score == -np.inf else float(np.sqrt(max(float(norm) + float(self.most) - 2 * float(score), 0)) * (1 + SLACK) + SLACK)
+
+
+def build(ids: np.ndarray, v: np.ndarray, space: Space) -> dict:
+    """A tree's arrays. Entries page by page: ids, v, own (distance to the page's router).
+
+    Nodes, root first: router, radius, parent (distance to the parent's router), first and last (their children, or their entries
+    if leaf). A node of more than PAGE entries is split around up to FAN members that are far from each other.
+    """
+    order = np.argsort(ids, kind="stable")
+    ids, v = ids[order], v[order]
+    nodes: list[list] = []
+    entries: list[np.ndarray] = []
+    own: list[np.ndarray] = []
+    done = 0
+    queue: list[tuple[np.ndarray, int, np.ndarray]] = [(np.arange(len(ids)), 0, np.zeros(0))]
+    nodes.append([0, 0.0, 0.0, 0, 0, False])
+    far = space.between(v, v[:1])[:, 0]
+    queue[0] = (np.arange(len(ids)), 0, far)
+    nodes[0][1] = float(far.max())
+    while queue:
+        rows, at, far = queue.pop()
+        if len(rows) <= PAGE:
+            nodes[at][3:] = [done, done + len(rows), True]
+            entries.append(rows)
+            own.append(far)
+            done += len(rows)
+            continue
+        routers = _spread(v[rows], far, FAN, space)
+        to = space.between(v[rows], v[rows[routers]])
+        child = to.argmin(1)
+        if (np.bincount(child, minlength=len(routers)) > 0).sum() < 2:
+            # vectors that no router parts: pages of what is there
+            parts = [rows[i : i + PAGE] for i in range(0, len(rows), PAGE)]
+            made = [(p, nodes[at][0], far[i * PAGE : i * PAGE + len(p)]) for i, p in enumerate(parts)]
+        else:
+            made = [(rows[child == c], int(rows[routers[c]]), to[child == c, c]) for c in range(len(routers)) if (child == c).any()]
+        nodes[at][3:] = [len(nodes), len(nodes) + len(made), False]
+        above = v[nodes[at][0]][None]
+        for part, router, near in made:
+            nodes.append([router, float(near.max()), float(space.between(v[router][None], above)[0, 0]), 0, 0, False])
+            queue.append((part, len(nodes) - 1, near))
+    place = np.concatenate(entries)
+    columns = list(zip(*nodes, strict=True))
+    return {
+        "ids": ids[place],
+        "v": v[place],
+        "own": np.concatenate(own),
+        "router": v[np.array(columns[0])],
+        "radius": np.array(columns[1], float),
+        "parent": np.array(columns[2], float),
+        "first": np.array(columns[3], np.int64),
+        "last": np.array(columns[4], np.int64),
+        "leaf": np.array(columns[5], bool),
+    }
+
+
+def _spread(v: np.ndarray, far: np.ndarray, n: int, space: Space) -> list[int]:
+    """Up to n of these vectors, the first the farthest by far, each other one the farthest from those before."""
+    picked = [int(far.argmax())]
+    least = space.between(v, v[picked])[:, 0]
+    while len(picked) < min(n, len(v)) and least.max() > 0:
+        picked.append(int(least.argmax()))
+        least = np.minimum(least, space.between(v, v[picked[-1:]])[:, 0])
+    return picked
+
+
+def search(tree: dict, query: int, q: np.ndarray, k: int, floor: float, space: Space, tally: list[int] | None = None) -> list[tuple[int, int]]:
+    """(score, id) of up to k best entries of a tree, none that is worse than floor. tally adds up distances computed, and entries."""
+    norm = float(q @ q)
     best: list[tuple[int, int]] = []  # a heap, the worst first: (score, -id)
+    computed = 1
 
     def limit() -> float:
-        worst = max(best[0][0], floor) if len(best) == k else floor
-        return np.inf if worst == -np.inf else float(np.sqrt(max(norm + space.most - 2 * worst, 0)) * (1 + SLACK) + SLACK)
-
-    # pages that the stored distance to the pivot rules out cost no product
-    open_ = np.flatnonzero(np.abs(pivot_far - tree["parent"]) - tree["radius"] <= limit())
-    far = space.from_query(norm, tree["router"][open_] @ q)
-    queue = sorted(zip(np.maximum(far - tree["radius"][open_], 0), far, open_, strict=True))
-    for least, at, p in queue:
+        return space.limit(norm, max(best[0][0], floor) if len(best) == k else floor)
+
+    at = float(space.from_query(norm, tree["router"][:1] @ q)[0])
+    queue = [(max(at - tree["radius"][0], 0.0), 0, at)]
+    while queue:
+        least, node, at = heapq.heappop(queue)
         if least > limit():
             break
-        s, e = tree["start"][p], tree["start"][p + 1]
-        some = np.flatnonzero(np.abs(at - tree["own"][s:e]) <= limit()) + s
+        a, b = tree["first"][node], tree["last"][node]
+        if not tree["leaf"][node]:
+            # children that the stored distance to this router rules out cost no product
+            open_ = np.flatnonzero(np.abs(at - tree["parent"][a:b]) - tree["radius"][a:b] <= limit()) + a
+            far = space.from_query(norm, tree["router"][open_] @ q)
+            computed += len(open_)
+            for c, d, r in zip(open_, far, tree["radius"][open_], strict=True):
+                if d - r <= limit():
+                    heapq.heappush(queue, (max(float(d - r), 0.0), int(c), float(d)))
+            continue
+        some = np.flatnonzero(np.abs(at - tree["own"][a:b]) <= limit()) + a
+        computed += len(some)
         score = tree["v"][some] @ q
         fit = (score >= (max(best[0][0], floor) if len(best) == k else floor)) & (tree["ids"][some] != query)
         some, score = tree["ids"][some][fit], score[fit]
@@ -109,98 +171,138 @@ def search(tree: dict, query: int, q: np.ndarray, pivot_far: float, k: int, floo
                 heapq.heappush(best, entry)
             elif entry > best[0]:
                 heapq.heapreplace(best, entry)
+    if tally is not None:
+        tally[0] += computed
+        tally[1] += len(tree["ids"])
     return [(s, -i) for s, i in best]
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 64, tree_rows: int = 4096, block: int = 512, **columns: str) -> DataFrame:
+TREE = "pivot int, cell int, part int, ids array<long>, v array<long>, own array<double>, router array<long>, radius array<double>, parent array<double>, first array<long>, last array<long>, leaf array<boolean>"
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 64, cells: int = 64, tree_rows: int = 4096, block: int = 512, **columns: str) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best other vectors by integer inner product, ties to the smaller vec_id.
 
-    is_query is a condition on id. Rows that repeat a vec_id are one query; vectors with the query's own id never
-    answer it. Fewer than k other vectors give fewer rows; an empty table gives none. Pivots come from a sample of
-    16 * pivots vectors; every vector is indexed.
+    is_query is a condition on id. Rows that repeat a vec_id are one vector, as quantised() says; a vector with the query's
+    own id never answers it. Fewer than k other vectors give fewer rows; an empty table gives none. Other columns are left
+    out. Routers come from samples of 16 * pivots vectors, and 16 * cells of a pivot that has more than tree_rows; every
+    vector is indexed. Scores are longs: a vector whose quantised squares sum up to 2**62 or more is refused by its id.
     """
     spark = vectors.sparkSession
     base = durable(quantised(vectors, **columns))
-    total = base.agg(F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)), F.max(F.size("v"))).first()
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    total = base.agg(F.max(F.struct(norm.alias("n"), "id")).alias("top"), F.max(F.size("v")).alias("width")).first()
     kind = "query_id long, rank int, vec_id long, score long"
-    if total[0] is None:
+    if total["top"] is None:
         return spark.createDataFrame([], kind)
-    space = Space(int(total[0]), max(int(total[1]), 1))
-    sample = _matrix(pd.Series([r["v"] for r in base.orderBy(F.xxhash64("id"), "id").limit(16 * pivots).collect()]), space.width)
-    centres = _far_apart(np.unique(sample, axis=0), pivots, space)
+    if total["top"]["n"] >= 2.0**62 * (1 - 1e-9):
+        raise ValueError(f"the vector of id {total['top']['id']} is too long for inner products that are longs")
+    most = base.agg(F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x))).first()[0]
+    space = Space(int(most), max(int(total["width"]), 1))
+    sample = base.orderBy(F.xxhash64("id"), "id").limit(16 * pivots).collect()
+    tops = _far_apart(_matrix(pd.Series([r["v"] for r in sample]), space.width), pivots, space)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                far = space.between(_matrix(b["v"], space.width), centres)
+                far = space.between(_matrix(b["v"], space.width), tops)
                 yield b.assign(pivot=far.argmin(1), far=far.min(1))
 
     placed = durable(base.mapInPandas(assign, "id long, v array<long>, pivot int, far double"))
-    stats = {r["pivot"]: (r["n"], r["far"]) for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
-    parts = {p: -(-n // tree_rows) for p, (n, _) in stats.items()}
-    n_parts = F.element_at(F.create_map(*[F.lit(x) for p in parts for x in (p, parts[p])]), F.col("pivot"))
+    sizes = {r["pivot"]: (r["n"], r["far"]) for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
+    # large pivots have routers of their own
+    large = [p for p, (n, _) in sizes.items() if n > tree_rows]
+    at = F.row_number().over(W.partitionBy("pivot").orderBy(F.xxhash64("id"), "id"))
+    some = placed.filter(F.col("pivot").isin(large)).withColumn("at", at).filter(F.col("at") <= 16 * cells).select("pivot", "v").collect() if large else []
+    inner = {p: np.array(tops[p][None]) for p in sizes}
+    for p in large:
+        inner[p] = _far_apart(_matrix(pd.Series([r["v"] for r in some if r["pivot"] == p]), space.width), cells, space)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            v, pivot = _matrix(b["v"], space.width), b["pivot"].to_numpy()
+            cell, near = np.zeros(len(b), int), np.zeros(len(b))
+            for p in np.unique(pivot):
+                own = np.flatnonzero(pivot == p)
+                far = space.between(v[own], inner[p])
+                cell[own], near[own] = far.argmin(1), far.min(1)
+            if len(b):
+                yield b.assign(cell=cell, near=near)[["id", "v", "pivot", "cell", "near"]]
+
+    celled = durable(placed.mapInPandas(deal, "id long, v array<long>, pivot int, cell int, near double"))
+    stats = {(r["pivot"], r["cell"]): (r["n"], r["near"]) for r in celled.groupBy("pivot", "cell").agg(F.count("*").alias("n"), F.max("near").alias("near")).collect()}
+    # what one cell holds beyond a tree is dealt by hash: at this depth its vectors are near each other or equal.
+    # this side has a row per cell, pivots * cells at most
+    parts = F.broadcast(spark.createDataFrame([(int(p), int(c), -(-n // tree_rows)) for (p, c), (n, _) in stats.items()], "pivot int, cell int, n_parts int"))
 
     def plant(group: pd.DataFrame) -> pd.DataFrame:
-        pivot = centres[group["pivot"].iloc[0]]
-        t = build(group["id"].to_numpy(), _matrix(group["v"], space.width), pivot, space)
-        t["parent"] = space.between(t["router"], pivot[None])[:, 0]
-        row = {"pivot": group["pivot"].iloc[0], "part": group["part"].iloc[0]}
-        return pd.DataFrame([row | {c: t[c].ravel() for c in ("ids", "v", "own", "start", "router", "radius", "parent")}])
+        t = build(group["id"].to_numpy(), _matrix(group["v"], space.width), space)
+        return pd.DataFrame([{c: group[c].iloc[0] for c in ("pivot", "cell", "part")} | {c: a.ravel() for c, a in t.items()}])
 
-    tree_kind = "pivot int, part int, ids array<long>, v array<long>, own array<double>, start array<long>, router array<long>, radius array<double>, parent array<double>"
-    trees = durable(placed.withColumn("part", F.pmod(F.xxhash64("id"), n_parts).cast("int")).groupBy("pivot", "part").applyInPandas(plant, tree_kind))
+    dealt = celled.join(parts, ["pivot", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), "n_parts").cast("int"))
+    trees = durable(dealt.groupBy("pivot", "cell", "part").applyInPandas(plant, TREE))
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for _, row in b.iterrows():
-                tree = {c: np.asarray(row[c]) for c in ("ids", "own", "start", "radius", "parent")}
+                tree = {c: np.asarray(row[c]) for c in ("ids", "own", "radius", "parent", "first", "last", "leaf")}
                 tree |= {c: np.asarray(row[c]).reshape(-1, space.width).astype(space.exact) for c in ("v", "router")}
-                pivot = centres[row["pivot"]]
                 for x in row["queries"]:
                     q = np.zeros(space.width, space.exact)
                     q[: len(x["qv"])] = x["qv"]
-                    far = space.from_query(int(q @ q), pivot[None] @ q)[0]
                     floor = -np.inf if x["floor"] is None or x["floor"] != x["floor"] else x["floor"]
-                    out += [(x["qid"], i, s) for s, i in search(tree, x["qid"], q, far, k, floor, space)]
+                    out += [(x["qid"], i, s) for s, i in search(tree, x["qid"], q, k, floor, space)]
             yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
+    place = ["pivot", "cell", "part"]
+
     def answers(asked: DataFrame) -> DataFrame:
-        """Of asked (id, v, floor, pivot, part): the answers of those trees. Queries go in blocks, so a tree that all ask is many small tasks."""
-        blocks = asked.groupBy("pivot", "part", "at").agg(F.collect_list(F.struct(F.col("id").alias("qid"), F.col("v").alias("qv"), "floor")).alias("queries"))
-        return blocks.join(trees, ["pivot", "part"]).select("queries", *trees.columns).mapInPandas(visit, "query_id long, vec_id long, score long")
+        """Of asked (id, v, floor, pivot, cell, part): the answers of those trees. Queries go in blocks, so a tree that all ask is many small tasks."""
+        one = F.struct(F.col("id").alias("qid"), F.col("v").alias("qv"), "floor")
+        blocks = asked.groupBy(*place, "at").agg(F.collect_list(one).alias("queries"))
+        return blocks.join(trees, place).select("queries", *trees.columns).mapInPandas(visit, "query_id long, vec_id long, score long")
 
-    asks = placed.filter(is_query)
+    asks = celled.filter(is_query)
     n_blocks = max(1, -(-asks.count() // block))
-    asks = asks.withColumn("at", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(n_blocks))).withColumn("part", F.pmod(F.xxhash64("id", F.lit("home")), n_parts).cast("int"))
+    asks = asks.withColumn("at", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(n_blocks)))
+    asks = asks.join(parts, ["pivot", "cell"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit("home")), "n_parts").cast("int")).drop("n_parts")
+    asks = durable(asks)
     first = durable(answers(asks.withColumn("floor", F.lit(None).cast("double"))))
-    kth = first.withColumn("r", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).filter(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor")).dropDuplicates(["id"])
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    kth = first.withColumn("r", F.row_number().over(best)).filter(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
 
     def elsewhere(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = np.array(sorted(stats))
-        reach = np.array([stats[p][1] for p in names])
+        upper = np.array(sorted(sizes))
+        reach = np.array([sizes[p][1] for p in upper])
+        below = {p: np.array(sorted(c for q, c in stats if q == p)) for p in upper}
+        radius = {p: np.array([stats[p, c][1] for c in below[p]]) for p in upper}
+        parent = {p: space.between(inner[p], tops[p][None])[:, 0] for p in upper}
         for b in batches:
             out = []
             q = _matrix(b["v"], space.width)
-            norms = (q * q).sum(1)
-            for i, (home, floor) in enumerate(zip(b["pivot"], b["floor"], strict=True)):
-                far = space.from_query(int(norms[i]), centres[names] @ q[i])
-                limit = np.inf if floor != floor or floor is None else np.sqrt(max(norms[i] + space.most - 2 * floor, 0)) * (1 + SLACK) + SLACK
-                out.append(names[(far - reach <= limit) | (names == home)])
-            yield b.assign(there=out)
-
-    more = asks.join(kth, "id", "left").select("id", "v", "pivot", "part", "at", "floor").mapInPandas(elsewhere, "id long, v array<long>, pivot int, part int, at long, floor double, there array<int>")
-    spread = more.withColumnRenamed("pivot", "home").withColumnRenamed("part", "home_part").withColumn("pivot", F.explode("there")).withColumn("part", F.explode(F.sequence(F.lit(0), n_parts - 1)))
-    rest = answers(spread.filter("pivot <> home or part <> home_part").select("id", "v", "floor", "pivot", "part", "at"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return first.union(rest).withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            norms = (q.astype(float) ** 2).sum(1)
+            for i, (home, cell, floor) in enumerate(zip(b["pivot"], b["cell"], b["floor"], strict=True)):
+                limit = space.limit(norms[i], -np.inf if floor is None or floor != floor else floor)
+                far = space.from_query(norms[i], tops[upper] @ q[i])
+                there = []
+                for p, d in zip(upper[far - reach <= limit], far[far - reach <= limit], strict=True):
+                    c = below[p][np.abs(d - parent[p][below[p]]) - radius[p] <= limit]
+                    near = space.from_query(norms[i], inner[p][c] @ q[i])
+                    there += [(p, x) for x in c[near - radius[p][np.searchsorted(below[p], c)] <= limit]]
+                there += [] if (home, cell) in there else [(home, cell)]
+                out.append([{"pivot": int(p), "cell": int(c)} for p, c in there])
+            yield b.drop(columns=["pivot", "cell"]).assign(there=out)[["id", "v", "home", "home_cell", "home_part", "at", "floor", "there"]]
+
+    kept = asks.join(kth, "id", "left").select("id", "v", "pivot", "cell", F.col("pivot").alias("home"), F.col("cell").alias("home_cell"), F.col("part").alias("home_part"), "at", "floor")
+    more = kept.mapInPandas(elsewhere, "id long, v array<long>, home int, home_cell int, home_part int, at long, floor double, there array<struct<pivot:int,cell:int>>")
+    spread = more.select("id", "v", "floor", "at", "home", "home_cell", "home_part", F.inline("there"))
+    spread = spread.join(parts, ["pivot", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
+    rest = answers(spread.filter("pivot <> home or cell <> home_cell or part <> home_part").select("id", "v", "floor", "at", *place))
+    return first.union(rest).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def _far_apart(v: np.ndarray, n: int, space: Space) -> np.ndarray:
     """Up to n of these vectors, each the farthest from those before."""
-    picked = [0]
-    far = space.between(v, v[:1])[:, 0]
-    while len(picked) < min(n, len(v)):
-        picked.append(int(far.argmax()))
-        far = np.minimum(far, space.between(v, v[picked[-1:]])[:, 0])
-    return v[picked]
+    v = np.unique(v, axis=0)
+    return v[_spread(v, space.between(v, v[:1])[:, 0], n, space)]
