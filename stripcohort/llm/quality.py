@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stripcohort.llm.common import crc_of
+from stripcohort.llm.common import crc_of, free_names
 
 
 @dataclass(frozen=True)
@@ -48,14 +48,12 @@ def sizer(model: Model) -> object:
 
 
 def features(sizes: np.ndarray) -> np.ndarray:
-    """The normalised difference of the compressed sizes, damped for short texts, and how far the text compresses at all."""
+    """A constant, and the difference of the compressed sizes by the text's own size, damped for short texts. 0 says nothing of a text."""
     good, bad, n = sizes.astype(float).T
-    difference = (bad - good) / (np.maximum(good, bad) + 64)
-    ratio = np.minimum(good, bad) / (n + 64)
-    return np.column_stack([np.ones(len(n)), difference, ratio, ratio**2])
+    return np.column_stack([np.ones(len(n)), (bad - good) / (n + 16)])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-6) -> np.ndarray:
     """Newton's method for a weighted logistic regression."""
     w = np.zeros(x.shape[1])
     for _ in range(50):
@@ -68,12 +66,13 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, sample_bytes: int = 16_000_000, dictionary: int = 1 << 16, level: int = 3, window: int = 1500) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, sample_bytes: int = 16_000_000, dictionary: int = 1 << 16, level: int = 3, window: int = 500) -> Model:
     """Fits on a bounded sample of labelled rows whose crc32(doc_id) mod 5 isn't 0.
 
     The sample is the per_class rows of either label with the least hashes of their ids, and of those as many
-    whole texts as sample_bytes hold: the first half makes the dictionaries, the second calibrates, weighted to the
-    labels' shares among all training rows.
+    texts as sample_bytes hold: the first half makes the dictionaries, the second calibrates, weighted to the
+    labels' shares among all training rows. A text of more than an eighth of sample_bytes is in the sample with evenly
+    spaced windows of it, no more than those bytes; every text is scored whole.
     """
     rows = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_of("doc_id") % 5 != 0)).select("doc_id", "quality")
     share = {r["quality"]: r["count"] for r in rows.groupBy("quality").count().collect()}
@@ -83,7 +82,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, sample_byte
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("quality", "text", *[o.alias(f"o{i}") for i, o in enumerate(order)])
     by: dict[int, list[bytes]] = {0: [], 1: []}
     have = {0: 0, 1: 0}
-    bounded = sample.withColumn("bytes", F.octet_length("text")).filter(f"bytes > 0 and bytes <= {sample_bytes // 8}")
+    # a character has up to 4 bytes
+    parts = max(1, sample_bytes // 8 // (4 * window))
+    spread = F.expr(f"array_join(transform(sequence(0, {parts - 1}), i -> substring(text, cast(i * (length(text) div {parts}) + 1 as int), {window})), '')")
+    some = F.when(F.octet_length("text") > sample_bytes // 8, spread).otherwise(F.col("text"))
+    bounded = sample.withColumn("text", some).withColumn("bytes", F.octet_length("text")).filter("bytes > 0")
     for r in bounded.orderBy("o0", "o1", "text").limit(2 * per_class).toLocalIterator():
         q = r["quality"]
         if have[q] + r["bytes"] <= sample_bytes // 2:
@@ -102,7 +105,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, sample_byte
     x = features(np.array([size(t) for q in (0, 1) for t in rest[q]]))
     y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
     weight = np.where(y == 1, prior / len(rest[1]), (1 - prior) / len(rest[0])) * len(y)
-    return Model(made[1], made[0], tuple(logistic(x, y, weight)), prior, level, window)
+    told = x[:, 1] != 0
+    if len(set(y[told])) < 2:
+        return Model(b"", b"", (), prior, level, window)
+    return Model(made[1], made[0], tuple(logistic(x[told], y[told], weight[told])), prior, level, window)
 
 
 def _dictionary(pieces: list[bytes], size: int) -> bytes:
@@ -114,9 +120,12 @@ def _dictionary(pieces: list[bytes], size: int) -> bytes:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs and score (0 to 1, higher: good likelier). Null and empty texts, and all texts without a model, score the labels' prior."""
-    taken = {c.lower() for c in docs.columns}
-    name = next(n for n in ["score", *[f"score{i}" for i in range(len(taken) + 1)]] if n not in taken)
+    """All columns of docs and, last, score (0 to 1, higher: good likelier; score1 or so if docs has a score).
+
+    Null and empty texts, texts of which both dictionaries make the same size (of a few bytes, mostly), and all texts without a
+    model, score the labels' prior. Repeated rows score alike.
+    """
+    (name,) = free_names(docs.columns, "score")
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         size = sizer(model) if model.weights else None
@@ -126,7 +135,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             if size and len(full):
                 values = batch.to_numpy()
                 x = features(np.array([size(values[i].encode("utf-8", "replace")) for i in full]))
-                out[full] = 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30)))
+                known = 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30)))
+                out[full] = np.where(x[:, 1] != 0, known, model.prior)
             yield pd.Series(out)
 
     return docs.withColumn(name, F.pandas_udf(run, "double")("text"))
