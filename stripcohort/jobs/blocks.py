@@ -117,8 +117,14 @@ def m12_auc_over_seeds(spark: SparkSession, d: str) -> DataFrame:
 H6 = "f as (select dataset, clf, fold, avg((y = pred)::int) as acc from predictions group by 1, 2, 3), e as (select dataset, fold, avg(acc) as acc from f group by 1, 2), d as (select e.dataset, e.acc - b.acc as d from e join e b on b.fold = e.fold and b.dataset = 'A' where e.dataset <> 'A')"
 
 
-@query("predictions", more=H6, body="select dataset, round(avg(d), 6) as diff, count(*) as k, round(case when var_samp(d) > 0 then avg(d) / sqrt(var_samp(d) * (1e0 / count(*) + 0.25e0)) end, 6) as t from d group by 1")
+#: Two tests: Student's p with 4 degrees of freedom in closed form, then Holm.
+H6_P = """, t as (select dataset, avg(d) as diff, count(*) as k, sqrt(var_samp(d) * (1e0 / count(*) + 0.25e0)) as se from d group by 1),
+p as (select *, diff / se as t, 1 - 2 * (0.375 * abs(diff / se) / sqrt(1 + pow(diff / se, 2) / 4) * (1 - pow(diff / se, 2) / (12 * (1 + pow(diff / se, 2) / 4)))) as p from t),
+h as (select *, row_number() over (order by p) as pos, count(*) over () as m from p)"""
+
+
+@query("predictions", more=H6 + H6_P, body="select dataset, round(diff, 6) as diff, k, round(t, 6) as t, round(p, 6) as p, round(least(1, max((m - pos + 1) * p) over (order by pos)), 6) as p_holm from h")
 def h6_effect(spark: SparkSession, d: str) -> DataFrame:
-    """Classifiers averaged per fold, then every dataset against the baseline."""
+    """Classifiers averaged per fold, then every dataset against the baseline, corrected over the datasets."""
     folds = views.predictions(spark, d).groupBy("dataset", "clf", "fold").agg(F.avg((F.col("y") == F.col("pred")).cast("int")).alias("acc"))
-    return rounded(comparison.effect(folds, "dataset", "A", "fold", "acc", 0.25).select("dataset", "diff", "k", "t"), "diff", "t")
+    return rounded(comparison.effect(folds, "dataset", "A", "fold", "acc", 0.25).select("dataset", "diff", "k", "t", "p", "p_holm"), "diff", "t", "p", "p_holm")

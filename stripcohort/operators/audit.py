@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stripcohort.operators import prefix
+
 
 def unique_within(images: DataFrame, keys: list[str], order: str = "id") -> DataFrame:
     """One row per key and hash, the first by order. Only ids and hashes are shuffled: join what else is wanted to the survivors."""
@@ -14,9 +16,9 @@ def unique_within(images: DataFrame, keys: list[str], order: str = "id") -> Data
 
 
 def copies(images: DataFrame, keys: list[str]) -> DataFrame:
-    """Per hash: the id that stays, and the ids that go in order."""
-    ids = F.array_sort(F.collect_set("id"))
-    return images.groupBy(*keys, "sha").agg(ids.alias("ids")).select(*keys, "sha", F.col("ids")[0].alias("kept"), F.slice("ids", 2, 1 << 30).alias("removed"))
+    """A row for each id that goes: its hash, and the id that stays (the least). However many copies an image has, none is a long row."""
+    first = images.groupBy(*keys, "sha").agg(F.min("id").alias("kept"))
+    return prefix.joined(images.select(*keys, "sha", F.col("id").alias("removed")), first, [*keys, "sha"]).filter("removed <> kept").select(*keys, "sha", "kept", "removed")
 
 
 def label_conflicts(images: DataFrame) -> DataFrame:
@@ -84,16 +86,3 @@ def unmirror(image: DataFrame, flags: DataFrame, width: int) -> DataFrame:
     """Mirrored images rolled by half their width and turned round; others as they are. A relabelling of columns."""
     to = F.pmod(F.lit(width - 1 + width // 2) - F.col("col"), F.lit(width))
     return image.join(flags.select("image_id", "mirrored"), "image_id").select("image_id", "row", F.when(F.col("mirrored"), to).otherwise(F.col("col")).cast("int").alias("col"), "value")
-
-
-def unit_vectors(vectors: DataFrame, column: str = "embedding") -> DataFrame:
-    """id, u: centred and scaled to length 1, so that a product is Pearson's r; constant vectors have none."""
-    x = vectors.select("id", F.transform(column, lambda c: c.cast("double")).alias("x"))
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
-    centred = x.withColumn("m", total("x") / F.size("x")).withColumn("x", F.expr("transform(x, v -> v - m)"))
-    long = centred.withColumn("n", F.sqrt(total(F.transform("x", lambda v: v * v)))).filter("n > 0")
-    return long.select("id", F.expr("transform(x, v -> v / n)").alias("u"))
-
-
-def product(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stripcohort.operators import features, rules
+from stripcohort.operators import comparison, features, rules
 
 
 def region_block(image: DataFrame, regions: DataFrame) -> DataFrame:
@@ -35,7 +35,7 @@ def dimensions(blocks: DataFrame, kind: str) -> DataFrame:
 
 
 def standardised(rows: DataFrame, fold: str, dim: str, value: str) -> DataFrame:
-    """Adds z: the value by mean and population deviation of all other folds; a constant column gives 0.
+    """Adds z: the value by mean and population deviation of all other folds; a constant column gives 0, one without another fold null.
 
     A fold's training part is the whole without the fold, so sums per fold are enough and no row is repeated.
     The variance comes from sums of squares: values far from zero should be centred first.
@@ -43,9 +43,12 @@ def standardised(rows: DataFrame, fold: str, dim: str, value: str) -> DataFrame:
     v = F.col(value)
     part = rows.groupBy(dim, fold).agg(F.count(value).alias("_n"), F.sum(v).alias("_s"), F.sum(v * v).alias("_q"))
     whole = part.groupBy(dim).agg(*[F.sum(c).alias(c + "w") for c in ("_n", "_s", "_q")])
-    n, mean = F.col("_nw") - F.col("_n"), (F.col("_sw") - F.col("_s")) / (F.col("_nw") - F.col("_n"))
-    spread = part.join(whole, dim).select(dim, fold, mean.alias("_m"), F.greatest((F.col("_qw") - F.col("_q")) / n - mean * mean, F.lit(0.0)).alias("_v"))
-    return rows.join(spread, [dim, fold]).withColumn("z", F.when(F.col("_v") > 1e-12, (v - F.col("_m")) / F.sqrt("_v")).otherwise(0.0)).drop("_m", "_v")
+    n = F.col("_nw") - F.col("_n")
+    mean = F.try_divide(F.col("_sw") - F.col("_s"), n)
+    variance = F.try_divide(F.col("_qw") - F.col("_q"), n) - mean * mean
+    spread = part.join(whole, dim).select(dim, fold, mean.alias("_m"), F.when(n > 0, F.greatest(variance, F.lit(0.0))).alias("_v"))
+    z = F.when(F.col("_v") > 1e-12, (v - F.col("_m")) / F.sqrt("_v")).when(F.col("_v").isNotNull(), 0.0)
+    return rows.join(spread, [dim, fold]).withColumn("z", z).drop("_m", "_v")
 
 
 def permuted_labels(rows: DataFrame, label: str, seed: int, key: str = "id") -> DataFrame:
@@ -56,6 +59,14 @@ def permuted_labels(rows: DataFrame, label: str, seed: int, key: str = "id") ->
     return to.join(of, "_at").drop("_at")
 
 
+def permuted_hits(rows: DataFrame, config: str, seeds: range) -> DataFrame:
+    """config, seed, y, pred: every row's pred beside the y that a permutation of its configuration deals it, once per seed."""
+    each = rows.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))).withColumn("_of", F.concat_ws("|", "seed", config))
+    one = rules.numbered(each.select("_of", config, "seed", "id", "pred"), "_of", rules.seeded(F.col("seed"), "id"), "id", "_at")
+    two = rules.numbered(each.select("_of", "seed", "id", "y"), "_of", rules.seeded(F.col("seed") + 1000, "id"), "id", "_at")
+    return one.join(two.select("_of", "_at", "y"), ["_of", "_at"]).select(config, "seed", "y", "pred")
+
+
 def masked_otsu(image: DataFrame, mask: Column) -> DataFrame:
     """image_id, threshold, cnr of the pixels within a mask alone; null where a class is empty."""
     inside = image.filter(mask)
@@ -121,3 +132,29 @@ def groups(pairs: DataFrame, rounds: int = 50) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     size = label.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
     return label.join(size, "g").select("id", F.col("g").alias("group_id"), "size")
+
+
+def difference_map(image: DataFrame) -> DataFrame:
+    """row, col, cohen_d, welch_t, p, q: the classes' difference at every place by the pooled deviation, Welch's test, and q over all places.
+
+    p is 1 where the test isn't defined (no variance, or a class of one).
+    """
+    of = lambda f, k: f(F.when(F.col("label") == k, F.col("value")))
+    s = image.groupBy("row", "col").agg(*[of(f, k).alias(f"{n}{k}") for k in (0, 1) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
+    gap, n1, n0 = F.col("m1") - F.col("m0"), F.col("n1"), F.col("n0")
+    pooled = F.greatest(F.sqrt(F.try_divide((n1 - 1) * F.col("v1") + (n0 - 1) * F.col("v0"), n1 + n0 - 2)), F.lit(1e-9))
+    a, b = F.try_divide(F.col("v1"), n1), F.try_divide(F.col("v0"), n0)
+    df = F.try_divide((a + b) * (a + b), F.try_divide(a * a, n1 - 1) + F.try_divide(b * b, n0 - 1))
+    tests = s.select("row", "col", (gap / pooled).alias("cohen_d"), F.try_divide(gap, F.sqrt(a + b)).alias("welch_t"), df.alias("_df"))
+    p = F.coalesce(F.nanvl(comparison.t_two_sided(F.coalesce("welch_t", F.lit(float("nan"))), F.coalesce("_df", F.lit(0.0))), F.lit(1.0)), F.lit(1.0))
+    tests = tests.withColumn("p", p).withColumn("_all", F.lit("all"))
+    return rules.benjamini_hochberg(tests, "_all").select("row", "col", "cohen_d", "welch_t", "p", "q")
+
+
+def difference_summary(places: DataFrame, height: int) -> DataFrame:
+    """One row of a difference map: median and largest d, the share of places with q below 0.05, and the mean d of three bands of rows, the first ones one larger where rows are left over."""
+    d = F.abs("cohen_d")
+    ends = [height // 3 + (height % 3 > 0), 2 * (height // 3) + min(height % 3, 2)]
+    band = F.when(F.col("row") < ends[0], 0).when(F.col("row") < ends[1], 1).otherwise(2)
+    share = F.avg((F.col("q") < 0.05).cast("int"))
+    return places.agg(F.percentile(d, 0.5).alias("median_d"), F.max(d).alias("max_d"), share.alias("significant"), *[F.avg(F.when(band == k, d)).alias(f"d_{k}") for k in range(3)])

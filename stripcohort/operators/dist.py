@@ -59,3 +59,28 @@ def chi2_sf(x: float, df: int) -> float:
         total += term
         term *= x / (2 * i + 1)
     return total
+
+
+def f_sf(x: float, d1: float, d2: float) -> float:
+    """P(F >= x)."""
+    return 1.0 if x <= 0 else 0.0 if math.isinf(x) else _beta(d2 / 2, d1 / 2, d2 / (d2 + d1 * x))
+
+
+def range_quantile(p: float, k: int) -> float:
+    """The p quantile of the range of k standard normals (the studentised range with infinite degrees of freedom), by halving."""
+
+    def cdf(q: float) -> float:
+        n, lo, hi = 400, -8.0, 8.0 + q
+        h = (hi - lo) / n
+        total = 0.0
+        for i in range(n + 1):  # Simpson's rule
+            z = lo + i * h
+            value = math.exp(-z * z / 2) / math.sqrt(2 * math.pi) * (normal_cdf(z) - normal_cdf(z - q)) ** (k - 1)
+            total += value * (1 if i in (0, n) else 4 if i % 2 else 2)
+        return k * total * h / 3
+
+    lo, hi = 0.0, 20.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if cdf(mid) < p else (lo, mid)
+    return (lo + hi) / 2

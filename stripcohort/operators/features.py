@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stripcohort.operators import neighbourhoods
+
 #: Distance, angle in degrees, and the step in rows and columns.
 OFFSETS = [(1, 0, 0, 1), (1, 45, 1, 1), (1, 90, 1, 0), (1, 135, 1, -1), (2, 0, 0, 2), (2, 45, 1, 1), (2, 90, 2, 0), (2, 135, 1, -1), (3, 0, 0, 3), (3, 45, 2, 2), (3, 90, 3, 0), (3, 135, 2, -2)]
 
@@ -53,28 +55,40 @@ def histogram(image: DataFrame, keys: list[str], bins: int = 32, top: int = 255)
     return n.select(*keys, "bin", (F.col("n") / F.sum("n").over(W.partitionBy(*keys)) / (top / bins)).alias("density"))
 
 
-def otsu(image: DataFrame) -> DataFrame:
-    """image_id, threshold: the least value that parts the histogram with the largest variance between the classes; null if all values are equal."""
-    n = image.groupBy("image_id", "value").agg(F.count(F.lit(1)).alias("n"))
-    whole = W.partitionBy("image_id")
+def otsu(image: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """keys, threshold: the least value that parts the histogram with the largest variance between the classes; null if all values are equal."""
+    n = image.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    whole = W.partitionBy(*keys)
     upto = whole.orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    cum = n.select("image_id", "value", F.sum("n").over(upto).cast("double").alias("w"), F.sum(F.col("n") * F.col("value")).over(upto).cast("double").alias("s"), F.sum("n").over(whole).cast("double").alias("n_all"), F.sum(F.col("n") * F.col("value")).over(whole).cast("double").alias("s_all"))
+    of = {"w": F.sum("n").over(upto), "s": F.sum(F.col("n") * F.col("value")).over(upto), "n_all": F.sum("n").over(whole), "s_all": F.sum(F.col("n") * F.col("value")).over(whole)}
+    cum = n.select(*keys, "value", *[c.cast("double").alias(k) for k, c in of.items()])
     gap = F.col("s") * F.col("n_all") - F.col("w") * F.col("s_all")
     between = cum.filter("w < n_all").withColumn("b", gap * gap / (F.col("w") * (F.col("n_all") - F.col("w"))))
-    best = between.groupBy("image_id").agg(F.min_by("value", F.struct(-F.col("b"), F.col("value"))).alias("threshold"))
-    return image.select("image_id").distinct().join(best, "image_id", "left")
+    best = between.groupBy(*keys).agg(F.min_by("value", F.struct(-F.col("b"), F.col("value"))).alias("threshold"))
+    return image.select(*keys).distinct().join(best, list(keys), "left")
+
+
+def contrast(image: DataFrame, keys: list[str], on: Column) -> DataFrame:
+    """keys, cnr: the mean where on holds less that elsewhere, by the deviation elsewhere; null without both classes."""
+    up, down = F.when(on, F.col("value")), F.when(~on, F.col("value"))
+    return image.groupBy(*keys).agg(((F.avg(up) - F.avg(down)) / (F.stddev_pop(down) + 1e-6)).alias("cnr"))
 
 
-def visibility(image: DataFrame) -> DataFrame:
-    """density over the threshold, contrast to noise, rms contrast and entropy in bits, per image; no contrast to noise without both classes."""
+def visibility(image: DataFrame, height: int, width: int) -> DataFrame:
+    """density over the threshold, contrast to noise, rms contrast, entropy in bits and ridge energy (variance of the Laplacian) per image; no contrast to noise without both classes."""
     marked = image.join(otsu(image), "image_id").withColumn("fg", F.coalesce(F.col("value") > F.col("threshold"), F.lit(False)))
     n = marked.groupBy("image_id", "value", "fg").agg(F.count(F.lit(1)).alias("n"))
     share = F.col("n") / F.sum("n").over(W.partitionBy("image_id"))
     v, k = F.col("value"), F.col("n")
     of = lambda c, what: F.sum(F.when(c, what))
-    sums = n.withColumn("p", share).groupBy("image_id").agg(F.sum(k).alias("n"), F.sum(k * v).alias("s"), F.sum(k * v * v).alias("q"), of(F.col("fg"), k).alias("nf"), of(F.col("fg"), k * v).alias("sf"), of(~F.col("fg"), k).alias("nb"), of(~F.col("fg"), k * v).alias("sb"), of(~F.col("fg"), k * v * v).alias("qb"), (-F.sum(F.col("p") * F.log2("p"))).alias("entropy"))
+    fg, bg = F.col("fg"), ~F.col("fg")
+    named = {"n": F.sum(k), "s": F.sum(k * v), "q": F.sum(k * v * v), "nf": of(fg, k), "sf": of(fg, k * v), "nb": of(bg, k), "sb": of(bg, k * v), "qb": of(bg, k * v * v), "entropy": -F.sum(F.col("p") * F.log2("p"))}
+    sums = n.withColumn("p", share).groupBy("image_id").agg(*[c.alias(name) for name, c in named.items()])
     sd = lambda a, s, q: F.sqrt(F.col(a) * F.col(q) - F.col(s) * F.col(s)) / F.col(a)
-    return sums.select("image_id", (F.coalesce("nf", F.lit(0)) / F.col("n")).alias("density"), ((F.col("sf") / F.col("nf") - F.col("sb") / F.col("nb")) / (sd("nb", "sb", "qb") + 1e-6)).alias("cnr"), (sd("n", "s", "q") / 255).alias("rms"), "entropy")
+    ridge = neighbourhoods.weighted(image, neighbourhoods.LAPLACE, height, width).groupBy("image_id").agg((F.var_pop("sum") / 255**2).alias("ridge"))
+    cnr = (F.col("sf") / F.col("nf") - F.col("sb") / F.col("nb")) / (sd("nb", "sb", "qb") + 1e-6)
+    out = sums.select("image_id", (F.coalesce("nf", F.lit(0)) / F.col("n")).alias("density"), cnr.alias("cnr"), (sd("n", "s", "q") / 255).alias("rms"), "entropy")
+    return out.join(ridge, "image_id")
 
 
 def radial_profile(image: DataFrame) -> DataFrame:
@@ -84,11 +98,37 @@ def radial_profile(image: DataFrame) -> DataFrame:
 
 
 def mask_overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """dice of two masks and r of their values, per key; rows (image_id, row, col, value, on)."""
-    both = a.join(b.select("image_id", "row", "col", *[k for k in keys if k != "image_id"], F.col("value").alias("value2"), F.col("on").alias("on2")), ["image_id", "row", "col"])
-    one = lambda c: F.count_if(c)
-    total = one(F.col("on")) + one(F.col("on2"))
-    return both.groupBy(*keys).agg(F.when(total > 0, 2 * one(F.col("on") & F.col("on2")) / total).alias("dice"), F.corr("value", "value2").alias("r"))
+    """dice of two masks, r of their values, either's contrast to noise, and the share of a's that b retains, per key; rows (image_id, row, col, value, on). Keys that only b has are its perturbations."""
+    other = [k for k in keys if k != "image_id"]
+    on = ["image_id", "row", "col", *[k for k in other if k in a.columns]]
+    both = a.join(b.select("image_id", "row", "col", *other, F.col("value").alias("value2"), F.col("on").alias("on2")), on)
+    total = F.count_if("on") + F.count_if("on2")
+
+    def cnr(value: str, on: str) -> Column:
+        up, down = F.when(F.col(on), F.col(value)), F.when(~F.col(on), F.col(value))
+        return (F.avg(up) - F.avg(down)) / (F.stddev_pop(down) + 1e-6)
+
+    dice = F.when(total > 0, 2 * F.count_if(F.col("on") & F.col("on2")) / total)
+    out = both.groupBy(*keys).agg(dice.alias("dice"), F.corr("value", "value2").alias("r"), cnr("value", "on").alias("cnr"), cnr("value2", "on2").alias("cnr2"))
+    return out.withColumn("retained", F.try_divide("cnr2", "cnr"))
+
+
+def dominant_scale(responses: DataFrame) -> DataFrame:
+    """image_id, scale, share, mean of responses (image_id, row, col, scale, value): the share of structure pixels, whose largest response is over
+    its threshold, where the scale answers most (of equals the smallest), and its mean response over all pixels."""
+    top = responses.groupBy("image_id", "row", "col").agg(F.max("value").alias("value"), F.min_by("scale", F.struct(-F.col("value"), F.col("scale"))).alias("scale"))
+    on = top.join(otsu(top), "image_id").filter("value > threshold").groupBy("image_id", "scale").agg(F.count(F.lit(1)).alias("_n"))
+    mean = responses.groupBy("image_id", "scale").agg(F.avg("value").alias("mean"))
+    all_ = F.sum("_n").over(W.partitionBy("image_id"))
+    return mean.join(on, ["image_id", "scale"], "left").select("image_id", "scale", (F.coalesce("_n", F.lit(0)) / all_).alias("share"), "mean")
+
+
+def angular_contrast(image: DataFrame, x: float, y: float, sectors_: int, keys: list[str], least: int) -> DataFrame:
+    """keys, sector, n, cnr of pixels (value, threshold) in equal sectors around a centre, counted from the right against the clock; those of fewer pixels than least are left out."""
+    angle = F.pmod(F.degrees(F.atan2(F.lit(float(y)) - F.col("row"), F.col("col") - F.lit(float(x)))) + 360, F.lit(360.0))
+    cut = image.withColumn("sector", F.floor(angle / (360.0 / sectors_)).cast("int"))
+    n = cut.groupBy(*keys, "sector").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    return n.join(contrast(cut, [*keys, "sector"], F.col("value") > F.col("threshold")), [*keys, "sector"])
 
 
 def windows(at: Column, last: int, step: int, width: int) -> Column:
@@ -105,6 +145,6 @@ def sectors(image: DataFrame, place: Column, last: int, step: int, width: int) -
 
 def grid_cells(image: DataFrame, cells: int, height: int, width: int, top: int = 0) -> DataFrame:
     """cell_row, cell_col of pixels from row top on; rows and columns that don't fill a cell fall away."""
-    h, w = (height - top) // cells, width // cells
+    h, w = max(1, (height - top) // cells), max(1, width // cells)
     out = image.filter(F.col("row") >= top).withColumns({"cell_row": F.floor((F.col("row") - top) / h).cast("int"), "cell_col": F.floor(F.col("col") / w).cast("int")})
     return out.filter((F.col("cell_row") < cells) & (F.col("cell_col") < cells))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stripcohort.operators import prefix
+
 
 def _ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0."""
@@ -35,38 +37,43 @@ def fold_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rates(confusion(rows, keys))
 
 
-def auc(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Area under the ROC curve per key, ties half; null with one class only.
+def _points(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """pos and neg of every distinct score of a key."""
+    return rows.filter(F.col("score").isNotNull()).groupBy(*keys, "score").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
 
-    Distinct scores are counted first, so the window holds no more rows than a key has scores.
-    """
-    at = rows.groupBy(*keys, "score").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
-    below = W.partitionBy(*keys).orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    wins = at.withColumn("win", F.col("pos") * (F.coalesce(F.sum("neg").over(below), F.lit(0)) + F.col("neg") / 2))
-    return wins.groupBy(*keys).agg(_ratio(F.sum("win"), F.sum("pos") * F.sum("neg")).alias("auc"))
+
+def auc(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Area under the ROC curve per key, ties half; null with one class only. A key of any size is ranked in pieces."""
+    at = prefix.running(_points(rows, keys), keys, "score", {"upto": ("sum", "neg")})
+    wins = at.withColumn("win", F.col("pos") * (F.col("upto") - F.col("neg") / 2))
+    return wins.groupBy(*keys).agg(_ratio(F.sum("win"), F.sum("pos").cast("double") * F.sum("neg")).alias("auc"))
 
 
 def roc(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """fpr, tpr per key and threshold (predicted true at scores of at least it)."""
-    at = rows.groupBy(*keys, "score").agg(F.count_if("y").alias("pos"), F.count_if(~F.col("y")).alias("neg"))
-    upto = W.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    whole = W.partitionBy(*keys)
-    return at.select(*keys, "score", _ratio(F.sum("neg").over(upto), F.sum("neg").over(whole)).alias("fpr"), _ratio(F.sum("pos").over(upto), F.sum("pos").over(whole)).alias("tpr"), F.sum("pos").over(upto).alias("tp"), F.sum("neg").over(upto).alias("fp"), F.col("pos"), F.sum("pos").over(whole).alias("n_pos"))
+    """fpr, tpr per key and threshold (predicted true at scores of at least it), and the counts they come from."""
+    at = _points(rows, keys).withColumn("_fall", -F.col("score"))
+    upto = prefix.running(at, keys, "_fall", {"tp": ("sum", "pos"), "fp": ("sum", "neg")}).drop("_fall")
+    whole = at.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    out = prefix.joined(upto, whole, keys)
+    return out.select(*keys, "score", _ratio(F.col("fp"), F.col("n_neg")).alias("fpr"), _ratio(F.col("tp"), F.col("n_pos")).alias("tpr"), "tp", "fp", "pos", "n_pos")
 
 
 def roc_on_grid(rows: DataFrame, keys: list[str], steps: int = 200) -> DataFrame:
     """tpr at fpr = 0, 1/steps, ..., 1, linear between the curve's points; of points at one fpr the highest counts.
 
-    Each stretch of the curve is exploded to the grid points inside it, so grid and curve meet without a range join.
+    Between two grid points only the first and the last of the curve's can bear on the grid, so a key has no more than
+    2 * steps + 2 points when they are put in order.
     """
     best = roc(rows, keys).groupBy(*keys, "fpr").agg(F.max("tpr").alias("tpr"))
     start = rows.select(*keys).distinct().select(*keys, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    curve = best.union(start).groupBy(*keys, "fpr").agg(F.max("tpr").alias("tpr"))
+    step_of = lambda c: F.ceil(F.round(F.col(c) * steps, 9)).cast("int")
+    point = F.struct("fpr", "tpr")
+    ends = best.union(start).groupBy(*keys, step_of("fpr").alias("_bin")).agg(F.min_by(point, F.struct("fpr", -F.col("tpr"))).alias("_a"), F.max_by(point, point).alias("_z"))
+    curve = ends.select(*keys, F.inline(F.array("_a", "_z"))).groupBy(*keys, "fpr").agg(F.max("tpr").alias("tpr"))
     after = W.partitionBy(*keys).orderBy("fpr")
     pieces = curve.withColumns({"f1": F.lead("fpr").over(after), "t1": F.lead("tpr").over(after)})
-    inside = F.sequence(F.ceil(F.round(F.col("fpr") * steps, 9)).cast("int"), F.when(F.col("f1").isNull(), F.lit(steps)).otherwise(F.ceil(F.round(F.col("f1") * steps, 9)).cast("int") - 1))
-    has = F.col("f1").isNull() | (F.ceil(F.round(F.col("fpr") * steps, 9)) <= F.ceil(F.round(F.col("f1") * steps, 9)) - 1)
-    grid = pieces.filter(has).withColumn("step", F.explode(inside))
+    last = F.when(F.col("f1").isNull(), F.lit(steps)).otherwise(step_of("f1") - 1)
+    grid = pieces.filter(F.col("f1").isNull() | (step_of("fpr") <= step_of("f1") - 1)).withColumn("step", F.explode(F.sequence(step_of("fpr"), last)))
     x = F.col("step") / steps
     value = F.when(F.col("f1").isNull(), F.col("tpr")).otherwise(F.col("tpr") + (x - F.col("fpr")) * (F.col("t1") - F.col("tpr")) / (F.col("f1") - F.col("fpr")))
     return grid.select(*keys, "step", value.alias("tpr"))

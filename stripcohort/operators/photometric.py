@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stripcohort.operators import neighbourhoods
+
 #: The representations and whether they read the green channel (vessel maps) or gray.
 REPRESENTATIONS = {"original": "gray", "histogram": "gray", "clahe": "gray", "blur": "gray", "frangi": "green", "gabor": "green", "blackhat": "green", "combined": "green"}
 
@@ -50,17 +52,6 @@ def equalise(image: DataFrame) -> DataFrame:
     return out.withColumn("value", new.cast("int")).drop("_c", "_n", "_0")
 
 
-#: The representations whose transform is built; the others' (P4-P9) are not, so they have no values.
-TRANSFORMS = {"original": lambda image: image, "histogram": equalise}
-
-
-def transformed(image: DataFrame) -> DataFrame:
-    """Each image under every transform that is built: image_id, representation, row, col, value (b, g, r, gray given)."""
-    every = fan_out(image)
-    each = [(name, f(every.filter(F.col("representation") == name).select("image_id", "row", "col", "value"))) for name, f in TRANSFORMS.items()]
-    return reduce(DataFrame.unionByName, [out.select("image_id", F.lit(name).alias("representation"), "row", "col", "value") for name, out in each])
-
-
 def min_max(image: DataFrame) -> DataFrame:
     """To 0..255, truncated; a constant image becomes 0."""
     lo, hi = F.min("value").over(of_image()), F.max("value").over(of_image())
@@ -92,6 +83,23 @@ def crop_upper(image: DataFrame, rows: int) -> DataFrame:
     return image.filter(F.col("row") >= rows).withColumn("row", F.col("row") - rows)
 
 
+#: The representations whose transform is built, as functions of image, height and width; the others' (contrast-limited equalisation and the
+#: two filter banks, with what combines them) are not, so they have no values.
+TRANSFORMS = {
+    "original": lambda image, h, w: image,
+    "histogram": lambda image, h, w: equalise(image),
+    "blur": neighbourhoods.smoothed,
+    "blackhat": lambda image, h, w: min_max(neighbourhoods.fine_structures(image)),
+}
+
+
+def transformed(image: DataFrame, height: int, width: int) -> DataFrame:
+    """Each image under every transform that is built: image_id, representation, row, col, value (b, g, r, gray given)."""
+    every = fan_out(image)
+    each = [(name, f(every.filter(F.col("representation") == name).select("image_id", "row", "col", "value"), height, width)) for name, f in TRANSFORMS.items()]
+    return reduce(DataFrame.unionByName, [out.select("image_id", F.lit(name).alias("representation"), "row", "col", "value") for name, out in each])
+
+
 def perturbations(value: Column) -> Column:
     """An array of (kind, value): six point perturbations of a value 0..255. Shifts, factors and exponents."""
     cut = lambda c: F.least(F.lit(255), F.greatest(F.lit(0), c.cast("int")))

@@ -6,19 +6,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stripcohort.operators import prefix
 
-def holm(tests: DataFrame, family: str, order: str = "id") -> DataFrame:
-    """p_holm: running maximum of (m - rank) * p within a family, at most 1."""
-    rise = W.partitionBy(family).orderBy("p", order)
-    step = (F.count(F.lit(1)).over(W.partitionBy(family)) - F.row_number().over(rise) + 1) * F.col("p")
-    return tests.withColumn("_s", step).withColumn("p_holm", F.least(F.lit(1.0), F.max("_s").over(rise.rowsBetween(W.unboundedPreceding, 0)))).drop("_s")
 
+def _by_value(tests: DataFrame, family: str) -> tuple[DataFrame, DataFrame]:
+    """family, p, n of the distinct p of a family, and each family's number of tests m; null p are no tests."""
+    points = tests.filter(F.col("p").isNotNull()).groupBy(family, "p").agg(F.count(F.lit(1)).alias("_n"))
+    return points, points.groupBy(family).agg(F.sum("_n").alias("_m"))
 
-def benjamini_hochberg(tests: DataFrame, family: str, order: str = "id") -> DataFrame:
-    """q: running minimum of p * m / rank from the largest p on, at most 1."""
-    rise = W.partitionBy(family).orderBy("p", order)
-    step = F.col("p") * F.count(F.lit(1)).over(W.partitionBy(family)) / F.row_number().over(rise)
-    return tests.withColumn("_s", step).withColumn("q", F.least(F.lit(1.0), F.min("_s").over(rise.rowsBetween(0, W.unboundedFollowing)))).drop("_s")
+
+def holm(tests: DataFrame, family: str) -> DataFrame:
+    """p_holm: running maximum of (m - rank) * p within a family, at most 1.
+
+    Of equal p the first has the largest step, so the result is one per distinct p: a family of any size is cut into pieces.
+    """
+    points, m = _by_value(tests, family)
+    upto = prefix.joined(prefix.running(points, [family], "p", {"_upto": ("sum", "_n")}), m, [family])
+    step = upto.withColumn("_s", (F.col("_m") - F.col("_upto") + F.col("_n")) * F.col("p"))
+    top = prefix.running(step, [family], "p", {"_top": ("max", "_s")})
+    return prefix.joined(tests, top.select(family, "p", F.least(F.lit(1.0), "_top").alias("p_holm")), [family, "p"], "left")
+
+
+def benjamini_hochberg(tests: DataFrame, family: str) -> DataFrame:
+    """q: running minimum of p * m / rank from the largest p on, at most 1. Of equal p the last has the least step, as in holm()."""
+    points, m = _by_value(tests, family)
+    upto = prefix.joined(prefix.running(points, [family], "p", {"_upto": ("sum", "_n")}), m, [family])
+    step = upto.withColumns({"_s": F.col("p") * F.col("_m") / F.col("_upto"), "_fall": -F.col("p")})
+    low = prefix.running(step, [family], "_fall", {"_low": ("min", "_s")})
+    return prefix.joined(tests, low.select(family, "p", F.least(F.lit(1.0), "_low").alias("q")), [family, "p"], "left")
 
 
 def numbered(rows: DataFrame, stratum: str, order: Column, key: str, name: str) -> DataFrame:
@@ -58,16 +73,22 @@ def group_folds(rows: DataFrame, group: str, y: str, repeats: int, k: int = 5, s
 
 
 def geometry(circles: DataFrame) -> DataFrame:
-    """rho, tau, eps of circles (pupil_r, iris_r, dx)."""
-    return circles.withColumns({"rho": F.col("pupil_r") / F.col("iris_r"), "tau": (F.col("iris_r") - F.col("pupil_r")) / F.col("iris_r"), "eps": F.abs("dx") / F.col("iris_r")})
+    """rho, tau, eps of circles (pupil_r, iris_r, dx); null where the iris has no radius."""
+    by = lambda c: F.try_divide(c, F.col("iris_r"))
+    return circles.withColumns({"rho": by(F.col("pupil_r")), "tau": by(F.col("iris_r") - F.col("pupil_r")), "eps": by(F.abs("dx"))})
 
 
 def quality_label(rings: DataFrame) -> DataFrame:
-    """score and quality: the rule on rho, tau and eps; fixed values are its thresholds and penalties."""
+    """score, quality and reasons: the rule on rho, tau and eps; fixed values are its thresholds and penalties.
+
+    Radii that are missing, zero or the wrong way round are invalid with score 0, whatever else is there.
+    """
     rho, tau, eps = F.col("rho"), F.col("tau"), F.col("eps")
-    bad = (F.col("pupil_r") <= 0) | (F.col("iris_r") <= F.col("pupil_r"))
+    bad = F.coalesce((F.col("pupil_r") <= 0) | (F.col("iris_r") <= F.col("pupil_r")), F.lit(True))
     hard, soft = (rho < 0.15) | (rho > 0.80), (rho < 0.20) | (rho > 0.70)
     off: Column = F.when(hard, 0.6).when(soft, 0.25).otherwise(0.0) + F.when(tau < 0.25, 0.3).otherwise(0.0) + F.when(eps > 0.30, 0.3).otherwise(0.0)
     score = F.when(bad, 0.0).otherwise(F.greatest(F.lit(0.0), F.round(1 - off, 6)))
-    label = F.when(bad | hard | (F.col("score") < 0.5), "invalid").when((F.col("score") < 0.8) | (F.col("score") < 1), "borderline").otherwise("valid")
-    return rings.withColumn("score", score).withColumn("quality", label)
+    label = F.when(bad | hard | (F.col("score") < 0.5), "invalid").when(F.col("score") < 1, "borderline").otherwise("valid")
+    named = {"radii": bad, "ratio_hard": ~bad & hard, "ratio_soft": ~bad & soft & ~hard, "thickness": ~bad & (tau < 0.25), "offset": ~bad & (eps > 0.30)}
+    reasons = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in named.items()]))
+    return rings.withColumn("score", score).withColumn("quality", label).withColumn("reasons", reasons)

@@ -46,6 +46,18 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("image_id", "label", F.floor(F.col("pos") / 8).cast("int").alias("row"), (F.col("pos") % 8).cast("int").alias("col"), at(0).alias("b"), at(21).alias("g"), at(42).alias("r"))
 
 
+def mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, label, row, col, b, g, r: images of 64 x 64, each made of 64 of the small ones that follow each other; places of missing ones are 0."""
+    tile = F.col("image_id") % 64
+    row, col = (F.floor(tile / 8) * 8 + F.col("row")).cast("int"), (tile % 8 * 8 + F.col("col")).cast("int")
+    whole = F.floor(F.col("image_id") / 64)
+    cells = pixels(spark, sf_dir).select(whole.alias("image_id"), row.alias("row"), col.alias("col"), "b", "g", "r")
+    ids = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("image_id")).distinct()
+    places = ids.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(4095))))
+    grid = places.select("image_id", (F.col("image_id") % 2).cast("int").alias("label"), F.floor(F.col("_at") / 64).cast("int").alias("row"), (F.col("_at") % 64).alias("col"))
+    return grid.join(cells, ["image_id", "row", "col"], "left").select("image_id", "label", "row", "col", *[F.coalesce(c, F.lit(0)).alias(c) for c in "bgr"])
+
+
 def seamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """image_id, row, col, value: images with an empty column, 4 for even images (mirrored) and 7 for odd ones."""
     p = pixels(spark, sf_dir)
@@ -68,6 +80,10 @@ cells as (select *, unnest(range(0, 64)) as pos from levels),
 pixels as (select image_id, label, cast(pos // 8 as int) as row, cast(pos % 8 as int) as col, v[pos + 1] as b, v[(pos + 21) % 64 + 1] as g, v[(pos + 42) % 64 + 1] as r from cells)""",
     "radii": "radii as (select l_returnflag as cohort, l_quantity as pupil_r, cast(45 + l_partkey % 40 as double) as iris_r, cast(l_suppkey % 30 as double) as dx from lineitem)",
 }
+CTE["mosaics"] = CTE["pixels"] + """,
+mcells as (select image_id // 64 as image_id, cast((image_id % 64) // 8 * 8 + row as int) as row, cast((image_id % 64) % 8 * 8 + col as int) as col, b, g, r from pixels),
+mgrid as (select image_id, cast(pos // 64 as int) as row, cast(pos % 64 as int) as col from (select distinct vec_id // 64 as image_id, unnest(range(0, 4096)) as pos from embeddings)),
+mosaics as (select image_id, cast(image_id % 2 as int) as label, row, col, coalesce(b, 0) as b, coalesce(g, 0) as g, coalesce(r, 0) as r from mgrid left join mcells using (image_id, row, col))"""
 CTE["seamed"] = CTE["pixels"] + ",\nseamed as (select image_id, row, col, case when col = case when image_id % 2 = 0 then 4 else 7 end then 0 else b end as value from pixels)"
 
 
