@@ -5,7 +5,7 @@ of collections is one hash table, so ``halves * half_rows`` minhashes give
 ``halves * (halves - 1) / 2`` tables: about the square root of the usual cost. Candidates are
 confirmed on full shingle sets. Equal sets are one node from the start, so groups of copies cost
 nothing; in a bucket members are compared with a pivot first, and only what is still apart is
-compared pair by pair, in blocks.
+compared pair by pair, block by block of nodes that share buckets.
 """
 
 from __future__ import annotations
@@ -102,22 +102,23 @@ def _linked(pairs: DataFrame, sets: DataFrame, alike: Column) -> DataFrame:
     return both.select("a", "b", F.size(F.array_intersect("ga", "gb")).alias("both"), (F.size("ga") + F.size("gb")).alias("sum")).filter(alike).select("a", "b")
 
 
-def _rest_linked(live: DataFrame, sets: DataFrame, percent: int, block: int = 256, block_grams: int = 500_000) -> DataFrame:
+def _rest_linked(live: DataFrame, sets: DataFrame, percent: int, block: int = 128, block_grams: int = 250_000) -> DataFrame:
     """Links (a, b) between nodes that share a bucket but no component yet.
 
-    Buckets that overlap are one family. Each family is dealt into blocks of a bounded number of nodes
-    and shingles, and each pair of blocks is one small task: every pair is compared, yet no rows of pairs are made.
+    A node's home is the fullest of its buckets; a home is dealt into blocks of a bounded number of nodes and shingles, so
+    nodes that share many buckets stand together. Two blocks meet if some bucket has nodes of both, and each such pair is one
+    small task: every pair of nodes that share a bucket is compared once or more, no rows of pairs are made, and families that
+    only hang together by chains of buckets are not compared throughout.
     """
-    centre = live.groupBy("key").agg(F.min("sid").alias("c"))
-    # a node hangs on its least centre alone, and that centre on the node's others: few edges however many buckets are shared
-    hung = live.join(centre, "key").groupBy("sid").agg(F.min("c").alias("a"), F.collect_set("c").alias("others"))
-    hung = hung.select("a", F.explode(F.array_union(F.array("sid"), F.col("others"))).alias("b"))
-    family = components(hung.filter("a <> b").distinct())
-    nodes = live.select("sid", "root", "size").distinct().join(family.select(F.col("node").alias("sid"), F.col("root").alias("family")), "sid")
-    parts = nodes.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") / block_grams)).cast("int").alias("parts"))
-    dealt = nodes.join(parts, "family").join(sets, "sid").withColumn("at", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-    spread = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pairs = spread.select("family", F.least("at", "to").alias("i"), F.greatest("at", "to").alias("j"), "at", "sid", "root", "grams")
+    full = live.groupBy("key").agg(F.count(F.lit(1)).alias("full"))
+    homes = live.join(full, "key").groupBy("sid").agg(F.max(F.struct("full", "key")).alias("home"), F.first("root").alias("root"), F.first("size").alias("size"))
+    homes = durable(homes.select("sid", "root", "size", F.col("home.key").alias("home")))
+    parts = homes.groupBy("home").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") / block_grams)).cast("int").alias("parts"))
+    dealt = durable(homes.join(parts, "home").withColumn("at", F.xxhash64("home", F.pmod(F.xxhash64("sid"), F.col("parts")))).select("sid", "root", "at"))
+    inside = live.select("key", "sid").join(dealt.select("sid", "at"), "sid").groupBy("key").agg(F.collect_set("at").alias("blocks"))
+    met = inside.select(F.explode("blocks").alias("i"), "blocks").select("i", F.explode(F.filter("blocks", lambda x: x >= F.col("i"))).alias("j")).distinct()
+    sides = met.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("at"))
+    pairs = sides.join(dealt, "at").join(sets, "sid").select("i", "j", "at", "sid", "root", "grams")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("sid", ignore_index=True)
@@ -156,7 +157,7 @@ def _rest_linked(live: DataFrame, sets: DataFrame, percent: int, block: int = 25
                 out.append((sid[mine[x]], sid[other[y]]))
         return pd.DataFrame(out, columns=["a", "b"])
 
-    return pairs.groupBy("family", "i", "j").applyInPandas(compare, "a binary, b binary")
+    return pairs.groupBy("i", "j").applyInPandas(compare, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -175,7 +176,7 @@ def components(links: DataFrame) -> DataFrame:
             return new
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, halves: int = 10, half_rows: int = 2, pivot_rounds: int = 2, shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 85, halves: int = 10, half_rows: int = 2, pivot_rounds: int = 2, block: int = 128, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs (doc_id, text).
 
     Documents are linked if 100 * |A & B| >= percent * |A | B| over their distinct word shingles; a
@@ -184,7 +185,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, halves: int = 10, half_r
     sets are linked; rows that repeat a doc_id each come back; a null doc_id is never kept, its
     component is that of its copies (null without any).
     A pair at the threshold is missed by all 45 tables with a chance below 1 in 10,000, one above
-    it with less.
+    it with less. Other columns of docs are left out; an empty table gives no rows.
     """
     alike = F.expr(f"100 * both >= {percent} * (sum - both)")
     base = durable(sketches(docs, halves, half_rows, shingle))
@@ -220,7 +221,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, halves: int = 10, half_r
         scratch.append(roots)
         live = durable(rooted.join(apart, "key").join(top.select("key", F.col("top.sid").alias("was")), "key").withColumn("w", F.when(F.col("sid") == F.col("was"), -1).otherwise(F.col("w"))).drop("was"))
         scratch.append(live)
-    found.append(durable(_rest_linked(live, sets, percent)))
+    found.append(durable(_rest_linked(live, sets, percent, block)))
     roots = components(reduce(DataFrame.union, found))
     scratch += [roots, reps, tables, buckets, wanted, sets]
 

@@ -31,7 +31,8 @@ def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
-def test_near_duplicates_brute_force(spark):
+@pytest.mark.parametrize("rounds, block", [(2, 128), (0, 4)])
+def test_near_duplicates_brute_force(spark, rounds, block):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(400)]
     base = [[rng.choice(words) for _ in range(rng.randint(1, 120))] for _ in range(40)]
@@ -44,7 +45,7 @@ def test_near_duplicates_brute_force(spark):
             texts.append(" ".join(c))
     texts += ["", None, "A b C d e", "a B c d E"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs).collect()}
+    got = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs, pivot_rounds=rounds, block=block).collect()}
 
     def grams(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
