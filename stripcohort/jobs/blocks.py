@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stripcohort.jobs.imaging import OTSU, PX, rounded
-from stripcohort.operators import blocks, comparison, metrics, rules
+from stripcohort.operators import blocks, comparison, metrics, rules, similar
 from stripcohort.sources import views
 from stripcohort.sources.views import sql
 
@@ -40,7 +38,7 @@ def _near(spark: SparkSession, d: str) -> DataFrame:
     """Vectors and jittered copies of every tenth."""
     base = views.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
     copies = base.filter("id % 10 = 0").select((F.col("id") + 1000000).alias("id"), F.transform("v", lambda x, i: x + 0.001 * (i % 3 - 1)).alias("v"))
-    return blocks.near_pairs(base.union(copies))
+    return similar.near_pairs(base.union(copies))
 
 
 @query("pixels", more=PX + ", " + REGION_SQL, body="select image_id, region, round(mean, 6) as mean, round(std, 6) as std from rb")
@@ -98,10 +96,7 @@ def a13_near_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(more="e as (select a, b from pairs union select b, a from pairs), reach as (select a as id, a as g from e union select e.a, r.g from reach r join e on e.b = r.id), m as (select id, min(g) as group_id from reach group by 1)", body="select id, group_id, count(*) over (partition by group_id) as size from m")
 def a14_near_groups(spark: SparkSession, d: str) -> DataFrame:
-    if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="stripcohort-"))
-    return blocks.groups(_near(spark, d))
+    return similar.groups(_near(spark, d))
 
 
 SQL["a14_near_groups"] = "with recursive " + VECTORS + ", " + SQL["a14_near_groups"].removeprefix("with ").lstrip()

@@ -40,8 +40,8 @@ def mirror_sql(at: str, size: int) -> str:
 
 def extreme_sql(name: str, of: str, size: int, pick: str) -> str:
     """The largest or least value of a view under an elliptic footprint."""
-    foot = ", ".join(f"({d}, {x})" for d, x in neighbourhoods.ellipse(size))
-    return f"{name} as (select a.image_id, a.row, a.col, {pick}(b.value) as value from {of} a cross join (values {foot}) f(d, x) join {of} b on b.image_id = a.image_id and b.row = a.row + d and b.col between a.col - x and a.col + x group by 1, 2, 3)"
+    foot = ", ".join(f"({d}, {k})" for d, x in neighbourhoods.ellipse(size) for k in range(-x, x + 1))
+    return f"{name} as materialized (select image_id, r as row, c as col, {pick}(value) as value from (select image_id, row + d as r, col + k as c, value from {of} cross join (values {foot}) f(d, k)) join (select max(row) as h, max(col) as w from {of}) on r between 0 and h and c between 0 and w group by 1, 2, 3)"
 
 
 def fine_sql(of: str) -> str:
@@ -140,7 +140,7 @@ MOSAIC = "px as (select image_id, label, row, col, g as value from mosaics)"
 )
 def p8_fine_structures(spark: SparkSession, d: str) -> DataFrame:
     """Both hats at three scales on the large images."""
-    return neighbourhoods.fine_structures(_mosaic(spark, d).drop("label"))
+    return neighbourhoods.fine_structures(_mosaic(spark, d).drop("label"), 64)
 
 
 @query(more=PX + ", c as (select *, count(*) over (partition by image_id order by value) as c, count(*) over (partition by image_id) as n from px), z as (select *, min(c) over (partition by image_id) as c0 from c)", body="select image_id, row, col, cast(case when n = c0 then value else round_even((c - c0) * 255e0 / (n - c0), 0) end as int) as value from z")
@@ -281,7 +281,7 @@ def f14_radial_thirds(spark: SparkSession, d: str) -> DataFrame:
 def f15_dominant_scale(spark: SparkSession, d: str) -> DataFrame:
     """Which footprint answers most among structure pixels, of equals the smallest, and every footprint's mean answer."""
     image = _mosaic(spark, d).drop("label")
-    each = [neighbourhoods.fine_structures(image, (n,)).withColumn("scale", F.lit(n)) for n in neighbourhoods.SCALES]
+    each = [neighbourhoods.fine_structures(image, 64, (n,)).withColumn("scale", F.lit(n)) for n in neighbourhoods.SCALES]
     return rounded(features.dominant_scale(each[0].union(each[1]).union(each[2])), "share", "mean")
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stripcohort.operators import prefix
+from stripcohort.operators import prefix, similar
+from stripcohort.sources import shared as shared_tables
 
 
 def unique_within(images: DataFrame, keys: list[str], order: str = "id") -> DataFrame:
@@ -86,3 +87,38 @@ def unmirror(image: DataFrame, flags: DataFrame, width: int) -> DataFrame:
     """Mirrored images rolled by half their width and turned round; others as they are. A relabelling of columns."""
     to = F.pmod(F.lit(width - 1 + width // 2) - F.col("col"), F.lit(width))
     return image.join(flags.select("image_id", "mirrored"), "image_id").select("image_id", "row", F.when(F.col("mirrored"), to).otherwise(F.col("col")).cast("int").alias("col"), "value")
+
+
+def cohort_audit(images: DataFrame, width: int, least: float = 0.97) -> DataFrame:
+    """Per layout: rows and unique images per class, removed copies, the largest multiplicity, unique mirrored images per class, unique images whose seam
+    is repaired, pairs of them that correlate by least or more, and the groups that these make (lone images too).
+
+    images is (layout, label, image_id, row, col, value). Copies are found by hashes of whole images within a layout.
+    """
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "col", "value"))), lambda x: x["value"].cast("string")), ",")
+    hashed = images.groupBy("layout", "label", F.col("image_id").alias("id")).agg(F.sha2(whole, 256).alias("sha"))
+    first = hashed.groupBy("layout", "sha").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    flags = mirrored(images, width).select(F.col("image_id").alias("id"), "n_empty", "mirrored")
+    unique = hashed.join(first.select("id"), "id").join(flags, "id")
+    by = lambda c: F.count_if(c)
+    rows = hashed.groupBy("layout").agg(by(F.col("label") == 0).alias("rows_0"), by(F.col("label") == 1).alias("rows_1"))
+    some = first.groupBy("layout").agg((F.sum("n") - F.count(F.lit(1))).alias("removed"), F.max("n").alias("most_copies"))
+    seam = (F.col("n_empty") > 0) & (F.col("n_empty") < width // 2)
+    of = {f"{name}_{k}": by((F.col("label") == k) & on) for name, on in (("unique", F.lit(True)), ("mirrored", F.col("mirrored"))) for k in (0, 1)}
+    kept = unique.groupBy("layout").agg(*[c.alias(n) for n, c in of.items()], by(seam).alias("repaired"), F.count(F.lit(1)).alias("_all"))
+    # near pairs within a layout, on repaired images: a layout's images get a direction of their own
+    only = images.join(unique.select(F.col("id").alias("image_id")), "image_id", "left_semi")
+    fixed = repair_seam(only, width)
+    vectors = fixed.groupBy(F.col("image_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "col", "value"))), lambda x: x["value"].cast("double")).alias("v"))
+    layout_of = unique.select("id", "layout")
+    pairs = shared_tables.durable(similar.near_pairs(vectors, least).join(layout_of.withColumnRenamed("id", "a"), "a").join(layout_of.select(F.col("id").alias("b"), F.col("layout").alias("_l")), "b").filter("layout = _l").select("layout", "a", "b"))
+    linked = pairs.groupBy("layout").agg(F.count(F.lit(1)).alias("near_pairs"))
+    named = similar.groups(pairs).join(layout_of, "id").groupBy("layout").agg((F.count(F.lit(1)) - F.count_distinct("group_id")).alias("_fewer"))
+    out = rows
+    for part in (some, kept):
+        out = prefix.joined(out, part, ["layout"])
+    for part in (linked, named):
+        out = prefix.joined(out, part, ["layout"], "left")
+    zero = F.lit(0).cast("long")
+    groups = (F.col("_all") - F.coalesce("_fewer", zero)).alias("groups")
+    return out.select("layout", "rows_0", "rows_1", "unique_0", "unique_1", "removed", "most_copies", "mirrored_0", "mirrored_1", "repaired", F.coalesce("near_pairs", zero).alias("near_pairs"), groups)

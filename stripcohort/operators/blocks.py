@@ -1,11 +1,7 @@
-"""Feature blocks of images: regions, fusion, standardising within folds, null labels, similar strips and their groups."""
+"""Feature blocks of images: regions, fusion, standardising within folds, null labels, difference maps."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,55 +81,6 @@ def similarity(pairs: DataFrame, image: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, ["b", "row", "col"]).groupBy("a", "b").agg(r.alias("r"))
 
 
-def near_pairs(vectors: DataFrame, least: float = 0.97, tables: int = 48, bits: int = 14, seed: int = 7) -> DataFrame:
-    """a, b, r: pairs a < b of vectors (id, v) whose Pearson correlation is least or more.
-
-    Candidates share the signs of `bits` random planes in one of `tables`; each is confirmed on the vectors. At 0.97 a
-    pair is missed with a chance of about 1 in 100 million. Equal strips are to be removed first (by their hash), since
-    they share every bucket. Vectors that are null or constant take no part.
-    """
-    mean = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) / F.size("v")
-    centred = vectors.filter("v is not null").select("id", F.transform("v", lambda x: x - mean).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    unit = centred.withColumn("_n", norm).filter("_n > 0").select("id", F.transform("v", lambda x: x / F.col("_n")).alias("v"))
-
-    def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        weights = 1 << np.arange(bits)
-        for batch in batches:
-            if len(batch):
-                m = np.stack(batch["v"].to_numpy())
-                planes = np.random.default_rng(seed).standard_normal((m.shape[1], tables * bits))
-                keys = ((m @ planes > 0).reshape(len(m), tables, bits) * weights).sum(axis=2)
-                yield pd.DataFrame({"id": batch["id"], "keys": list(keys)})
-
-    keyed = unit.mapInPandas(sign, "id long, keys array<long>").select("id", F.posexplode("keys").alias("t", "k"))
-    met = keyed.select(F.col("id").alias("a"), "t", "k").join(keyed.select(F.col("id").alias("b"), "t", "k"), ["t", "k"]).filter("a < b").select("a", "b").distinct()
-    dot = F.aggregate(F.zip_with("_x", "_y", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    both = met.join(unit.select(F.col("id").alias("a"), F.col("v").alias("_x")), "a").join(unit.select(F.col("id").alias("b"), F.col("v").alias("_y")), "b")
-    return both.select("a", "b", dot.alias("r")).filter(F.col("r") >= least)
-
-
-def groups(pairs: DataFrame, rounds: int = 50) -> DataFrame:
-    """id, group_id, size: connected components of pairs (a, b), named by their smallest member.
-
-    Every round takes the least label around and jumps to that label's own, so chains halve; lineage is cut by a checkpoint.
-    """
-    edges = pairs.select("a", "b").union(pairs.select("b", "a")).distinct().checkpoint()
-    label = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("g")).select("id", F.least("id", "g").alias("g"))
-    for _ in range(rounds):
-        near = edges.join(label.select(F.col("id").alias("b"), "g"), "b").groupBy(F.col("a").alias("id")).agg(F.min("g").alias("_g"))
-        step = label.join(near, "id").select("id", F.col("g").alias("_old"), F.least("g", "_g").alias("g"))
-        jump = label.select(F.col("id").alias("g"), F.col("g").alias("_far"))
-        label = step.join(jump, "g").select("id", "_old", F.least("g", "_far").alias("g")).checkpoint()
-        if label.filter("_old <> g").isEmpty():
-            break
-        label = label.drop("_old")
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    size = label.groupBy("g").agg(F.count(F.lit(1)).alias("size"))
-    return label.join(size, "g").select("id", F.col("g").alias("group_id"), "size")
-
-
 def difference_map(image: DataFrame) -> DataFrame:
     """row, col, cohen_d, welch_t, p, q: the classes' difference at every place by the pooled deviation, Welch's test, and q over all places.
 

@@ -67,26 +67,25 @@ def ellipse(size: int) -> list[tuple[int, int]]:
     return [(d, round(r * math.sqrt(max(1 - d * d / (r * r), 0)))) for d in range(-r, r + 1)]
 
 
-def _extreme(image: DataFrame, footprint: list[tuple[int, int]], largest: bool) -> DataFrame:
+def _extreme(image: DataFrame, footprint: list[tuple[int, int]], largest: bool, height: int) -> DataFrame:
     """The largest or least value under a footprint; places beyond the border don't count. Along a row by a frame, between rows by an explode."""
     pick = F.max if largest else F.min
     line = W.partitionBy("image_id", "row").orderBy("col")
     reaches = sorted({x for _, x in footprint})
     cut = image.withColumns({f"_{x}": pick("value").over(line.rangeBetween(-x, x)) for x in reaches})
     to = F.array(*[F.struct((F.col("row") - d).alias("row"), F.col(f"_{x}").alias("value")) for d, x in footprint])
-    out = cut.select("image_id", "col", F.inline(to)).groupBy("image_id", "row", "col").agg(pick("value").alias("value"))
-    return out.join(image.select("image_id", "row", "col"), ["image_id", "row", "col"], "left_semi")
+    return cut.select("image_id", "col", F.inline(to)).filter(F.col("row").between(0, height - 1)).groupBy("image_id", "row", "col").agg(pick("value").alias("value"))
 
 
-def fine_structures(image: DataFrame, scales: tuple[int, ...] = SCALES, mode: str = "both") -> DataFrame:
+def fine_structures(image: DataFrame, height: int, scales: tuple[int, ...] = SCALES, mode: str = "both") -> DataFrame:
     """image_id, row, col, value: closings less the image (black) and the image less openings (top), or both, summed over footprints."""
     parts = []
     for size in scales:
         foot = ellipse(size)
         if mode in ("both", "black"):
-            parts.append((_extreme(_extreme(image, foot, True), foot, False), 1))
+            parts.append((_extreme(_extreme(image, foot, True, height), foot, False, height), 1))
         if mode in ("both", "top"):
-            parts.append((_extreme(_extreme(image, foot, False), foot, True), -1))
+            parts.append((_extreme(_extreme(image, foot, False, height), foot, True, height), -1))
     whole = sum(sign for _, sign in parts)
     sums = reduce(DataFrame.unionByName, [p.select("image_id", "row", "col", (F.col("value") * sign).alias("value")) for p, sign in parts])
     sums = sums.unionByName(image.select("image_id", "row", "col", (F.col("value") * -whole).alias("value")))

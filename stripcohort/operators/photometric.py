@@ -89,7 +89,7 @@ TRANSFORMS = {
     "original": lambda image, h, w: image,
     "histogram": lambda image, h, w: equalise(image),
     "blur": neighbourhoods.smoothed,
-    "blackhat": lambda image, h, w: min_max(neighbourhoods.fine_structures(image)),
+    "blackhat": lambda image, h, w: min_max(neighbourhoods.fine_structures(image, h)),
 }
 
 

@@ -32,6 +32,30 @@ def with_status(files: DataFrame) -> DataFrame:
     return files.withColumn("readable", F.coalesce(known, F.lit(False)))
 
 
+def decoded(spark: SparkSession, root: str) -> DataFrame:
+    """path, label, readable, height, width, n_channels, data (blue, green, red by rows): every image file under a class folder, decoded.
+
+    A file that can't be decoded comes back as not readable, so that a caller counts it; it stops nothing.
+    """
+    every = image_files(spark, root).select("path", "label")
+    found = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").load(root).select("image.*")
+    name = lambda c: F.regexp_replace(c, "^file:/*", "file:/")
+    known = found.select(name(F.col("origin")).alias("_of"), "height", "width", F.col("nChannels").alias("n_channels"), "data")
+    out = every.join(known, name(F.col("path")) == F.col("_of"), "left").withColumn("readable", F.col("_of").isNotNull())
+    return out.select("path", "label", "readable", "height", "width", "n_channels", "data")
+
+
+def violations(rows: DataFrame, label: str, values: str, length: int) -> DataFrame:
+    """label, n, violating: rows per class whose array is missing, has another length, or holds a gap."""
+    whole = F.col(values).isNotNull() & (F.size(values) == length) & ~F.exists(values, lambda x: x.isNull())
+    return rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(whole, F.lit(False))).alias("violating"))
+
+
+def mapping(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A mapping of file names, one JSON object a line."""
+    return spark.read.schema(schema).json(path)
+
+
 def with_mapping(files: DataFrame, mapping: DataFrame) -> DataFrame:
     """Adds the columns of a mapping (file, ...) by file name; files without one stay, with nulls. A name that the mapping repeats gives one row per entry."""
     return files.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(mapping, "file", "left")

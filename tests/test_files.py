@@ -38,7 +38,7 @@ def test_regions_without_columns_and_constant_strips(spark):
 
 
 def test_near_pairs_leave_constant_and_null_vectors_out(spark):
-    from stripcohort.operators import blocks
+    from stripcohort.operators import similar
 
     rows = [(1, [1.0, 2.0, 4.0]), (2, [2.0, 4.0, 8.0]), (3, [4.0, 2.0, 1.0]), (4, [1.0, 1.0, 1.0]), (5, None)]
-    assert [(r["a"], r["b"]) for r in blocks.near_pairs(spark.createDataFrame(rows, "id long, v array<double>")).collect()] == [(1, 2)]
+    assert [(r["a"], r["b"]) for r in similar.near_pairs(spark.createDataFrame(rows, "id long, v array<double>")).collect()] == [(1, 2)]
