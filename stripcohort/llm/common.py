@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stripcohort.sources.shared import durable, forget, fresh, hadoop_path, scratch, shared_dir
+
+__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "crc_of", "durable", "forget", "free_names", "fresh", "lower_ascii", "scratch", "shared_dir", "sized", "table"]
+
 #: A side is broadcast only after it has been shown to have no more rows, and no more bytes on disk, than these.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 16 << 20
@@ -22,84 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. One of our own only in local mode, where all run on one machine."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if named is None and context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="stripcohort-"))
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(named)
-    return named or context.getCheckpointDir()
-
-
-_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
-_left: list[str] = []
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes, at its end, the tables and archives that operators made inside. Write out what is to last before that.
-
-    Outside of it they stay until Python ends, since a result that hasn't been read yet may need them.
-    """
-    made: list[str] = []
-    token = _scratch.set(made)
-    try:
-        yield
-    finally:
-        _scratch.reset(token)
-        remove(spark, *made)
-
-
-def fresh(spark: SparkSession) -> str:
-    """A path in the shared folder for one table or set of files, which is removed as scratch() says."""
-    path = f"{shared_dir(spark).rstrip('/')}/stripcohort-{uuid.uuid4().hex}"
-    made = _scratch.get()
-    (_left if made is None else made).append(path)
-    return path
-
-
-def remove(spark: SparkSession, *paths: str) -> None:
-    context = spark.sparkContext
-    for path in paths:
-        at = context._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _sweep() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark is not None and _left:
-        try:
-            remove(spark, *_left)
-        except Exception as e:  # the session may be gone with the cluster
-            print(f"left in the shared folder: {e}")
-
-
-def durable(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Cuts the lineage: the rows are a table in the shared folder, so a lost executor costs no recomputation."""
-    path = path or fresh(df.sparkSession)
-    df.write.parquet(path)
-    kept = df.sparkSession.read.schema(df.schema).parquet(path)
-    kept.durable_path = path
-    return kept
-
-
-def forget(*tables: DataFrame) -> None:
-    """Removes tables made by durable() that no later step reads."""
-    for kept in tables:
-        remove(kept.sparkSession, kept.durable_path)
-
-
 def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Materialises a side of a join; marks it for broadcast only if its rows and bytes as written are few, else a shuffle join stays."""
     kept = durable(df)
-    context = df.sparkSession.sparkContext
-    at = context._jvm.org.apache.hadoop.fs.Path(kept.durable_path)
-    size = at.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    at, system = hadoop_path(df.sparkSession, kept.durable_path)
+    size = system.getContentSummary(at).getLength()
     side = F.broadcast(kept) if size <= max_bytes and kept.count() <= max_rows else kept
     side.durable_path = kept.durable_path
     return side

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stripcohort.llm.common import durable, fresh, sized
+from stripcohort.sources.shared import hadoop_path
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Payloads shorter than this are always written in full.
@@ -246,6 +247,5 @@ def _uri(folder: str) -> str:
 
 
 def _make(pages: DataFrame, folder: str) -> None:
-    context = pages.sparkSession.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(context._jsc.hadoopConfiguration()).mkdirs(path)
+    at, system = hadoop_path(pages.sparkSession, folder)
+    system.mkdirs(at)
