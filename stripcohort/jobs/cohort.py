@@ -160,10 +160,20 @@ def t7_heatmap_rows(spark: SparkSession, d: str) -> DataFrame:
     return _folds(spark, d).groupBy("dataset", "clf").agg(F.array_join(F.transform(F.array_sort(F.collect_list(cell)), lambda x: x["a"]), ",").alias("grid"))
 
 
-@query(sql("predictions", more=MEAN, body="select 'acc_' || dataset || '_' || clf as key, round(acc, 6) as value, replace(format('{:.4f}', acc), '.', ',') as shown from means"))
+@query(
+    sql(
+        "predictions",
+        more=FOLD + ",\n" + RATE + """,
+m as (select dataset, clf, avg(acc) as acc, avg(bal_acc) as bal, stddev_pop(acc) as sd, sum(tn + fp + fn + tp) as n from folds group by 1, 2),
+l as (select dataset, clf, unnest(['acc', 'bal', 'sd', 'n']) as family, unnest([acc, bal, sd, n::double]) as v from m)""",
+        body="select family || '_' || dataset || '_' || clf as key, round(v, 6) as value, case when family = 'n' then v::bigint::varchar else replace(format('{:.4f}', v), '.', ',') end as shown from l",
+    )
+)
 def t8_number_table(spark: SparkSession, d: str) -> DataFrame:
-    """One value per key, and as it is printed with a decimal comma."""
-    return _means(spark, d).select(F.concat(F.lit("acc_"), "dataset", F.lit("_"), "clf").alias("key"), F.round("acc", 6).alias("value"), F.translate(F.format_number("acc", 4), ".", ",").alias("shown"))
+    """One value per key over several families of numbers, and as each is printed: counts whole, the rest with a decimal comma."""
+    folds = _folds(spark, d).withColumn("n", F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"))
+    means = folds.groupBy("dataset", "clf").agg(F.avg("acc").alias("acc"), F.avg("bal_acc").alias("bal"), F.stddev_pop("acc").alias("sd"), F.sum("n").cast("double").alias("n"))
+    return metrics.number_table(means, ["dataset", "clf"], ["acc", "bal", "sd"], ["n"])
 
 
 @query("select doc_id as id, sha256(text) as sha from documents")

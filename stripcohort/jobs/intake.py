@@ -172,3 +172,23 @@ join (select layout, max(n)::bigint as most from firsts group by 1) f using (lay
 def a6_cohort_audit(spark: SparkSession, d: str) -> DataFrame:
     """The whole audit row of every layout: copies, mirrored strips, repaired seams, near pairs and the groups that folds keep whole."""
     return audit.cohort_audit(_strips(spark, d), 8)
+
+
+@query(
+    sql(
+        "pixels",
+        more=STRIPS
+        + """,
+turned as (select id, id % 3 as layout, row, case when e = 4 then (11 - col) % 8 else col end as col, value from strips),
+hashes as (select layout, id, sha256(string_agg(value::varchar, ',' order by row, col)) as sha from turned group by 1, 2)""",
+        body="select layout, count(*)::bigint as n, round(avg((sha in (select sha from hashes where layout = 0))::int), 6) as in_left, round(avg((sha in (select sha from hashes where layout = 1))::int), 6) as in_right from hashes group by 1",
+    )
+)
+def a8_unmirrored_membership(spark: SparkSession, d: str) -> DataFrame:
+    """A8 on images: the share of a layout's strips, turned back where they are mirrored, that stand in either side."""
+    strips = _strips(spark, d).select("image_id", "row", "col", "value")
+    turned = audit.unmirror(strips, audit.mirrored(strips, 8), 8)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "col", "value"))), lambda x: x["value"].cast("string")), ",")
+    hashed = turned.groupBy("image_id").agg(F.sha2(whole, 256).alias("sha")).withColumn("layout", F.col("image_id") % 3)
+    sides = {"left": hashed.filter("layout = 0"), "right": hashed.filter("layout = 1")}
+    return rounded(audit.membership(hashed, sides, ["layout"]), "in_left", "in_right")

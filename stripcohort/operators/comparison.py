@@ -51,7 +51,7 @@ def normal_cdf(x: pd.Series) -> pd.Series:
 
 
 def interval(folds: DataFrame, keys: list[str], value: str, test_share: float | None = None, level: float = 0.95) -> DataFrame:
-    """mean, sd (sample), k, lo, hi of a value across folds; null and NaN values fall away, one value gives no interval (NaN).
+    """mean, sd (sample), k, lo, hi of a value across folds; null and NaN values fall away, one value gives no interval (null).
 
     test_share is n_test / n_train: then the variance is corrected for folds that share training rows; None is Student's plain interval.
     """
@@ -64,7 +64,7 @@ def interval(folds: DataFrame, keys: list[str], value: str, test_share: float |
 def paired(folds: DataFrame, config: str, baseline: str, keys: list[str], pairing: list[str], value: str, test_share: float) -> DataFrame:
     """diff, t, p, lo, hi, k of every configuration against the baseline on equal folds, variance corrected.
 
-    Without variance t is 0 or infinite and the interval a point; one fold has no t, p or interval (NaN).
+    Without variance t is 0 or infinite and the interval a point; one fold has no t, p or interval (NaN or null).
     """
     base = folds.filter(F.col(config) == baseline).select(*keys, *pairing, F.col(value).alias("_b"))
     both = folds.filter(F.col(config) != baseline).join(base, [*keys, *pairing]).withColumn("_d", F.col(value) - F.col("_b"))

@@ -41,6 +41,11 @@ def perceptron(hidden: tuple[int, ...] = (100, 50), steps: int = 100, seed: int
 LEARNERS: dict[str, Callable[[], Learner]] = {"logistic": logistic, "forest": forest, "perceptron": perceptron}
 
 
+def held(rows: DataFrame, per_part: int = 10_000) -> DataFrame:
+    """rows kept for the many passes of a fit, in no more partitions than their number asks for (a fit is hundreds of small jobs)."""
+    return rows.coalesce(rows.count() // per_part + 1).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def vectors(rows: DataFrame) -> DataFrame:
     """rows with features (array of numbers) and y (boolean) as the library's columns."""
     return rows.withColumns({"features": array_to_vector(F.col("features").cast("array<double>")), "label": F.col("y").cast("double")})
@@ -73,7 +78,7 @@ def cross_validated(rows: DataFrame, learners: dict[str, Learner], fold: str = "
     With tests (id, condition, features), condition too: the same models, fitted on rows, score every condition of the fold's ids; rows
     themselves are condition clean. A fold whose training part lacks a class has no predictions.
     """
-    ready = vectors(rows).persist(StorageLevel.MEMORY_AND_DISK)
+    ready = held(vectors(rows))
     keep = ["id", fold, "y"]
     asked = ready
     if tests is not None:
@@ -92,7 +97,7 @@ def cross_validated(rows: DataFrame, learners: dict[str, Learner], fold: str = "
 
 def stacked(train: DataFrame, test: DataFrame, blocks: list[str], inner: int, learner: Learner, seed: int) -> DataFrame | None:
     """id, y, score, pred of test by a stack: one model per block of features, whose out-of-fold probabilities on inner folds of train fit the last model."""
-    dealt = rules.stratified_folds(train, "y", inner, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    dealt = held(rules.stratified_folds(train, "y", inner, seed))
     levels = []
     for b in blocks:
         own = dealt.select("id", "y", "fold", F.col(b).alias("features"))
@@ -103,14 +108,15 @@ def stacked(train: DataFrame, test: DataFrame, blocks: list[str], inner: int, le
         outside = scored(whole, vectors(test.select("id", "y", F.col(b).alias("features"))), ["id"]).select("id", F.col("score").alias(b))
         levels.append((inside, outside))
     joined = [reduce(lambda x, y: x.join(y, "id"), [lv[i] for lv in levels]) for i in (0, 1)]
+    # out-of-fold scores are joined once, then read by every pass of the last fit
     first, second = (side.join(of.select("id", "y"), "id").select("id", "y", F.array(*blocks).alias("features")) for side, of in zip(joined, (train, test), strict=True))
-    last = fitted(vectors(first), learner)
+    last = fitted(held(vectors(first)), learner)
     return None if last is None else scored(last, vectors(second), ["id", "y"])
 
 
 def compared_fusion(rows: DataFrame, blocks: list[str], k: int = 5, inner: int = 5, seed: int = 42) -> DataFrame:
     """model, id, fold, y, score, pred of rows (id, y, and an array per block): every block alone and their stack, over the same folds."""
-    dealt = rules.stratified_folds(rows, "y", k, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    dealt = held(rules.stratified_folds(rows, "y", k, seed))
     out = [cross_validated(dealt.select("id", "y", "fold", F.col(b).alias("features")), {b: logistic()}, k=k).withColumnRenamed("clf", "model") for b in blocks]
     for f in range(k):
         part = stacked(dealt.filter(F.col("fold") != f).drop("fold"), dealt.filter(F.col("fold") == f), blocks, inner, logistic(), seed + 1)

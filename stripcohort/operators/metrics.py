@@ -109,3 +109,10 @@ def class_report(rows: DataFrame, keys: list[str]) -> DataFrame:
     macro = each.groupBy(*keys).agg(F.lit("macro").alias("class"), *[F.avg(n).alias(n) for n in names], F.sum("support").alias("support"))
     weighted = each.groupBy(*keys).agg(F.lit("weighted").alias("class"), *[zero(_ratio(F.sum(F.col(n) * F.col("support")), F.sum("support"))).alias(n) for n in names], F.sum("support").alias("support"))
     return reduce(DataFrame.union, [each, macro, weighted])
+
+
+def number_table(rows: DataFrame, keys: list[str], shares: list[str], counts: list[str], digits: int = 4) -> DataFrame:
+    """key (family_keys), value and shown of every column of shares and counts: counts are shown whole, shares with a decimal comma."""
+    entry = lambda n, shown: F.struct(F.concat_ws("_", F.lit(n), *keys).alias("key"), F.round(F.col(n).cast("double"), 6).alias("value"), shown.alias("shown"))
+    comma = lambda n: F.translate(F.format_string(f"%.{digits}f", F.col(n)), ".", ",")
+    return rows.select(F.inline(F.array(*[entry(n, comma(n)) for n in shares], *[entry(n, F.col(n).cast("long").cast("string")) for n in counts])))

@@ -29,9 +29,10 @@ def near_pairs(vectors: DataFrame, least: float = 0.97, seed: int = 7) -> DataFr
     that are null or constant take no part.
     """
     mean = _total("v") / F.size("v")
-    centred = vectors.filter("v is not null and size(v) > 0").select("id", F.transform("v", lambda x: x - mean).alias("v"))
+    lone = vectors.filter("v is not null and size(v) > 0").groupBy("v").agg(F.min("id").alias("id"))
+    centred = lone.select("id", F.transform("v", lambda x: x - mean).alias("v"))
     unit = centred.withColumn("_n", F.sqrt(_total(F.transform("v", lambda x: x * x)))).filter("_n > 0").select("id", F.transform("v", lambda x: x / F.col("_n")).alias("v"))
-    unit = durable(unit.groupBy("v").agg(F.min("id").alias("id")).select("id", "v"))
+    unit = durable(unit)
     bits = max(14, math.ceil(math.log2(max(unit.count(), 2))))
     agree = (1 - math.acos(min(least, 1 - 1e-9)) / math.pi) ** bits
     tables = max(1, math.ceil(math.log(MISSED) / math.log1p(-agree)))
