@@ -31,7 +31,7 @@ def none(spark):
     return spark.createDataFrame([], DOCS)
 
 
-@pytest.mark.parametrize("rounds, block", [(2, 128), (0, 4)])
+@pytest.mark.parametrize("rounds, block", [(2, 256), (0, 4)])
 def test_near_duplicates_brute_force(spark, rounds, block):
     rng = random.Random(5)
     words = [f"w{i}" for i in range(400)]
