@@ -45,14 +45,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     (row,) = free_names(docs.columns, "_row")
     rows = durable(docs.withColumn(row, F.monotonically_increasing_id()))
     found = near_dedup.near_duplicates(rows.select(F.col(row).alias("doc_id"), "text"), percent=80, halves=13)
-    found = found.select(F.col("doc_id").alias(row), F.col("component_id").alias("group"))
+    found = durable(found.select(F.col("doc_id").alias(row), F.col("component_id").alias("group")))
     ids = rows.select(row, F.col("doc_id").cast("long").alias("id"))
     order = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col(row).alias("row"))
-    # most groups are one row: only the others meet their ids
-    many = found.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("group")
-    grouped = durable(found.join(many, "group").join(ids, row).select("group", row, order.alias("order")))
-    stays = grouped.groupBy("group").agg(F.min("order").alias("first")).select(F.col("first.row").alias(row))
-    gone = sized(grouped.select(row).join(stays, row, "left_anti"))
+    # the first of a group is found by partial minima, and joins are by row: a group of any size is no task's
+    stays = found.join(ids, row).groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.row").alias(row))
+    gone = sized(found.select(row).join(stays, row, "left_anti"))
     return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
