@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stripcohort.sources.shared import durable
+
 #: Weights of the 5 x 5 smoothing per axis, and of the 3 x 3 Laplacian.
 SMOOTH = [1, 4, 6, 4, 1]
 LAPLACE = [(-1, -1, 2), (-1, 1, 2), (0, 0, -8), (1, -1, 2), (1, 1, 2)]
@@ -78,8 +80,11 @@ def _extreme(image: DataFrame, footprint: list[tuple[int, int]], largest: bool,
 
 
 def fine_structures(image: DataFrame, height: int, scales: tuple[int, ...] = SCALES, mode: str = "both") -> DataFrame:
-    """image_id, row, col, value: closings less the image (black) and the image less openings (top), or both, summed over footprints."""
-    parts = []
+    """image_id, row, col, value: closings less the image (black) and the image less openings (top), or both, summed over footprints.
+
+    The image is read by up to four passes per footprint, so it is written to the shared folder once.
+    """
+    image, parts = durable(image.select("image_id", "row", "col", "value")), []
     for size in scales:
         foot = ellipse(size)
         if mode in ("both", "black"):
