@@ -120,7 +120,8 @@ def h9_cliques(spark: SparkSession, d: str) -> DataFrame:
     long = _long(spark, d).select(F.concat("dataset", "clf").alias("config"), "repeat", "fold", "acc")
     whole = long.groupBy("repeat", "fold").agg(F.count(F.lit(1)).alias("_n")).join(long.agg(F.count_distinct("config").alias("_n")), "_n").drop("_n")
     ranks = comparison.average_ranks(long.join(whole, ["repeat", "fold"]), "config", ["repeat", "fold"], "acc")
-    return comparison.cliques(ranks, "config", comparison.friedman(ranks).first()["cd"])
+    found = comparison.friedman(ranks).first()  # one row, none without a block
+    return comparison.cliques(ranks, "config", found["cd"] if found and found["k"] > 1 else 1.0)
 
 
 NULLS = """o as (select o_orderkey as id, o_orderstatus as config, (o_orderpriority in ('1-URGENT', '2-HIGH'))::int as y, (o_totalprice > 150000)::int as pred from orders),

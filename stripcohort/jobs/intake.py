@@ -117,12 +117,12 @@ def s5_geometry_table(spark: SparkSession, d: str) -> DataFrame:
     return back.groupBy("file", "pupil_iris_ratio", "pupil_diameter", "iris_diameter", "iris_thickness").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(sql("predictions", more="f as (select dataset, clf, fold, round(avg((y = pred)::int), 6) as acc from predictions group by 1, 2, 3)", body="select dataset, clf, fold, acc, null::double as mean from f union all select dataset, null, null, null, round(avg(acc), 6) from f group by 1"))
+@query(sql("predictions", more="f as (select dataset, clf, fold, avg((y = pred)::int) as acc from predictions group by 1, 2, 3)", body="select dataset, clf, fold, round(acc, 6) as acc, null::double as mean from f union all select dataset, null, null, null, round(avg(acc), 6) from f group by 1"))
 def s6_result_tables(spark: SparkSession, d: str) -> DataFrame:
     """Two tables of other columns under the union of their keys, written as JSON and read back."""
-    folds = metrics.fold_metrics(views.predictions(spark, d), ["dataset", "clf", "fold"]).select("dataset", "clf", "fold", F.round("acc", 6).alias("acc"))
+    folds = metrics.fold_metrics(views.predictions(spark, d), ["dataset", "clf", "fold"]).select("dataset", "clf", "fold", "acc")
     path = shared.fresh(spark)
-    files.united([folds, folds.groupBy("dataset").agg(F.round(F.avg("acc"), 6).alias("mean"))]).write.json(path)
+    files.united([rounded(folds, "acc"), folds.groupBy("dataset").agg(F.round(F.avg("acc"), 6).alias("mean"))]).write.json(path)
     return spark.read.json(path, schema="dataset string, clf string, fold int, acc double, mean double")
 
 

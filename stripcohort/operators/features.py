@@ -15,15 +15,20 @@ OFFSETS = [(1, 0, 0, 1), (1, 45, 1, 1), (1, 90, 1, 0), (1, 135, 1, -1), (2, 0, 0
 def cooccurrence(image: DataFrame, levels: int = 64) -> DataFrame:
     """image_id, distance, angle, and six properties of the symmetric co-occurrence matrix; correlation is 1 if a level stands alone.
 
-    Each pixel is sent to itself and, once per offset, to the pixel that looks at it; the two meet in one aggregation by place.
+    An image is one array (a whole rectangle, row by row), so a pixel finds its neighbours by place: one shuffle by image, then cells are counted.
     """
     level = F.floor(F.col("value") * levels / 256).cast("int")
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("row", "col", level.alias("i")))), lambda x: x["i"])
+    one = image.groupBy("image_id").agg(whole.alias("v"), (F.max("col") + 1).alias("w"), (F.max("row") + 1).alias("h"))
     steps = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("distance", "angle", "dr", "dc"), o, strict=True)]) for o in OFFSETS])
-    own = image.select("image_id", "row", "col", level.alias("i"), F.inline(steps))
-    sides = F.array(F.struct(F.col("row").alias("r"), F.col("col").alias("c"), F.col("i").alias("i"), F.lit(None).cast("int").alias("j")), F.struct((F.col("row") - F.col("dr")).alias("r"), (F.col("col") - F.col("dc")).alias("c"), F.lit(None).cast("int").alias("i"), F.col("i").alias("j")))
-    met = own.select("image_id", "distance", "angle", F.inline(sides)).groupBy("image_id", "distance", "angle", "r", "c").agg(F.max("i").alias("i"), F.max("j").alias("j")).filter("i is not null and j is not null")
-    both = met.select("image_id", "distance", "angle", F.inline(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))))
-    cells = both.groupBy("image_id", "distance", "angle", "i", "j").agg(F.count(F.lit(1)).alias("n"))
+    each = one.select("image_id", "v", "w", "h", F.inline(steps)).filter("dr < h and abs(dc) < w")
+    # places whose neighbour lies inside, then the pair of levels at both
+    down = F.expr("sequence(0, h - 1 - dr)")
+    along = F.expr("sequence(greatest(0, -dc), least(w, w - dc) - 1)")
+    pairs = F.flatten(F.transform(down, lambda r: F.transform(along, lambda c: F.struct(F.get("v", r * F.col("w") + c).alias("i"), F.get("v", (r + F.col("dr")) * F.col("w") + c + F.col("dc")).alias("j")))))
+    met = each.select("image_id", "distance", "angle", F.inline(pairs)).groupBy("image_id", "distance", "angle", "i", "j").agg(F.count(F.lit(1)).alias("n"))
+    both = met.select("image_id", "distance", "angle", F.inline(F.array(F.struct("i", "j", "n"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "n"))))
+    cells = both.groupBy("image_id", "distance", "angle", "i", "j").agg(F.sum("n").alias("n"))
     n, i, j = F.col("n"), F.col("i"), F.col("j")
     gap = i - j
     sums = cells.groupBy("image_id", "distance", "angle").agg(

@@ -38,11 +38,11 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image_id, label, row, col, b, g, r: an 8 x 8 image per embedding, channels as columns."""
+    """image_id, label, row, col, b, g, r: an 8 x 8 image of the first 64 components of an embedding, channels as columns; null where it is shorter."""
     level = F.transform("embedding", lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((v.cast("double") + 0.6) * 200))).cast("int"))
     base = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("image_id"), (F.col("label") >= 5).cast("int").alias("label"), level.alias("v"))
     cells = base.select("image_id", "label", "v", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("pos"))
-    at = lambda shift: F.element_at("v", ((F.col("pos") + shift) % 64 + 1).cast("int"))
+    at = lambda shift: F.try_element_at("v", ((F.col("pos") + shift) % 64 + 1).cast("int"))
     return cells.select("image_id", "label", F.floor(F.col("pos") / 8).cast("int").alias("row"), (F.col("pos") % 8).cast("int").alias("col"), at(0).alias("b"), at(21).alias("g"), at(42).alias("r"))
 
 
