@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stripcohort.llm import decontamination, langid, licenses, line_dedup, mixing, near_dedup, quality, secrets, topk, warc
+from stripcohort.llm import align, codebooks, decontamination, langid, licenses, line_dedup, mixing, near_dedup, packing, quality, secrets, topk, warc
 from stripcohort.llm.common import table
 
 
@@ -53,8 +54,34 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    aligned = align.align(docs, _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"), spans=False)
+    digest = F.when(F.col("n_groups") > 0, F.sha2("groups", 256)).otherwise("")
+    return align.with_counts(aligned.withColumn("groups_sha256", digest)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of 8 parts with 16 entries each, after 6 rounds."""
+    coded, books = codebooks.compress(table(spark, sf_dir, "embeddings"))
+    digest = hashlib.sha256(",".join(str(x) for book in books for entry in book for x in entry).encode()).hexdigest()
+    code = F.array_join(F.transform("codes", lambda c: F.lower(F.lpad(F.hex(c), 2, "0"))), "")
+    return codebooks.with_label_errors(coded).select("vec_id", code.alias("code"), "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_line_dedup, op2_secret_scan, op3_source_mix, op4_near_duplicates, op5_language_id, op6_license_scan, op7_decontamination, op8_warc_archives, op9_top_k, op10_quality)
+    found = (op1_line_dedup, op2_secret_scan, op3_source_mix, op4_near_duplicates, op5_language_id, op6_license_scan, op7_decontamination, op8_warc_archives, op9_top_k, op10_quality, op11_token_alignment, op12_packing, op13_vector_codes)
     return {f.__name__: f for f in found}
 
 
@@ -103,5 +130,28 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 }
 
 
+def _codes_sql(rounds: int = 6) -> str:
+    """The rounds of op13 one after the other: entries c0, c1, ... by part, and who is nearest to which."""
+    nearest = """n{k} as materialized (select id, p, list_min(list_transform(e, lambda x: {{'d': list_sum(list_transform(range(1, 9), lambda i: (x.e[i] - v[i]) * (x.e[i] - v[i]))), 'j': x.j}})) as b, v
+      from pt join (select p, list({{'j': j, 'e': e}}) as e from c{k} group by p) using (p))"""
+    moved = """c{k} as materialized (select o.p, o.j, coalesce(m.e, o.e) as e from c{before} o left join (
+      select p, b.j as j, list_transform(range(1, 9), lambda i: floor(list_sum(list_transform(list(v), lambda w: w[i])) / count(*))) as e from n{before} group by p, b.j) m on m.p = o.p and m.j = o.j)"""
+    steps = [nearest.format(k=0)]
+    for k in range(1, rounds + 1):
+        steps += [moved.format(k=k, before=k - 1), nearest.format(k=k)]
+    return f"""
+with q as (select row_number() over (order by vec_id, embedding) as id, vec_id, label, list_transform(embedding, lambda x: floor(4096 * cast(x as double))) as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pt as materialized (select id, p, v[8 * p + 1 : 8 * p + 8] as v from q cross join (select unnest(range(0, 8)) as p)),
+c0 as materialized (select p, id - 1 as j, v as e from pt where id <= 16),
+{", ".join(steps)},
+r as (select id, string_agg(lpad(lower(to_hex(b.j::bigint)), 2, '0'), '' order by p) as code, cast(sum(b.d) as bigint) as error from n{rounds} group by id),
+h as (select sha256(string_agg(array_to_string(list_transform(e, lambda x: cast(x as bigint)), ','), ',' order by p, j)) as h from c{rounds})
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, h as codebooks_sha256 from q join r using (id) cross join h"""
+
+
+ORACLE_SQL["op13_vector_codes"] = _codes_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE_SQL)
