@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -78,10 +79,13 @@ class Pair:
         raw = [c.encode() for c in chunks]
         size = np.array([len(x) for x in raw], np.int64)
         a_ids, a_at, a_n = tokens.word_ids(self.a, chunks, f" [{tokens.LETTERS}]+", "", self.starts, at_start=True)
-        pieces = self.b.encode([c[1:] if c[0] == " " else c for c in chunks], num_threads=1)
-        pieces = [p if c[0] == " " else p[1:] for c, p in zip(chunks, pieces, strict=True)]
-        b_n = np.array([len(p) for p in pieces], np.int64)
-        b_ids = np.fromiter((i for p in pieces for i in p), np.int64, int(b_n.sum()))
+        b_n, b_flat = np.zeros(len(chunks), np.int64), [np.zeros(0, np.int32)]
+        for i in range(0, len(chunks), 5000):  # lists of a few chunks at a time
+            some = chunks[i : i + 5000]
+            pieces = [p if c[0] == " " else p[1:] for c, p in zip(some, self.b.encode([c[1:] if c[0] == " " else c for c in some], num_threads=1), strict=True)]
+            b_n[i : i + 5000] = [len(p) for p in pieces]
+            b_flat.append(np.array([x for p in pieces for x in p], np.int32))
+        b_ids = np.concatenate(b_flat)
         b_at = np.cumsum(b_n) - b_n
         a_ids = tokens.gathered(a_ids, a_at, a_n)
         a_at = np.cumsum(a_n) - a_n
@@ -93,10 +97,10 @@ class Pair:
                 ok[of] = [b"".join(map(table.__getitem__, ids[at[i] : at[i] + n[i]].tolist())) == raw[i] for i in of]
         a_ids, b_ids = (tokens.gathered(x, at[ok], n[ok]) for x, at, n in ((a_ids, a_at, a_n), (b_ids, b_at, b_n)))
         a_n, b_n, size = a_n * ok, b_n * ok, size * ok
-        own_a, own_b = np.repeat(np.arange(len(a_ids)), self.a_size[a_ids]), np.repeat(np.arange(len(b_ids)), self.b_size[b_ids])
-        new_a, new_b = (np.diff(x, prepend=-1) != 0 for x in (own_a, own_b))
+        own_a, own_b = np.repeat(np.arange(len(a_ids), dtype=np.int32), self.a_size[a_ids]), np.repeat(np.arange(len(b_ids), dtype=np.int32), self.b_size[b_ids])
+        new_a, new_b = (np.diff(x, prepend=np.int32(-1)) != 0 for x in (own_a, own_b))
         link, cut = np.flatnonzero(new_a | new_b), np.flatnonzero(new_a & new_b)
-        chunk_of = np.repeat(np.arange(len(chunks)), size)
+        chunk_of = np.repeat(np.arange(len(chunks), dtype=np.int32), size)
         groups, links = (np.bincount(chunk_of[x], minlength=len(chunks)) for x in (cut, link))
         # the text of the groups: A's tokens of a group stand before B's
         a_from, b_from = own_a[cut], own_b[cut]
@@ -107,11 +111,11 @@ class Pair:
         last_a[a_from + a_in - 1], last_b[b_from + b_in - 1] = 1, 1
         say[np.arange(len(a_ids)) + np.repeat(b_from, a_in)] = a_ids + k * last_a
         say[np.arange(len(b_ids)) + np.repeat(a_from + a_in, b_in)] = 2 * k + b_ids + n * last_b
-        said, ends = [self.says[i] for i in say.tolist()], np.cumsum(a_n + b_n).tolist()
-        texts = ["".join(said[i:j]) for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+        ends = [0, *np.cumsum(a_n + b_n).tolist()]
+        texts = ["".join([self.says[x] for x in say[i:j].tolist()]) for i, j in pairwise(ends)]
         return {
             "ok": ok, "n_a": a_n, "n_b": b_n, "n_groups": groups, "n_links": links, "groups": texts,
-            "pairs": a_ids[own_a[link]] << 32 | b_ids[own_b[link]], "pairs_at": np.cumsum(links) - links,
+            "pairs": a_ids[own_a[link]].astype(np.int64) << 32 | b_ids[own_b[link]], "pairs_at": np.cumsum(links) - links,
             "bytes": np.diff(np.append(cut, len(own_a))), "bytes_at": np.cumsum(groups) - groups,
         }
 
@@ -123,8 +127,8 @@ def _rows(pair: Pair, ids: pa.Array, texts: pa.Array, spans: bool) -> Iterator[p
     chunks, numbers, offsets = pair.chunks(texts.filter(pa.array(full)))
     of = pair.owned(chunks)
     place = np.cumsum(full) - full  # of a text among those that have words
-    for at in range(0, len(texts), 500):
-        to = min(len(texts), at + 500)
+    for at in range(0, len(texts), 250):
+        to = min(len(texts), at + 250)
         mine = full[at:to]
         lo, hi = int(place[at]), int(place[at] + mine.sum())
         words = numbers[offsets[lo] : offsets[hi]]

@@ -42,7 +42,7 @@ def loaded(data: bytes, plain_specials: bool = False):
     return tokenizer
 
 
-def slices(texts: pa.Array, size: int = 16 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, size: int = 8 << 20) -> Iterator[tuple[int, int]]:
     """(first, number) of runs of texts of about this many bytes, one text at least."""
     import pyarrow.compute as pc
 
@@ -78,10 +78,10 @@ def word_ids(tokenizer, words: list[str], unit: str, glue: str, edge: np.ndarray
     match = re.compile(unit).fullmatch
     is_unit = np.fromiter((match(w) is not None for w in words), bool, len(words))
     units, rest = np.flatnonzero(is_unit), np.flatnonzero(~is_unit)
-    groups = [units[i : i + 1000] for i in range(0, len(units), 1000)]
-    flats, sizes_of, order, single = [], [], [], [rest]
-    for at, e in zip(groups, tokenizer.encode_batch_fast([glue.join([words[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
-        ids = np.array(e.ids, np.int64)
+    flats, sizes_of, order, single = [np.zeros(0, np.int32)], [], [], [rest]
+    for i in range(0, len(units), 1000):
+        at = units[i : i + 1000]
+        ids = np.array(tokenizer.encode_batch_fast([glue.join([words[k] for k in at])], add_special_tokens=False)[0].ids, np.int32)
         marks = np.flatnonzero(edge[ids])
         if len(marks) != len(at):
             single.append(at)
@@ -90,15 +90,16 @@ def word_ids(tokenizer, words: list[str], unit: str, glue: str, edge: np.ndarray
         sizes_of.append(np.diff(np.append(marks, len(ids))) if at_start else np.diff(np.concatenate([[-1], marks])))
         order.append(at)
     rest = np.concatenate(single)
-    each = [np.array(e.ids, np.int64) for e in tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)]
-    flats += each
-    sizes_of.append(np.array([len(x) for x in each], np.int64))
+    for i in range(0, len(rest), 1000):
+        found = [e.ids for e in tokenizer.encode_batch_fast([words[k] for k in rest[i : i + 1000]], add_special_tokens=False)]
+        flats.append(np.array([x for ids in found for x in ids], np.int32))
+        sizes_of.append(np.array([len(ids) for ids in found]))
     order.append(rest)
-    where, n = np.concatenate(order).astype(np.int64), np.concatenate(sizes_of).astype(np.int64)
+    where, n = np.concatenate(order).astype(np.int64), np.concatenate([*sizes_of, np.zeros(0, np.int64)]).astype(np.int64)
     starts, sizes = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
     sizes[where] = n
     starts[where] = np.cumsum(n) - n
-    return np.concatenate([*flats, np.zeros(0, np.int64)]), starts, sizes
+    return np.concatenate(flats), starts, sizes
 
 
 def in_batches(work: Callable, columns: list[str]) -> Callable:
