@@ -48,6 +48,7 @@ class Pair:
         self.starts = np.array([x[:1] == b" " for x in self.a_bytes])
         # A cuts before white space that follows something else, by its pattern; B does if no piece goes on from a letter to a space or holds a line's end
         kind = json.loads(a)
+        del kind["model"]
         plain = kind["normalizer"] is None and kind["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         self.prefix = sp.encode("\n")[:1]
         self.cuts = plain and not any(re.search("[^▁]▁", p) or "\n" in p for p in pieces) and [pieces[i] for i in self.prefix] == ["▁"] and sp.encode("a b") == sp.encode("a") + sp.encode("b")
@@ -95,6 +96,7 @@ class Pair:
             of = np.flatnonzero(ok)
             if b"".join(map(table.__getitem__, tokens.gathered(ids, at[of], n[of]).tolist())) != b"".join([raw[i] for i in of]):
                 ok[of] = [b"".join(map(table.__getitem__, ids[at[i] : at[i] + n[i]].tolist())) == raw[i] for i in of]
+        del raw
         a_ids, b_ids = (tokens.gathered(x, at[ok], n[ok]) for x, at, n in ((a_ids, a_at, a_n), (b_ids, b_at, b_n)))
         a_n, b_n, size = a_n * ok, b_n * ok, size * ok
         own_a, own_b = np.repeat(np.arange(len(a_ids), dtype=np.int32), self.a_size[a_ids]), np.repeat(np.arange(len(b_ids), dtype=np.int32), self.b_size[b_ids])

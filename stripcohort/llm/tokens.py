@@ -42,7 +42,7 @@ def loaded(data: bytes, plain_specials: bool = False):
     return tokenizer
 
 
-def slices(texts: pa.Array, size: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
     """(first, number) of runs of texts of about this many bytes, one text at least."""
     import pyarrow.compute as pc
 
