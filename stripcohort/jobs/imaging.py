@@ -58,7 +58,11 @@ def _blue(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mosaic(spark: SparkSession, d: str, channel: str = "g") -> DataFrame:
-    return views.mosaics(spark, d).select("image_id", "label", "row", "col", F.col(channel).alias("value"))
+    return neighbourhoods.placed(views.mosaics(spark, d).select("image_id", "label", "row", "col", F.col(channel).alias("value")))
+
+
+def _bare(spark: SparkSession, d: str, channel: str = "g") -> DataFrame:
+    return neighbourhoods.placed(_mosaic(spark, d, channel).drop("label"))
 
 
 def _plain(spark: SparkSession, d: str) -> DataFrame:
@@ -84,23 +88,6 @@ def p14_fan_out(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("image_id", "representation", "channel").agg(F.round(F.avg("value"), 6).alias("mean"), F.count(F.lit(1)).alias("n"))
 
 
-@query(
-    more=CHANNELS
-    + ", c as (select *, count(*) over (partition by image_id order by gray) as c, count(*) over (partition by image_id) as n from ch), z as (select *, min(c) over (partition by image_id) as c0 from c), gr as (select image_id, row, col, g as value from ch), "
-    + fine_sql("gr")
-    + f""", bh as (select image_id, row, col, bh5.value + bh11.value + bh21.value as value from bh5 join bh11 using (image_id, row, col) join bh21 using (image_id, row, col)),
-k(i, w) as (values (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)),
-bl as (select a.image_id, a.row, a.col, sum(y.w * x.w * b.gray) as s from ch a cross join k y cross join k x join ch b on b.image_id = a.image_id and b.row = {mirror_sql("a.row + y.i", 8)} and b.col = {mirror_sql("a.col + x.i", 8)} group by 1, 2, 3)""",
-    body="""select image_id, 'original' as representation, row, col, gray as value from ch union all
-select image_id, 'histogram', row, col, cast(case when n = c0 then gray else round_even((c - c0) * 255e0 / (n - c0), 0) end as int) from z union all
-select image_id, 'blur', row, col, cast((s + 128) // 256 as int) from bl union all
-select image_id, 'blackhat', row, col, cast(case when max(value) over w = min(value) over w then 0 else floor((value - min(value) over w)::double / (max(value) over w - min(value) over w) * 255e0) end as int) from bh window w as (partition by image_id)""",
-)
-def p14_transformed(spark: SparkSession, d: str) -> DataFrame:
-    """P14 as far as it is built: every image under every transform that exists."""
-    return photometric.transformed(photometric.channels(views.pixels(spark, d)), 8, 8)
-
-
 @query(
     more=PX
     + f""", k(i, w) as (values (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)),
@@ -133,16 +120,6 @@ def p16_disturbed(spark: SparkSession, d: str) -> DataFrame:
 MOSAIC = "px as (select image_id, label, row, col, g as value from mosaics)"
 
 
-@query(
-    "mosaics",
-    more=MOSAIC + ", " + fine_sql("px"),
-    body="select image_id, row, col, cast(bh5.value + bh11.value + bh21.value as int) as value from bh5 join bh11 using (image_id, row, col) join bh21 using (image_id, row, col)",
-)
-def p8_fine_structures(spark: SparkSession, d: str) -> DataFrame:
-    """Both hats at three scales on the large images."""
-    return neighbourhoods.fine_structures(_mosaic(spark, d).drop("label"), 64)
-
-
 @query(more=PX + ", c as (select *, count(*) over (partition by image_id order by value) as c, count(*) over (partition by image_id) as n from px), z as (select *, min(c) over (partition by image_id) as c0 from c)", body="select image_id, row, col, cast(case when n = c0 then value else round_even((c - c0) * 255e0 / (n - c0), 0) end as int) as value from z")
 def p3_equalised(spark: SparkSession, d: str) -> DataFrame:
     return photometric.equalise(_plain(spark, d))
@@ -155,7 +132,7 @@ def p10_min_max(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     more=PX + ", e as (select image_id, quantile_cont(value, 0.02) as a, quantile_cont(value, 0.99) as z from px group by 1)",
-    body="select image_id, row, col, cast(floor(pow(least(1e0, greatest(0e0, (value - a) / (z - a))), 0.7e0) * 255e0) as int) as value from px join e using (image_id)",
+    body="select image_id, row, col, cast(floor(round(pow(least(1e0, greatest(0e0, (value - a) / (z - a))), 0.7e0) * 255e0, 9)) as int) as value from px join e using (image_id)",
 )
 def p11_stretched(spark: SparkSession, d: str) -> DataFrame:
     return photometric.stretch(_plain(spark, d))
@@ -267,24 +244,6 @@ def f14_radial_thirds(spark: SparkSession, d: str) -> DataFrame:
     return profile.groupBy("image_id").agg(*[F.round(F.avg(F.when(on, F.col(c))), 6).alias(f"{c}_{n}") for c in ("share", "mean") for n, on in (("inner", inner), ("outer", outer))])
 
 
-@query(
-    "mosaics",
-    more=MOSAIC
-    + ", "
-    + fine_sql("px")
-    + ", big as (select image_id, row, col, bh5.value as a, bh11.value as b, bh21.value as c from bh5 join bh11 using (image_id, row, col) join bh21 using (image_id, row, col)), "
-    + OTSU.replace("from px", "from (select image_id, greatest(a, b, c) as value from big)")
-    + """, on_ as (select *, case when a >= b and a >= c then 5 when b >= c then 11 else 21 end as scale from big join otsu using (image_id) where greatest(a, b, c) > threshold)""",
-    body="""select image_id, scale, round(coalesce(n, 0) / (sum(n) over (partition by image_id)), 6) as share, round(mean, 6) as mean from
-(select image_id, unnest([5, 11, 21]) as scale, unnest([avg(a), avg(b), avg(c)]) as mean from big group by 1) left join (select image_id, scale, count(*) as n from on_ group by 1, 2) using (image_id, scale)""",
-)
-def f15_dominant_scale(spark: SparkSession, d: str) -> DataFrame:
-    """Which footprint answers most among structure pixels, of equals the smallest, and every footprint's mean answer."""
-    image = _mosaic(spark, d).drop("label")
-    each = [neighbourhoods.fine_structures(image, 64, (n,)).withColumn("scale", F.lit(n)) for n in neighbourhoods.SCALES]
-    return rounded(features.dominant_scale(each[0].union(each[1]).union(each[2])), "share", "mean")
-
-
 KINDS = """k as (select *, unnest(['brightness-', 'brightness+', 'contrast-', 'contrast+', 'gamma-', 'gamma+']) as kind from px),
 pk as (select image_id, row, col, kind, cast(least(255, greatest(0, case kind when 'brightness-' then value - 30 when 'brightness+' then value + 30 when 'contrast-' then round_even(value * 0.7e0, 0) when 'contrast+' then round_even(value * 1.3e0, 0)
   when 'gamma-' then floor(pow(value / 255e0, 0.7e0) * 255e0 + 0.5e0) else floor(pow(value / 255e0, 1.5e0) * 255e0 + 0.5e0) end)) as int) as value from k)"""

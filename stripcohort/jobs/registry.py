@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stripcohort.jobs import blocks, cohort, comparisons, imaging, intake, statistics, training
+from stripcohort.jobs import blocks, cohort, comparisons, imaging, intake, kernels, statistics, training
 
-MODULES = (cohort, comparisons, imaging, statistics, blocks, intake, training)
+MODULES = (cohort, comparisons, imaging, kernels, statistics, blocks, intake, training)
 
 
 def queries() -> dict:

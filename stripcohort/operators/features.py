@@ -60,6 +60,12 @@ def histogram(image: DataFrame, keys: list[str], bins: int = 32, top: int = 255)
     return n.select(*keys, "bin", (F.col("n") / F.sum("n").over(W.partitionBy(*keys)) / (top / bins)).alias("density"))
 
 
+def pattern_histogram(codes: DataFrame) -> DataFrame:
+    """image_id, bin, density of the codes of an image; codes that it doesn't hold have no row."""
+    n = codes.groupBy("image_id", F.col("code").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return n.select("image_id", "bin", (F.col("n") / F.sum("n").over(W.partitionBy("image_id"))).alias("density"))
+
+
 def otsu(image: DataFrame, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """keys, threshold: the least value that parts the histogram with the largest variance between the classes; null if all values are equal."""
     n = image.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))

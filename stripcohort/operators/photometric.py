@@ -66,7 +66,7 @@ def stretch(image: DataFrame, low: float = 0.02, high: float = 0.99, gamma: floa
     a, b = F.col("_p")[0], F.col("_p")[1]
     part = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("value") - a) / (b - a)))
     plain = F.when(F.col("_hi") - F.col("_lo") < 1e-12, 0).otherwise(F.floor((F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * 255.0))
-    return out.withColumn("value", F.when(b - a < 1e-12, plain).otherwise(F.floor(F.pow(part, F.lit(gamma)) * 255.0)).cast("int")).drop("_p", "_lo", "_hi")
+    return out.withColumn("value", F.when(b - a < 1e-12, plain).otherwise(F.floor(F.round(F.pow(part, F.lit(gamma)) * 255.0, 9))).cast("int")).drop("_p", "_lo", "_hi")
 
 
 def normalise(image: DataFrame, mean: float = 128.0, std: float = 50.0) -> DataFrame:
@@ -83,21 +83,36 @@ def crop_upper(image: DataFrame, rows: int) -> DataFrame:
     return image.filter(F.col("row") >= rows).withColumn("row", F.col("row") - rows)
 
 
-#: The representations whose transform is built, as functions of image, height and width; the others' (contrast-limited equalisation and the
-#: two filter banks, with what combines them) are not, so they have no values.
+def vessel_maps(green: DataFrame, height: int, width: int) -> dict[str, DataFrame]:
+    """frangi, gabor, blackhat and combined (0.6 and 0.4 of the first and third) of the locally equalised green channel, each 0..255."""
+    made = lambda df: neighbourhoods.placed(df)
+    fine = lambda df, n: made(df.withColumn("value", F.round("value", n)))
+    even = neighbourhoods.local_equalised(green, height, width)
+    frangi = made(stretch(fine(neighbourhoods.vesselness(even, height, width), 12)))
+    blackhat = made(min_max(neighbourhoods.fine_structures(even, height)))
+    both = frangi.join(blackhat.withColumnRenamed("value", "_other"), ["image_id", "row", "col"])
+    combined = min_max(both.select("image_id", "row", "col", (F.col("value") / 255.0 * 0.6 + F.col("_other") / 255.0 * 0.4).alias("value")))
+    return {"frangi": frangi, "gabor": made(min_max(fine(neighbourhoods.oriented(even, height, width), 9))), "blackhat": blackhat, "combined": combined}
+
+
+#: Every representation's transform, as functions of image, height and width.
 TRANSFORMS = {
     "original": lambda image, h, w: image,
     "histogram": lambda image, h, w: equalise(image),
+    "clahe": neighbourhoods.local_equalised,
     "blur": neighbourhoods.smoothed,
-    "blackhat": lambda image, h, w: min_max(neighbourhoods.fine_structures(image, h)),
-}
+} | {name: lambda image, h, w, name=name: vessel_maps(image, h, w)[name] for name in ("frangi", "gabor", "blackhat", "combined")}
 
 
 def transformed(image: DataFrame, height: int, width: int) -> DataFrame:
-    """Each image under every transform that is built: image_id, representation, row, col, value (b, g, r, gray given)."""
-    every = fan_out(image)
-    each = [(name, f(every.filter(F.col("representation") == name).select("image_id", "row", "col", "value"), height, width)) for name, f in TRANSFORMS.items()]
-    return reduce(DataFrame.unionByName, [out.select("image_id", F.lit(name).alias("representation"), "row", "col", "value") for name, out in each])
+    """Each image under every transform: image_id, representation, row, col, value (b, g, r, gray given).
+
+    The maps of vessels read one equalised green channel; it is made again for each, since it costs less than a table of it.
+    """
+    image = neighbourhoods.by_image(image)
+    channel = {of: neighbourhoods.placed(image.select("image_id", "row", "col", F.col(of).alias("value"))) for of in ("gray", "g")}
+    each = {name: TRANSFORMS[name](channel["gray"], height, width) for name in ("original", "histogram", "clahe", "blur")} | vessel_maps(channel["g"], height, width)
+    return reduce(DataFrame.unionByName, [out.select("image_id", F.lit(name).alias("representation"), "row", "col", F.col("value").cast("int").alias("value")) for name, out in each.items()])
 
 
 def perturbations(value: Column) -> Column:

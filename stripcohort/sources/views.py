@@ -47,15 +47,21 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """image_id, label, row, col, b, g, r: images of 64 x 64, each made of 64 of the small ones that follow each other; places of missing ones are 0."""
-    tile = F.col("image_id") % 64
-    row, col = (F.floor(tile / 8) * 8 + F.col("row")).cast("int"), (tile % 8 * 8 + F.col("col")).cast("int")
-    whole = F.floor(F.col("image_id") / 64)
-    cells = pixels(spark, sf_dir).select(whole.alias("image_id"), row.alias("row"), col.alias("col"), "b", "g", "r")
-    ids = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("image_id")).distinct()
-    places = ids.withColumn("_at", F.explode(F.sequence(F.lit(0), F.lit(4095))))
-    grid = places.select("image_id", (F.col("image_id") % 2).cast("int").alias("label"), F.floor(F.col("_at") / 64).cast("int").alias("row"), (F.col("_at") % 64).alias("col"))
-    return grid.join(cells, ["image_id", "row", "col"], "left").select("image_id", "label", "row", "col", *[F.coalesce(c, F.lit(0)).alias(c) for c in "bgr"])
+    """image_id, label, row, col, b, g, r: images of 64 x 64, each made of 64 of the small ones that follow each other; places of missing ones are 0.
+
+    An image is gathered from whole vectors, so what is shuffled is a row per vector, and an image's pixels lie together.
+    """
+    level = F.transform("embedding", lambda x: F.least(F.lit(255), F.greatest(F.lit(0), F.floor((x.cast("double") + 0.6) * 200))).cast("int"))
+    cells = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 64).alias("image_id"), F.struct((F.col("vec_id") % 64).cast("int").alias("at"), level.alias("v")).alias("cell"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # images are small for the work that they take
+    whole = cells.repartition(parts, "image_id").groupBy("image_id").agg(F.map_from_entries(F.collect_list("cell")).alias("_m"))
+    every = whole.select("image_id", F.flatten(F.expr("transform(sequence(0, 63), t -> if(map_contains_key(_m, t), _m[t], array_repeat(0, 64)))")).alias("_v"))
+    at = every.select("image_id", "_v", F.explode(F.sequence(F.lit(0), F.lit(4095))).alias("_at"))
+    row, col = F.floor(F.col("_at") / 64).cast("int"), (F.col("_at") % 64).cast("int")
+    place = at.select("image_id", "_v", row.alias("row"), col.alias("col"))
+    tile, pos = F.expr("row div 8 * 8 + col div 8"), F.expr("row % 8 * 8 + col % 8")
+    look = lambda shift: F.get("_v", (tile * 64 + (pos + shift) % 64).cast("int"))
+    return place.select("image_id", (F.col("image_id") % 2).cast("int").alias("label"), "row", "col", look(0).alias("b"), look(21).alias("g"), look(42).alias("r"))
 
 
 def seamed(spark: SparkSession, sf_dir: str) -> DataFrame:

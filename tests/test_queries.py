@@ -51,7 +51,7 @@ def test_transformed_images_are_not_copies(spark):
 
     gray = [10, 10, 20, 30, 30, 30, 40, 90]
     rows = [(1, 0, i, v, v, v) for i, v in enumerate(gray)]
-    out = photometric.transformed(photometric.channels(spark.createDataFrame(rows, "image_id long, row int, col int, b int, g int, r int")))
+    out = photometric.transformed(photometric.channels(spark.createDataFrame(rows, "image_id long, row int, col int, b int, g int, r int")), 1, 8)
     got = {n: [r["value"] for r in out.filter(f"representation = '{n}'").orderBy("col").collect()] for n in photometric.REPRESENTATIONS}
     assert got["original"] == gray
     assert got["histogram"] == [0, 0, 42, 170, 170, 170, 212, 255]
