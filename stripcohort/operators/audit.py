@@ -93,25 +93,33 @@ def cohort_audit(images: DataFrame, width: int, least: float = 0.97) -> DataFram
     """Per layout: rows and unique images per class, removed copies, the largest multiplicity, unique mirrored images per class, unique images whose seam
     is repaired, pairs of them that correlate by least or more, and the groups that these make (lone images too).
 
-    images is (layout, label, image_id, row, col, value). Copies are found by hashes of whole images within a layout.
+    images is (layout, label, image_id, row, col, value), whole rectangles, read once: an image becomes one row with its
+    values as an array, written to the shared folder. Copies and near pairs are found within a layout; a strip that
+    other layouts hold too counts in each.
     """
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "col", "value"))), lambda x: x["value"].cast("string")), ",")
-    hashed = images.groupBy("layout", "label", F.col("image_id").alias("id")).agg(F.sha2(whole, 256).alias("sha"))
+    cells = F.sort_array(F.collect_list(F.struct("row", "col", "value")))
+    whole = shared_tables.durable(images.groupBy("layout", "label", F.col("image_id").alias("id")).agg(cells.getField("value").alias("v")))
+    empty = F.expr(f"transform(sequence(0, {width - 1}), c -> forall(sequence(c, size(v) - 1, {width}), i -> v[i] = 0))")
+    sha = F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), ","), 256)
+    hashed = shared_tables.durable(whole.select("layout", "label", "id", "v", sha.alias("sha"), empty.alias("e")))
     first = hashed.groupBy("layout", "sha").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    flags = mirrored(images, width).select(F.col("image_id").alias("id"), "n_empty", "mirrored")
-    unique = hashed.join(first.select("id"), "id").join(flags, "id")
+    n_empty = F.size(F.filter("e", lambda x: x))
+    marked = hashed.withColumns({"n_empty": n_empty, "mirrored": (n_empty == 1) & F.get("e", F.lit(width // 2))})
+    unique = shared_tables.durable(marked.join(first.select("layout", "id"), ["layout", "id"]))
     by = lambda c: F.count_if(c)
     rows = hashed.groupBy("layout").agg(by(F.col("label") == 0).alias("rows_0"), by(F.col("label") == 1).alias("rows_1"))
     some = first.groupBy("layout").agg((F.sum("n") - F.count(F.lit(1))).alias("removed"), F.max("n").alias("most_copies"))
     seam = (F.col("n_empty") > 0) & (F.col("n_empty") < width // 2)
     of = {f"{name}_{k}": by((F.col("label") == k) & on) for name, on in (("unique", F.lit(True)), ("mirrored", F.col("mirrored"))) for k in (0, 1)}
     kept = unique.groupBy("layout").agg(*[c.alias(n) for n, c in of.items()], by(seam).alias("repaired"), F.count(F.lit(1)).alias("_all"))
-    # near pairs within a layout, on repaired images: a layout's images get a direction of their own
-    only = images.join(unique.select(F.col("id").alias("image_id")), "image_id", "left_semi")
-    fixed = repair_seam(only, width)
-    vectors = fixed.groupBy(F.col("image_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "col", "value"))), lambda x: x["value"].cast("double")).alias("v"))
+    # an empty column takes the mean of the nearest others around the circle, as repair_seam gives it
+    side = lambda step: F.expr(f"transform(sequence(0, {width - 1}), c -> get(filter(transform(sequence(1, {width - 1}), k -> (c + {width} {step} k) % {width}), x -> not e[x]), 0))")
+    sided = unique.select("layout", "id", "v", "e", seam.alias("seam"), side("-").alias("l"), side("+").alias("r"))
+    mended = F.expr(f"transform(v, (x, i) -> cast(if(seam and e[i % {width}], floor((v[i - i % {width} + l[i % {width}]] + v[i - i % {width} + r[i % {width}]]) / 2), x) as double))")
+    vectors = shared_tables.durable(sided).select("layout", "id", mended.alias("v"))
     layout_of = unique.select("id", "layout")
-    pairs = shared_tables.durable(similar.near_pairs(vectors, least).join(layout_of.withColumnRenamed("id", "a"), "a").join(layout_of.select(F.col("id").alias("b"), F.col("layout").alias("_l")), "b").filter("layout = _l").select("layout", "a", "b"))
+    near = similar.near_pairs(vectors, least, within="layout")
+    pairs = shared_tables.durable(near.join(layout_of, F.col("id") == F.col("a")).select("layout", "a", "b"))
     linked = pairs.groupBy("layout").agg(F.count(F.lit(1)).alias("near_pairs"))
     named = similar.groups(pairs).join(layout_of, "id").groupBy("layout").agg((F.count(F.lit(1)) - F.count_distinct("group_id")).alias("_fewer"))
     out = rows

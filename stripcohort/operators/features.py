@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stripcohort.operators import neighbourhoods
+from stripcohort.sources.shared import durable
 
 #: Distance, angle in degrees, and the step in rows and columns.
 OFFSETS = [(1, 0, 0, 1), (1, 45, 1, 1), (1, 90, 1, 0), (1, 135, 1, -1), (2, 0, 0, 2), (2, 45, 1, 1), (2, 90, 2, 0), (2, 135, 1, -1), (3, 0, 0, 3), (3, 45, 2, 2), (3, 90, 3, 0), (3, 135, 2, -2)]
@@ -126,7 +127,9 @@ def mask_overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 def dominant_scale(responses: DataFrame) -> DataFrame:
     """image_id, scale, share, mean of responses (image_id, row, col, scale, value): the share of structure pixels, whose largest response is over
-    its threshold, where the scale answers most (of equals the smallest), and its mean response over all pixels."""
+    its threshold, where the scale answers most (of equals the smallest), and its mean response over all pixels. Responses are
+    read from a table in the shared folder, so they are made once."""
+    responses = durable(responses.select("image_id", "row", "col", "scale", "value"))
     top = responses.groupBy("image_id", "row", "col").agg(F.max("value").alias("value"), F.min_by("scale", F.struct(-F.col("value"), F.col("scale"))).alias("scale"))
     on = top.join(otsu(top), "image_id").filter("value > threshold").groupBy("image_id", "scale").agg(F.count(F.lit(1)).alias("_n"))
     mean = responses.groupBy("image_id", "scale").agg(F.avg("value").alias("mean"))

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stripcohort.operators import neighbourhoods
+from stripcohort.sources.shared import durable
 
 #: The representations and whether they read the green channel (vessel maps) or gray.
 REPRESENTATIONS = {"original": "gray", "histogram": "gray", "clahe": "gray", "blur": "gray", "frangi": "green", "gabor": "green", "blackhat": "green", "combined": "green"}
@@ -84,15 +85,17 @@ def crop_upper(image: DataFrame, rows: int) -> DataFrame:
 
 
 def vessel_maps(green: DataFrame, height: int, width: int) -> dict[str, DataFrame]:
-    """frangi, gabor, blackhat and combined (0.6 and 0.4 of the first and third) of the locally equalised green channel, each 0..255."""
-    made = lambda df: neighbourhoods.placed(df)
-    fine = lambda df, n: made(df.withColumn("value", F.round("value", n)))
-    even = neighbourhoods.local_equalised(green, height, width)
-    frangi = made(stretch(fine(neighbourhoods.vesselness(even, height, width), 12)))
-    blackhat = made(min_max(neighbourhoods.fine_structures(even, height)))
+    """frangi, gabor, blackhat and combined (0.6 and 0.4 of the first and third) of the locally equalised green channel, each 0..255.
+
+    What more than one of them reads is a table in the shared folder.
+    """
+    fine = lambda df, n: neighbourhoods.placed(df.withColumn("value", F.round("value", n)))
+    even = neighbourhoods.by_image(durable(neighbourhoods.local_equalised(green, height, width).select("image_id", "row", "col", "value")))
+    frangi = durable(stretch(fine(neighbourhoods.vesselness(even, height, width), 12)))
+    blackhat = durable(min_max(neighbourhoods.fine_structures(even, height)))
     both = frangi.join(blackhat.withColumnRenamed("value", "_other"), ["image_id", "row", "col"])
     combined = min_max(both.select("image_id", "row", "col", (F.col("value") / 255.0 * 0.6 + F.col("_other") / 255.0 * 0.4).alias("value")))
-    return {"frangi": frangi, "gabor": made(min_max(fine(neighbourhoods.oriented(even, height, width), 9))), "blackhat": blackhat, "combined": combined}
+    return {"frangi": frangi, "gabor": min_max(fine(neighbourhoods.oriented(even, height, width), 9)), "blackhat": blackhat, "combined": combined}
 
 
 #: Every representation's transform, as functions of image, height and width.
@@ -107,7 +110,7 @@ TRANSFORMS = {
 def transformed(image: DataFrame, height: int, width: int) -> DataFrame:
     """Each image under every transform: image_id, representation, row, col, value (b, g, r, gray given).
 
-    The maps of vessels read one equalised green channel; it is made again for each, since it costs less than a table of it.
+    The maps of vessels read one equalised green channel.
     """
     image = neighbourhoods.by_image(image)
     channel = {of: neighbourhoods.placed(image.select("image_id", "row", "col", F.col(of).alias("value"))) for of in ("gray", "g")}

@@ -13,7 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stripcohort.sources.shared import durable
+
 PIECES = 64
+#: Points of a key that a task may sort and sum by itself.
+WHOLE = 100_000
 _BY = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
@@ -32,7 +36,14 @@ def running(points: DataFrame, keys: list[str], at: str, what: dict[str, tuple[s
     """Adds, for every name in what, the running sum, max or min of a column over rising at, the point itself included.
 
     what is name -> (sum, max or min; column). at is a number, no two points of a key have the same.
+
+    The points are written to the shared folder, so what they are made of is read once. Keys that turn out to have few
+    points each (WHOLE at most) are one window; only longer ones are cut into pieces.
     """
+    points = durable(points)
+    if (points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0) <= WHOLE:
+        line = W.partitionBy(*keys).orderBy(at).rowsBetween(W.unboundedPreceding, 0)
+        return points.withColumns({n: _BY[f](c).over(line) for n, (f, c) in what.items()})
     bounds = points.groupBy(*keys).agg(F.percentile_approx(F.col(at).cast("double"), [i / pieces for i in range(1, pieces)], 1000).alias("_bounds"))
     cut = joined(points, bounds, keys).withColumn("_piece", F.size(F.filter("_bounds", lambda b: b < F.col(at)))).drop("_bounds")
     inner = W.partitionBy(*keys, "_piece").orderBy(at).rowsBetween(W.unboundedPreceding, 0)

@@ -20,18 +20,19 @@ def _total(c: object) -> object:
     return F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
 
 
-def near_pairs(vectors: DataFrame, least: float = 0.97, seed: int = 7) -> DataFrame:
-    """a, b, r: pairs a < b of vectors (id, v) whose Pearson correlation is least or more.
+def near_pairs(vectors: DataFrame, least: float = 0.97, seed: int = 7, within: str | None = None) -> DataFrame:
+    """a, b, r: pairs a < b of vectors (id, v) whose Pearson correlation is least or more; with a column within, only pairs that agree in it.
 
     Candidates share the signs of random planes in one of several tables; each is confirmed on the vectors. The signs per table
     grow with the logarithm of the rows, so buckets of unlike vectors stay small, and the tables with them, so that a pair at the
-    threshold is missed with a chance of 1 in 100 million. Equal vectors are one: their least id stands for them. Vectors
+    threshold is missed with a chance of 1 in 100 million. Equal vectors (that agree in within) are one: their least id stands for them. Vectors
     that are null or constant take no part.
     """
     mean = _total("v") / F.size("v")
-    lone = vectors.filter("v is not null and size(v) > 0").groupBy("v").agg(F.min("id").alias("id"))
-    centred = lone.select("id", F.transform("v", lambda x: x - mean).alias("v"))
-    unit = centred.withColumn("_n", F.sqrt(_total(F.transform("v", lambda x: x * x)))).filter("_n > 0").select("id", F.transform("v", lambda x: x / F.col("_n")).alias("v"))
+    vectors = vectors.withColumn("_w", F.col(within) if within else F.lit(0))
+    lone = vectors.filter("v is not null and size(v) > 0").groupBy("_w", "v").agg(F.min("id").alias("id"))
+    centred = lone.select("_w", "id", F.transform("v", lambda x: x - mean).alias("v"))
+    unit = centred.withColumn("_n", F.sqrt(_total(F.transform("v", lambda x: x * x)))).filter("_n > 0").select("_w", "id", F.transform("v", lambda x: x / F.col("_n")).alias("v"))
     unit = durable(unit)
     bits = max(14, math.ceil(math.log2(max(unit.count(), 2))))
     agree = (1 - math.acos(min(least, 1 - 1e-9)) / math.pi) ** bits
@@ -46,11 +47,14 @@ def near_pairs(vectors: DataFrame, least: float = 0.97, seed: int = 7) -> DataFr
                 keys = ((m @ planes > 0).reshape(len(m), tables, bits) * weights).sum(axis=2)
                 yield pd.DataFrame({"id": batch["id"], "keys": list(keys)})
 
-    keyed = durable(unit.mapInPandas(sign, "id long, keys array<long>").select("id", F.posexplode("keys").alias("t", "k")))
+    side = unit.select(F.col("id").alias("_id"), "_w")
+    signed = unit.select("id", "v").mapInPandas(sign, "id long, keys array<long>").join(side, F.col("id") == F.col("_id"))
+    bucket = ["w", "t", "k"]
+    keyed = durable(signed.select("id", F.xxhash64("_w").alias("w"), F.posexplode("keys").alias("t", "k")))
     # most buckets hold one vector: only the others are joined
-    shared = keyed.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("t", "k")
-    some = keyed.join(shared, ["t", "k"])
-    met = some.select(F.col("id").alias("a"), "t", "k").join(some.select(F.col("id").alias("b"), "t", "k"), ["t", "k"]).filter("a < b").select("a", "b").distinct()
+    shared = keyed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*bucket)
+    some = keyed.join(shared, bucket)
+    met = some.select(F.col("id").alias("a"), *bucket).join(some.select(F.col("id").alias("b"), *bucket), bucket).filter("a < b").select("a", "b").distinct()
     both = met.join(unit.select(F.col("id").alias("a"), F.col("v").alias("_x")), "a").join(unit.select(F.col("id").alias("b"), F.col("v").alias("_y")), "b")
     return both.select("a", "b", _total(F.zip_with("_x", "_y", lambda x, y: x * y)).alias("r")).filter(F.col("r") >= least)
 
