@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stripcohort.operators import blocks, comparison, dist, metrics, rules
-from stripcohort.sources import views
+from stripcohort.sources import shared, views
 from stripcohort.sources.views import sql
 
 QUERIES: dict = {}
@@ -126,9 +126,9 @@ def h9_cliques(spark: SparkSession, d: str) -> DataFrame:
 
 NULLS = """o as (select o_orderkey as id, o_orderstatus as config, (o_orderpriority in ('1-URGENT', '2-HIGH'))::int as y, (o_totalprice > 150000)::int as pred from orders),
 s as (select *, unnest(range(0, 20)) as seed from o),
-a as (select seed, config, pred, row_number() over (partition by seed, config order by md5(concat(seed, '|', id)), id) as n from s),
+a as (select config, pred, row_number() over (partition by config order by md5(concat('0|', id)), id) as n from o),
 b as (select seed, config, y, row_number() over (partition by seed, config order by md5(concat(seed + 1000, '|', id)), id) as n from s),
-nulls as (select config, seed, round(avg((y = pred)::int), 9) as v from a join b using (seed, config, n) group by 1, 2),
+nulls as (select config, seed, round(avg((y = pred)::int), 9) as v from b join a using (config, n) group by 1, 2),
 obs as (select config, round(avg((y = pred)::int), 9) as o from o group by 1)"""
 
 
@@ -174,9 +174,28 @@ def h12_signed_ranks(spark: SparkSession, d: str) -> DataFrame:
     return rounded(comparison.signed_ranks(pairs, ["all"], "a", "b").select("w_plus", "n", "z"), "z")
 
 
-@query("predictions", more=FOLDS, body="select dataset, count(*)::bigint as n, count_if(a.acc > b.acc)::bigint as wins, round(avg(a.acc - b.acc), 6) as mean_delta, round(min(a.acc - b.acc), 6) as worst, round(avg(abs(a.acc - b.acc)), 6) as mean_abs from long_ a join (select * exclude (dataset) from long_ where dataset = 'A') b using (clf, repeat, fold) where dataset <> 'A' group by 1")
+def _paired_p(k: str) -> str:
+    """Two-sided p of a corrected paired t over k folds by Simpson's rule over 400 steps of Student's density."""
+    return f"""1 - 2 * exp(lgamma({k} / 2e0) - lgamma(({k} - 1) / 2e0)) / sqrt(({k} - 1) * pi()) * t / 1200
+  * list_sum(list_transform(range(0, 401), lambda i: (case when i in (0, 400) then 1 when i % 2 = 1 then 4 else 2 end) * pow(1 + pow(t * i / 400e0, 2) / ({k} - 1), -{k} / 2e0)))"""
+
+
+@query(
+    "predictions",
+    more=FOLDS
+    + f""", j as (select a.dataset, clf, a.acc - b.acc as d from long_ a join (select * exclude (dataset) from long_ where dataset = 'A') b using (clf, repeat, fold) where dataset <> 'A'),
+t0 as (select dataset, clf, avg(d) as m, count(*) as k, sqrt(var_samp(d) * (1e0 / count(*) + 0.25)) as se from j group by 1, 2),
+t1 as (select *, case when se > 0 then abs(m) / se end as t from t0),
+t2 as (select *, case when t is not null then {_paired_p("k")} when m = 0 then 1 else 0 end as p from t1),
+t3 as (select *, row_number() over (partition by dataset order by p, clf) as r, count(*) over (partition by dataset) as n from t2),
+t4 as (select *, least(1, max((n - r + 1) * p) over (partition by dataset order by r)) as p_holm from t3),
+s as (select dataset, count_if(p_holm < 0.05 and m > 0) as up, count_if(p_holm < 0.05 and m < 0) as down from t4 group by 1)""",
+    body="select dataset, count(*)::bigint as n, count_if(d > 0)::bigint as wins, round(avg(d), 6) as mean_delta, round(min(d), 6) as worst, round(avg(abs(d)), 6) as mean_abs, any_value(up)::bigint as up, any_value(down)::bigint as down from j join s using (dataset) group by 1",
+)
 def h15_wins(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(comparison.wins(_long(spark, d), "dataset", "A", ["clf", "repeat", "fold"], "acc"), "mean_delta", "worst", "mean_abs")
+    """Wins against a baseline and, over classifiers, how many paired tests are significant either way after Holm's correction."""
+    long = shared.durable(_long(spark, d))
+    return rounded(comparison.wins(long, "dataset", "A", ["clf", "repeat", "fold"], "acc", ["clf"], 0.25), "mean_delta", "worst", "mean_abs")
 
 
 #: Student's 0.975 quantiles by degrees of freedom.

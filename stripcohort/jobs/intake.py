@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stripcohort.jobs.imaging import rounded
-from stripcohort.operators import audit, features, metrics
+from stripcohort.jobs.statistics import RULE
+from stripcohort.operators import audit, features, metrics, rules
 from stripcohort.sources import files, shared, store, views
 from stripcohort.sources.views import sql
 
@@ -78,11 +79,11 @@ def s2_mapped_labels(spark: SparkSession, d: str) -> DataFrame:
     return files.with_mapping(found, files.mapping(spark, path, "file string, quality int")).select("file", "quality")
 
 
-@query("select label, count(*)::bigint as n, count_if(embedding is null or len(embedding) <> 64 or len(list_filter(embedding, lambda x: x is null)) > 0)::bigint as violating from embeddings group by 1")
+@query("select label, count(*)::bigint as n, count_if(embedding is null or len(embedding) <> 64 or len(list_filter(embedding, lambda x: x is null or x < -0.4 or x > 0.4)) > 0)::bigint as violating from embeddings group by 1")
 def s3_shape_violations(spark: SparkSession, d: str) -> DataFrame:
-    """Per class: rows, and those whose array is missing, of another length than the first class's longest, or with gaps."""
-    rows = views.table(spark, d, "embeddings").select("label", "embedding")
-    return files.violations(rows, "label", "embedding", 64)
+    """Per class: rows, and those whose array is missing, of another length than 64, with gaps, or with a value outside -0.4 .. 0.4 (bytes would be 0 .. 255)."""
+    rows = views.table(spark, d, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("embedding"))
+    return files.violations(rows, "label", "embedding", 64, -0.4, 0.4)
 
 
 @query(
@@ -106,15 +107,23 @@ def s4_reused_features(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out, "mean", "std").withColumn("computed", F.lit(len(times)))
 
 
-@query(sql("radii", body="select cohort as file, pupil_r / iris_r as pupil_iris_ratio, 2 * pupil_r as pupil_diameter, 2 * iris_r as iris_diameter, iris_r - pupil_r as iris_thickness, count(*)::bigint as n from radii group by all").replace("pupil_r / iris_r as", "round(pupil_r / iris_r, 6) as"))
+GEOMETRY = """geo as (select cohort as file, case when cohort = 'R' then '1' else '0' end as label, 2 * pupil_r as pupil_diameter, 2 * iris_r as iris_diameter, iris_r - pupil_r as iris_thickness,
+  round(rho, 6) as pupil_iris_ratio, round(tau, 6) as thickness_ratio, round(eps, 6) as concentricity_offset, quality from rule)"""
+
+
+@query(sql("radii", more=RULE + ", " + GEOMETRY, body="select *, count(*)::bigint as n from geo group by all"))
 def s5_geometry_table(spark: SparkSession, d: str) -> DataFrame:
-    """The geometry table written as CSV and read back, its rows counted."""
+    """The geometry table with all of its columns, written as CSV and read back, its rows counted."""
     path = shared.fresh(spark)
-    r = views.radii(spark, d)
-    made = {"file": F.col("cohort"), "pupil_diameter": 2 * F.col("pupil_r"), "iris_diameter": 2 * F.col("iris_r"), "iris_thickness": F.col("iris_r") - F.col("pupil_r"), "pupil_iris_ratio": F.round(F.col("pupil_r") / F.col("iris_r"), 6)}
-    files.write_geometry(r.select(*[c.alias(n) for n, c in made.items()]), path)
+    rated = rules.quality_label(rules.geometry(views.radii(spark, d)))
+    made = {
+        "file": F.col("cohort"), "label": F.when(F.col("cohort") == "R", "1").otherwise("0"),
+        "pupil_diameter": 2 * F.col("pupil_r"), "iris_diameter": 2 * F.col("iris_r"), "iris_thickness": F.col("iris_r") - F.col("pupil_r"),
+        "pupil_iris_ratio": F.round("rho", 6), "thickness_ratio": F.round("tau", 6), "concentricity_offset": F.round("eps", 6), "quality": F.col("quality"),
+    }
+    files.write_geometry(rated.select(*[c.alias(n) for n, c in made.items()]), path)
     back = spark.read.csv(path, header=True, schema=", ".join(f"{c} {'string' if c in ('file', 'label', 'quality') else 'double'}" for c in files.GEOMETRY))
-    return back.groupBy("file", "pupil_iris_ratio", "pupil_diameter", "iris_diameter", "iris_thickness").agg(F.count(F.lit(1)).alias("n"))
+    return back.groupBy(*files.GEOMETRY).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(sql("predictions", more="f as (select dataset, clf, fold, avg((y = pred)::int) as acc from predictions group by 1, 2, 3)", body="select dataset, clf, fold, round(acc, 6) as acc, null::double as mean from f union all select dataset, null, null, null, round(avg(acc), 6) from f group by 1"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stripcohort.sources.shared import durable
+
 from stripcohort.operators import comparison, features, rules
 
 
@@ -56,11 +58,15 @@ def permuted_labels(rows: DataFrame, label: str, seed: int, key: str = "id") ->
 
 
 def permuted_hits(rows: DataFrame, config: str, seeds: range) -> DataFrame:
-    """config, seed, y, pred: every row's pred beside the y that a permutation of its configuration deals it, once per seed."""
-    each = rows.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds]))).withColumn("_of", F.concat_ws("|", "seed", config))
-    one = rules.numbered(each.select("_of", config, "seed", "id", "pred"), "_of", rules.seeded(F.col("seed"), "id"), "id", "_at")
-    two = rules.numbered(each.select("_of", "seed", "id", "y"), "_of", rules.seeded(F.col("seed") + 1000, "id"), "id", "_at")
-    return one.join(two.select("_of", "_at", "y"), ["_of", "_at"]).select(config, "seed", "y", "pred")
+    """config, seed, y, pred: every row's pred beside the y that a permutation of its configuration deals it, once per seed.
+
+    Predictions are numbered once, by a hash of the first seed; only the labels are dealt anew for each seed, by hashes of its own.
+    """
+    own = durable(rows.select(config, "id", "y", "pred"))
+    one = rules.numbered(own.select(config, "id", "pred"), config, rules.seeded(seeds[0], "id"), "id", "_at").select(config, "_at", "pred")
+    each = own.select(config, "id", "y", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed")).withColumn("_of", F.concat_ws("|", "seed", config))
+    two = rules.numbered(each, "_of", rules.seeded(F.col("seed") + 1000, "id"), "id", "_at").select(config, "seed", "_at", "y")
+    return two.join(one, [config, "_at"]).select(config, "seed", "y", "pred")
 
 
 def masked_otsu(image: DataFrame, mask: Column) -> DataFrame:

@@ -131,11 +131,23 @@ def spearman(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     return ranked.groupBy(*keys).agg(F.corr("_ra", "_rb").alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
-def wins(folds: DataFrame, config: str, baseline: str, pairing: list[str], value: str) -> DataFrame:
-    """How often a configuration is above the baseline, and its mean and worst change."""
+def wins(folds: DataFrame, config: str, baseline: str, pairing: list[str], value: str, family: list[str] | None = None, test_share: float = 0.25) -> DataFrame:
+    """How often a configuration is above the baseline, its mean and worst change and, with a family, how many of its tests are significant.
+
+    A test is one value of the family's columns (of pairing): the corrected paired t over the other columns of pairing, p
+    by Holm's correction over a configuration's tests; up and down count those below 0.05 by their direction.
+    """
     base = folds.filter(F.col(config) == baseline).select(*pairing, F.col(value).alias("_b"))
     both = folds.filter(F.col(config) != baseline).join(base, pairing).withColumn("_d", F.col(value) - F.col("_b"))
-    return both.groupBy(config).agg(F.count("_d").alias("n"), F.count_if(F.col("_d") > 0).alias("wins"), F.avg("_d").alias("mean_delta"), F.min("_d").alias("worst"), F.avg(F.abs("_d")).alias("mean_abs"))
+    out = both.groupBy(config).agg(F.count("_d").alias("n"), F.count_if(F.col("_d") > 0).alias("wins"), F.avg("_d").alias("mean_delta"), F.min("_d").alias("worst"), F.avg(F.abs("_d")).alias("mean_abs"))
+    if not family:
+        return out
+    tests = paired(folds, config, baseline, family, [c for c in pairing if c not in family], value, test_share)
+    held = rules.holm(tests.withColumn("p", F.when(~F.isnan("p"), F.col("p"))), config)
+    clear = F.col("p_holm") < 0.05
+    found = held.groupBy(config).agg(F.count_if(clear & (F.col("diff") > 0)).alias("up"), F.count_if(clear & (F.col("diff") < 0)).alias("down"))
+    zero = F.lit(0).cast("long")
+    return out.join(found, config, "left").withColumns({c: F.coalesce(c, zero) for c in ("up", "down")})
 
 
 def signed_ranks(pairs: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:

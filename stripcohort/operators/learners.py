@@ -1,7 +1,7 @@
 """Learners of the cohort study on Spark's own library, and their validation over folds.
 
 A fold is fitted on the whole cluster, so the loops below are over a few folds of large data, not over thousands of small fits;
-those are done for all groups at once in regions.py.
+those are done for all keys at once in small_models.py and regions.py.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stripcohort.operators import rules
+from stripcohort.operators import rules, small_models
+from stripcohort.sources.shared import durable
 
 #: rows (vector features, double label), how many, how many features -> a fitted model with a probability.
 Learner = Callable[[DataFrame, int, int], object]
@@ -30,6 +31,7 @@ def logistic(c: float = 1.0) -> Learner:
 
 
 def forest(trees: int = 100, depth: int = 10, seed: int = 42) -> Learner:
+    """Trees up to a depth; the library allows 30, where full trees of a few thousand rows end, at several times the cost."""
     return lambda rows, n, d: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="scaled", labelCol="label").fit(rows)
 
 
@@ -41,9 +43,11 @@ def perceptron(hidden: tuple[int, ...] = (100, 50), steps: int = 100, seed: int
 LEARNERS: dict[str, Callable[[], Learner]] = {"logistic": logistic, "forest": forest, "perceptron": perceptron}
 
 
-def held(rows: DataFrame, per_part: int = 10_000) -> DataFrame:
-    """rows kept for the many passes of a fit, in no more partitions than their number asks for (a fit is hundreds of small jobs)."""
-    return rows.coalesce(rows.count() // per_part + 1).persist(StorageLevel.MEMORY_AND_DISK)
+def held(rows: DataFrame, per_part: int = 10_000, least: int = 200) -> DataFrame:
+    """rows kept for the many passes of a fit (the caller lets go of them), in no more partitions than their number asks for: a fit is hundreds of small jobs."""
+    n = rows.count()
+    parts = max(min(rows.sparkSession.sparkContext.defaultParallelism, n // least), n // per_part) + 1
+    return rows.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def vectors(rows: DataFrame) -> DataFrame:
@@ -51,16 +55,19 @@ def vectors(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"features": array_to_vector(F.col("features").cast("array<double>")), "label": F.col("y").cast("double")})
 
 
-def fitted(train: DataFrame, learner: Learner) -> PipelineModel | None:
-    """Standardises on train alone (population deviation, a constant column becomes 0), then fits; null where train lacks a class."""
+def fitted(train: DataFrame, learners: dict[str, Learner]) -> dict[str, PipelineModel]:
+    """Standardises on train alone (population deviation, a constant column becomes 0), once for all learners, then fits; nothing where train lacks a class."""
     n, kinds = train.agg(F.count(F.lit(1)), F.count_distinct("label")).first()
     if kinds < 2:
-        return None
+        return {}
     scaler = StandardScaler(withMean=True, withStd=True, inputCol="features", outputCol="sampled").fit(train)
     d = len(scaler.mean)
     # the library divides by the sample deviation
     exact = ElementwiseProduct(scalingVec=Vectors.dense([(n / max(n - 1, 1)) ** 0.5] * d), inputCol="sampled", outputCol="scaled")
-    return PipelineModel([scaler, exact, learner(exact.transform(scaler.transform(train)), n, d)])
+    ready = exact.transform(scaler.transform(train)).persist(StorageLevel.MEMORY_AND_DISK)
+    models = {name: PipelineModel([scaler, exact, learner(ready, n, d)]) for name, learner in learners.items()}
+    ready.unpersist()
+    return models
 
 
 def scored(model: PipelineModel, rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -88,38 +95,13 @@ def cross_validated(rows: DataFrame, learners: dict[str, Learner], fold: str = "
     out = [_empty(asked, keep).select(F.lit("").alias("clf"), *keep, "score", "pred")]
     for f in range(k):
         train, test = ready.filter(F.col(fold) != f), asked.filter(F.col(fold) == f)
-        for name, learner in learners.items():
-            model = fitted(train, learner)
-            if model:
-                out.append(scored(model, test, keep).select(F.lit(name).alias("clf"), *keep, "score", "pred"))
-    return reduce(DataFrame.unionByName, out)
-
-
-def stacked(train: DataFrame, test: DataFrame, blocks: list[str], inner: int, learner: Learner, seed: int) -> DataFrame | None:
-    """id, y, score, pred of test by a stack: one model per block of features, whose out-of-fold probabilities on inner folds of train fit the last model."""
-    dealt = held(rules.stratified_folds(train, "y", inner, seed))
-    levels = []
-    for b in blocks:
-        own = dealt.select("id", "y", "fold", F.col(b).alias("features"))
-        inside = cross_validated(own, {b: learner}, k=inner).select("id", F.col("score").alias(b))
-        whole = fitted(vectors(own), learner)
-        if whole is None:
-            return None
-        outside = scored(whole, vectors(test.select("id", "y", F.col(b).alias("features"))), ["id"]).select("id", F.col("score").alias(b))
-        levels.append((inside, outside))
-    joined = [reduce(lambda x, y: x.join(y, "id"), [lv[i] for lv in levels]) for i in (0, 1)]
-    # out-of-fold scores are joined once, then read by every pass of the last fit
-    first, second = (side.join(of.select("id", "y"), "id").select("id", "y", F.array(*blocks).alias("features")) for side, of in zip(joined, (train, test), strict=True))
-    last = fitted(held(vectors(first)), learner)
-    return None if last is None else scored(last, vectors(second), ["id", "y"])
+        for name, model in fitted(train, learners).items():
+            out.append(scored(model, test, keep).select(F.lit(name).alias("clf"), *keep, "score", "pred"))
+    found = durable(reduce(DataFrame.unionByName, out))
+    ready.unpersist()
+    return found
 
 
 def compared_fusion(rows: DataFrame, blocks: list[str], k: int = 5, inner: int = 5, seed: int = 42) -> DataFrame:
     """model, id, fold, y, score, pred of rows (id, y, and an array per block): every block alone and their stack, over the same folds."""
-    dealt = held(rules.stratified_folds(rows, "y", k, seed))
-    out = [cross_validated(dealt.select("id", "y", "fold", F.col(b).alias("features")), {b: logistic()}, k=k).withColumnRenamed("clf", "model") for b in blocks]
-    for f in range(k):
-        part = stacked(dealt.filter(F.col("fold") != f).drop("fold"), dealt.filter(F.col("fold") == f), blocks, inner, logistic(), seed + 1)
-        if part is not None:
-            out.append(part.select(F.lit("fusion").alias("model"), "id", F.lit(f).cast("int").alias("fold"), "y", "score", "pred"))
-    return reduce(DataFrame.unionByName, out)
+    return small_models.stacked(rules.stratified_folds(rows, "y", k, seed), blocks, k, inner, seed)

@@ -45,9 +45,10 @@ def decoded(spark: SparkSession, root: str) -> DataFrame:
     return out.select("path", "label", "readable", "height", "width", "n_channels", "data")
 
 
-def violations(rows: DataFrame, label: str, values: str, length: int) -> DataFrame:
-    """label, n, violating: rows per class whose array is missing, has another length, or holds a gap."""
-    whole = F.col(values).isNotNull() & (F.size(values) == length) & ~F.exists(values, lambda x: x.isNull())
+def violations(rows: DataFrame, label: str, values: str, length: int, low: float = 0, high: float = 255) -> DataFrame:
+    """label, n, violating: rows per class whose array is missing, has another length, holds a gap, or a value outside low .. high."""
+    fine = F.forall(values, lambda x: F.coalesce((x >= low) & (x <= high), F.lit(False)))
+    whole = F.col(values).isNotNull() & (F.size(values) == length) & fine
     return rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(whole, F.lit(False))).alias("violating"))
 
 
