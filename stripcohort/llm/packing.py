@@ -13,6 +13,8 @@ from stripcohort.llm import tokens
 
 #: Open windows that a task may hold; beyond it they are filled up from each other.
 MOST_OPEN = 4096
+#: Bytes of text whose distinct words are encoded together.
+SLICE = 16 << 20
 LETTER_STOP = r"([a-zA-Z\x{df}-\x{f6}\x{f8}-\x{ff}])([.,;:!?])"
 
 
@@ -195,7 +197,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int =
 
         for ids, texts in batches:
             id_type = ids.type
-            for at, n in tokens.slices(texts):
+            for at, n in tokens.slices(texts, SLICE):
                 flat, offsets = words.ids(texts.slice(at, n))
                 for k, doc in enumerate(ids.slice(at, n).to_pylist()):
                     lo, size = int(offsets[k]), int(offsets[k + 1] - offsets[k])
