@@ -95,7 +95,7 @@ def cohort_audit(images: DataFrame, width: int, least: float = 0.97) -> DataFram
 
     images is (layout, label, image_id, row, col, value), whole rectangles, read once: an image becomes one row with its
     values as an array, written to the shared folder. Copies and near pairs are found within a layout; a strip that
-    other layouts hold too counts in each.
+    other layouts hold too counts in each, under the same id or another.
     """
     cells = F.sort_array(F.collect_list(F.struct("row", "col", "value")))
     whole = shared_tables.durable(images.groupBy("layout", "label", F.col("image_id").alias("id")).agg(cells.getField("value").alias("v")))
@@ -105,7 +105,7 @@ def cohort_audit(images: DataFrame, width: int, least: float = 0.97) -> DataFram
     first = hashed.groupBy("layout", "sha").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     n_empty = F.size(F.filter("e", lambda x: x))
     marked = hashed.withColumns({"n_empty": n_empty, "mirrored": (n_empty == 1) & F.get("e", F.lit(width // 2))})
-    unique = shared_tables.durable(marked.join(first.select("layout", "id"), ["layout", "id"]))
+    unique = shared_tables.durable(marked.join(first.select("layout", "id"), ["layout", "id"]).withColumn("uid", F.monotonically_increasing_id()))
     by = lambda c: F.count_if(c)
     rows = hashed.groupBy("layout").agg(by(F.col("label") == 0).alias("rows_0"), by(F.col("label") == 1).alias("rows_1"))
     some = first.groupBy("layout").agg((F.sum("n") - F.count(F.lit(1))).alias("removed"), F.max("n").alias("most_copies"))
@@ -114,10 +114,10 @@ def cohort_audit(images: DataFrame, width: int, least: float = 0.97) -> DataFram
     kept = unique.groupBy("layout").agg(*[c.alias(n) for n, c in of.items()], by(seam).alias("repaired"), F.count(F.lit(1)).alias("_all"))
     # an empty column takes the mean of the nearest others around the circle, as repair_seam gives it
     side = lambda step: F.expr(f"transform(sequence(0, {width - 1}), c -> get(filter(transform(sequence(1, {width - 1}), k -> (c + {width} {step} k) % {width}), x -> not e[x]), 0))")
-    sided = unique.select("layout", "id", "v", "e", seam.alias("seam"), side("-").alias("l"), side("+").alias("r"))
+    sided = unique.select("layout", F.col("uid").alias("id"), "v", "e", seam.alias("seam"), side("-").alias("l"), side("+").alias("r"))
     mended = F.expr(f"transform(v, (x, i) -> cast(if(seam and e[i % {width}], floor((v[i - i % {width} + l[i % {width}]] + v[i - i % {width} + r[i % {width}]]) / 2), x) as double))")
     vectors = shared_tables.durable(sided).select("layout", "id", mended.alias("v"))
-    layout_of = unique.select("id", "layout")
+    layout_of = unique.select(F.col("uid").alias("id"), "layout")
     near = similar.near_pairs(vectors, least, within="layout")
     pairs = shared_tables.durable(near.join(layout_of, F.col("id") == F.col("a")).select("layout", "a", "b"))
     linked = pairs.groupBy("layout").agg(F.count(F.lit(1)).alias("near_pairs"))

@@ -151,7 +151,7 @@ def test_near_pairs_of_a_strip_that_another_layout_shares(spark):
     x = [r.randint(20, 199) for _ in range(64)]
     y = [v + (k % 9 == 0) for k, v in enumerate(x)]
     z = [r.randint(20, 199) for _ in range(64)]
-    strips = {("p", 10): x, ("p", 11): y, ("p", 12): z, ("q", 3): x, ("q", 4): z, ("q", 5): x}
+    strips = {("p", 10): x, ("p", 11): y, ("p", 12): z, ("q", 10): x, ("q", 4): z, ("q", 11): x}
     rows = [(layout, 0, i, k // 8, k % 8, v) for (layout, i), s in strips.items() for k, v in enumerate(s)]
     out = {r["layout"]: r for r in audit.cohort_audit(spark.createDataFrame(rows, "layout string, label int, image_id long, row int, col int, value int"), 8).collect()}
     assert (out["p"]["near_pairs"], out["p"]["groups"], out["p"]["removed"]) == (1, 2, 0)

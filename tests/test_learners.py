@@ -52,14 +52,17 @@ def test_models_fitted_clean_score_conditions(planted):
 def test_logistic_has_the_strength_of_a_sum_of_losses(spark):
     # one feature of deviation 1, four rows: at the optimum w = c * sum of (y - p) * x
     rows = learners.vectors(spark.createDataFrame([(float(x), y) for x, y in ((-1.2, False), (-0.4, True), (0.6, False), (1.0, True))], "x double, y boolean").withColumn("features", F.array("x")))
-    model = learners.fitted(rows, learners.logistic(2.0))
+    model = learners.fitted(rows, {"m": learners.logistic(2.0)})["m"]
     w, b = model.stages[-1].coefficients[0], model.stages[-1].intercept
     scaled = [(r["scaled"][0], r["label"]) for r in model.transform(rows).collect()]
     assert sum(s * s for s, _ in scaled) == pytest.approx(4)  # population deviation
     assert w == pytest.approx(2.0 * sum((y - 1 / (1 + math.exp(-(w * s + b)))) * s for s, y in scaled), abs=1e-3)
 
 
-def test_pieces_equal_one_pass(spark):
+def test_pieces_equal_one_pass(spark, monkeypatch):
+    from stripcohort.operators import prefix as pieces
+
+    monkeypatch.setattr(pieces, "WHOLE", 0)  # keys of any length are cut
     rng = random.Random(2)
     rows = [(k, rng.choice([round(rng.random(), 3), 0.5]), rng.random() < 0.4) for k in ("a", "b", None) for _ in range(400)]
     df = spark.createDataFrame(rows, "k string, score double, y boolean")
