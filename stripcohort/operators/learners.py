@@ -43,7 +43,7 @@ def perceptron(hidden: tuple[int, ...] = (100, 50), steps: int = 100, seed: int
 LEARNERS: dict[str, Callable[[], Learner]] = {"logistic": logistic, "forest": forest, "perceptron": perceptron}
 
 
-def held(rows: DataFrame, per_part: int = 10_000, least: int = 200) -> DataFrame:
+def held(rows: DataFrame, per_part: int = 10_000, least: int = 1000) -> DataFrame:
     """rows kept for the many passes of a fit (the caller lets go of them), in no more partitions than their number asks for: a fit is hundreds of small jobs."""
     n = rows.count()
     parts = max(min(rows.sparkSession.sparkContext.defaultParallelism, n // least), n // per_part) + 1
