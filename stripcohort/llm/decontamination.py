@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stripcohort.llm.common import fresh
-from stripcohort.llm.wordhash import PUNCTUATION, U, rolling, slices, texts, word_hashes
+from stripcohort.llm.wordhash import PUNCTUATION, U, line_firsts, rolling, slices, texts, word_hashes
 
 #: Text of the benchmark that a task holds at a time.
 BLOCK_BYTES = 32 << 20
@@ -111,10 +111,10 @@ def tiles_by_length(doc: np.ndarray, item: np.ndarray, shortest: int) -> list[tu
 
 
 class Benchmark:
-    """A block of items, for lookups by fingerprint; items shorter than the shortest tile are windows of their own length."""
+    """A block of items, for lookups by fingerprint; items shorter than the shortest tile are windows of their own length, on whole lines."""
 
     def __init__(self, items: list[tuple[int | None, str]], shortest: int) -> None:
-        self.ids, self.words, self.tables = [i for i, _ in items], [], []
+        self.ids, self.words, self.tables, self.shortest = [i for i, _ in items], [], [], shortest
         if not items:
             return
         data, bounds = texts(pa.array([t for _, t in items], pa.large_string()))
@@ -134,11 +134,23 @@ class Benchmark:
             maybe[(prints & U((1 << 22) - 1)).astype(np.int64)] = True
             self.tables.append((n, prints[order], item, place, maybe))
 
-    def covers(self, words: np.ndarray, least: float) -> Iterator[tuple[int, int, int, int]]:
-        """item's number, its words, words covered and tiles, of every item that this text covers by at least ``least``."""
+    @property
+    def by_line(self) -> bool:
+        """Whether covers() needs to know where lines begin."""
+        return any(n < self.shortest for n, *_ in self.tables)
+
+    def covers(self, words: np.ndarray, least: float, firsts: np.ndarray | None = None) -> Iterator[tuple[int, int, int, int]]:
+        """item's number, its words, words covered and tiles, of every item that this text covers by at least ``least``.
+
+        firsts tells of each word whether a line begins with it; without it the text is one line.
+        """
         for n, prints, item, place, maybe in self.tables:
             mine = rolling(words, n)
             hit = np.flatnonzero(maybe[(mine & U((1 << 22) - 1)).astype(np.int64)])
+            if n < self.shortest and len(hit):
+                edge = np.zeros(len(words) + 1, bool) if firsts is None else np.append(firsts, True)
+                edge[[0, -1]] = True
+                hit = hit[edge[hit] & edge[hit + n]]
             kinds, which, times = np.unique(mine[hit], return_inverse=True, return_counts=True)
             lo, hi = np.searchsorted(prints, kinds, "left"), np.searchsorted(prints, kinds, "right")
             if not (hi > lo).any():
@@ -211,8 +223,9 @@ def _against(batches: Iterator[pa.RecordBatch], folder: str, n: int, shortest: i
 def overlaps(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, shortest: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, item_words, covered, n_tiles, coverage of every document and item with a coverage of at least ``least``.
 
-    Words are runs of letters and digits, A-Z lowered. The shortest tile of an item is ``shortest`` words, or the whole of an
-    item that has fewer. Texts without words match nothing, nor does an empty benchmark. Items with a null id count like others;
+    Words are runs of letters and digits, A-Z lowered. The shortest tile of an item is ``shortest`` words. An item of fewer
+    words, which may be common ones, is covered only where it stands as the whole of a line, or of several lines or the text.
+    Texts without words match nothing, nor does an empty benchmark. Items with a null id count like others;
     items that are repeated count once. Rows of documents that are repeated, and those of null ids, each give their rows.
     """
     kind = "doc_id long, item_id long, item_words long, covered long, n_tiles long, coverage double"
@@ -227,20 +240,22 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, shortest
             for block in blocks:
                 for batch in held:
                     rows, ids = [], batch.column(0)
-                    for r, words in _texts(batch.column(1)):
-                        rows += [(ids[r].as_py(), block.ids[k], size, covered, made, covered / size) for k, size, covered, made in block.covers(words, least)]
+                    for r, *text in _texts(batch.column(1), block.by_line):
+                        found = block.covers(text[0], least, text[1])
+                        rows += [(ids[r].as_py(), block.ids[k], size, covered, made, covered / size) for k, size, covered, made in found]
                     yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], t) for c, t in enumerate(types)], names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, kind)
 
 
-def _texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """Each row's number and the hashes of its words."""
+def _texts(column: pa.Array, by_line: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
+    """Each row's number, the hashes of its words and, by_line, which of them begin a line."""
     data, bounds = texts(column)
     for lo, hi in slices(bounds):
         words, at = word_hashes(data, bounds[lo : hi + 1], PUNCTUATION)
+        firsts = line_firsts(data, bounds[lo : hi + 1], PUNCTUATION) if by_line else None
         for r in range(hi - lo):
-            yield lo + r, words[at[r] : at[r + 1]]
+            yield lo + r, words[at[r] : at[r + 1]], None if firsts is None else firsts[at[r] : at[r + 1]]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, shortest: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -255,8 +270,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = 0.5, sho
             keep = [np.ones(len(batch), bool) for batch in held]
             for block in blocks:
                 for batch, stays in zip(held, keep, strict=True):
-                    for r, words in _texts(batch.column(where)):
-                        if stays[r] and any(True for _ in block.covers(words, least)):
+                    for r, words, firsts in _texts(batch.column(where), block.by_line):
+                        if stays[r] and any(True for _ in block.covers(words, least, firsts)):
                             stays[r] = False
             for batch, stays in zip(held, keep, strict=True):
                 yield batch.filter(pa.array(stays))

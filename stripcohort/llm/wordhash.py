@@ -77,19 +77,36 @@ BLANK = _SPACE
 PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
+def _words(part: np.ndarray, edges: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of these bytes begin and end; none crosses an edge."""
+    solid = ~gaps[part]
+    edge = np.zeros(len(part) + 1, bool)
+    edge[edges] = True
+    begins, stops = solid.copy(), solid.copy()
+    begins[1:] &= ~solid[:-1] | edge[1:-1]
+    stops[:-1] &= ~solid[1:] | edge[1:-1]
+    return np.flatnonzero(begins), np.flatnonzero(stops) + 1
+
+
+def line_firsts(data: np.ndarray, bounds: np.ndarray, gaps: np.ndarray = BLANK) -> np.ndarray:
+    """For each word of word_hashes(): whether it is the first of its row, or of a line of it."""
+    first = int(bounds[0])
+    part = data[first : int(bounds[-1])]
+    if not len(part):
+        return np.zeros(0, bool)
+    start, _ = _words(part, bounds - first, gaps)
+    breaks = np.cumsum((part == 0x0A) | (part == 0x0D))[start]
+    row = np.searchsorted(bounds - first, start, "right")
+    return np.concatenate([np.ones(min(len(start), 1), bool), (np.diff(breaks) > 0) | (np.diff(row) > 0)])
+
+
 def word_hashes(data: np.ndarray, bounds: np.ndarray, gaps: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
     """Of the rows with these bounds: the hash of each word in order, and each row's bounds in that list."""
     first, rows = int(bounds[0]), len(bounds) - 1
     part = data[first : int(bounds[-1])]
     if not len(part):
         return np.zeros(0, U), np.zeros(rows + 1, np.int64)
-    solid = ~gaps[part]
-    edge = np.zeros(len(part) + 1, bool)
-    edge[bounds - first] = True
-    begins, stops = solid.copy(), solid.copy()
-    begins[1:] &= ~solid[:-1] | edge[1:-1]
-    stops[:-1] &= ~solid[1:] | edge[1:-1]
-    start, end = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    start, end = _words(part, bounds - first, gaps)
     total = np.zeros(len(part) + 1, U)
     np.cumsum(_LETTER[part] * _power(_STEP, len(part)), out=total[1:])
     words = mix((total[end] - total[start]) * _power(_BACK, len(part))[start] + (end - start).astype(U))
