@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stripcohort.sources.shared import durable, forget, fresh, hadoop_path, scratch, shared_dir
 
-__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "crc_of", "durable", "forget", "free_names", "fresh", "lower_ascii", "scratch", "shared_dir", "sized", "table"]
+__all__ = ["BROADCAST_BYTES", "BROADCAST_ROWS", "crc_of", "durable", "few", "forget", "free_names", "fresh", "lower_ascii", "scratch", "shared_dir", "sized", "table"]
 
 #: A side is broadcast only after it has been shown to have no more rows, and no more bytes on disk, than these.
 BROADCAST_ROWS = 200_000
@@ -22,13 +22,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Materialises a side of a join; marks it for broadcast only if its rows and bytes as written are few, else a shuffle join stays."""
     kept = durable(df)
-    at, system = hadoop_path(df.sparkSession, kept.durable_path)
-    size = system.getContentSummary(at).getLength()
-    side = F.broadcast(kept) if size <= max_bytes and kept.count() <= max_rows else kept
+    side = F.broadcast(kept) if few(kept, max_rows, max_bytes) else kept
     side.durable_path = kept.durable_path
     return side
 
 
+def few(kept: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether what durable() wrote has no more rows and bytes than may be broadcast."""
+    at, system = hadoop_path(kept.sparkSession, kept.durable_path)
+    return system.getContentSummary(at).getLength() <= max_bytes and kept.count() <= max_rows
+
+
 def free_names(columns: list[str], *wanted: str) -> list[str]:
     """Each wanted name, or the first of name1, name2, ... that no column has (whatever its case)."""
     taken, out = {c.lower() for c in columns}, []

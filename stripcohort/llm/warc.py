@@ -23,22 +23,46 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stripcohort.llm.common import durable, fresh, sized
+from stripcohort.llm.common import BROADCAST_ROWS, durable, few, fresh, sized
 from stripcohort.sources.shared import hadoop_path
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Payloads shorter than this are always written in full.
 LEAST_BYTES = 100
+#: A payload of more pages than this meets them as a broadcast row of its own, where payloads are too many to be broadcast.
+HOT_ROWS = 10_000
 #: A task begins another archive after so many bytes of records.
 ARCHIVE_BYTES = 256 << 20
 
 
-def plan_records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """page_id, url, html, digest, refers_to: of equal payloads of least_bytes or more the smallest page_id stands, the others refer to it."""
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
-    long = base.filter(F.octet_length("html") >= least_bytes)
-    groups = sized(long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1 and first is not null").select("digest", "first"))
-    return base.join(groups, "digest", "left").select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
+def plan_records(pages: DataFrame, least_bytes: int = LEAST_BYTES, max_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """page_id, url, html, digest, refers_to: of equal payloads of least_bytes or more the smallest page_id stands, the others refer to it.
+
+    Where few payloads repeat (max_rows) they are broadcast and no page moves. Beyond, revisits are found on ids and digests
+    alone, and pages meet them by id: a payload that any number of pages share is no task's.
+    """
+    html = F.coalesce("html", F.lit(""))
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html")).withColumn("digest", F.sha2("html", 256))
+    long = F.octet_length("html") >= least_bytes
+    counted = base.filter(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    groups = durable(counted.filter("n > 1 and first is not null"))
+    columns = ["page_id", "url", "html", "digest", "refers_to"]
+    if few(groups, max_rows):
+        stands = F.broadcast(groups.select("digest", "first"))
+        refers = F.when(F.col("page_id") != F.col("first"), F.col("first"))
+        return base.join(stands, "digest", "left").withColumn("refers_to", refers).select(*columns)
+    # at most rows / hot_rows payloads are hot; the others' groups have no more than hot_rows ids each
+    hot = sized(groups.filter(F.col("n") > hot_rows).select("digest", F.col("first").alias("hot")), max_rows)
+    cold = groups.filter(F.col("n") <= hot_rows).select("digest", "first")
+    ids = durable(base.filter(long & F.col("page_id").isNotNull()).select("page_id", "digest"))
+    of_hot = ids.join(hot, "digest").select("page_id", "digest", F.col("hot").alias("first"))
+    of_cold = ids.join(hot, "digest", "left_anti").join(cold, "digest").select("page_id", "digest", "first")
+    revisits = of_hot.unionByName(of_cold).filter("page_id <> first").distinct()
+    revisits = sized(revisits.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), F.col("first").alias("refers_to")), max_rows)
+    # pages without an id revisit none: dealt by what they hold, they don't meet in one task
+    key = F.coalesce("page_id", F.xxhash64("url", "digest"))
+    joined = base.join(revisits, long & F.col("page_id").isNotNull() & (key == F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    return joined.select(*columns)
 
 
 def record(page_id: int | None, url: str | None, html: str, digest: str, refers_to: int | None) -> bytes:
