@@ -121,11 +121,11 @@ select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest,
   case when n >= 100 and page_id > first then first end as refers_to
 from f""",
     "op9_top_k": """
-with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
+with v as (select row_number() over () as n, vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v from embeddings
       where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
-      from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+s as (select q.n, q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+      from v q join v c on q.n <> c.n where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by n order by score desc, vec_id) as rank from s)
 select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 5""",
 }
 

@@ -26,9 +26,9 @@ SLACK = 1e-9
 
 
 def quantised(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", scale: float = 256.0) -> DataFrame:
-    """id, v: components as floor(scale * x). Vectors that are null, or hold null or a component that isn't finite, take no part.
+    """row, id, v: components as floor(scale * x), and a number that tells rows apart. Vectors that are null, or hold null or a component that isn't finite, take no part.
 
-    A vec_id stands for one vector: of rows that repeat it, the one whose components come first in order.
+    The caller writes the rows before it uses their numbers.
     """
     x = F.transform(F.col(column), lambda c: c.cast("double"))
     finite = F.forall(F.col("x"), lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
@@ -36,7 +36,7 @@ def quantised(vectors: DataFrame, key: str = "vec_id", column: str = "embedding"
     base = base.filter(F.col("x").isNotNull() & F.col("id").isNotNull() & F.coalesce(finite, F.lit(False)))
     # in range first: components beyond it are found by their norm, not cut to the largest long
     v = F.transform("x", lambda c: F.floor(F.greatest(F.lit(-4e18), F.least(F.lit(4e18), c * scale))).cast("long"))
-    return base.select("id", v.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    return base.select(F.monotonically_increasing_id().alias("row"), "id", v.alias("v"))
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
@@ -70,14 +70,14 @@ class Space:
         return np.inf if score == -np.inf else float(np.sqrt(max(float(norm) + float(self.most) - 2 * float(score), 0)) * (1 + SLACK) + SLACK)
 
 
-def build(ids: np.ndarray, v: np.ndarray, space: Space) -> dict:
-    """A tree's arrays. Entries page by page: ids, v, own (distance to the page's router).
+def build(rows: np.ndarray, ids: np.ndarray, v: np.ndarray, space: Space) -> dict:
+    """A tree's arrays. Entries page by page: rows, ids, v, own (distance to the page's router).
 
     Nodes, root first: router, radius, parent (distance to the parent's router), first and last (their children, or their entries
     if leaf). A node of more than PAGE entries is split around up to FAN members that are far from each other.
     """
-    order = np.argsort(ids, kind="stable")
-    ids, v = ids[order], v[order]
+    order = np.lexsort((rows, ids))
+    numbers, ids, v = rows[order], ids[order], v[order]
     nodes: list[list] = []
     entries: list[np.ndarray] = []
     own: list[np.ndarray] = []
@@ -112,6 +112,7 @@ def build(ids: np.ndarray, v: np.ndarray, space: Space) -> dict:
     place = np.concatenate(entries)
     columns = list(zip(*nodes, strict=True))
     return {
+        "rows": numbers[place],
         "ids": ids[place],
         "v": v[place],
         "own": np.concatenate(own),
@@ -135,7 +136,7 @@ def _spread(v: np.ndarray, far: np.ndarray, n: int, space: Space) -> list[int]:
 
 
 def search(tree: dict, query: int, q: np.ndarray, k: int, floor: float, space: Space, tally: list[int] | None = None) -> list[tuple[int, int]]:
-    """(score, id) of up to k best entries of a tree, none that is worse than floor. tally adds up distances computed, and entries."""
+    """(score, id) of up to k best entries of a tree, none that is worse than floor, nor the query's own row. tally adds up distances computed, and entries."""
     norm = float(q @ q)
     best: list[tuple[int, int]] = []  # a heap, the worst first: (score, -id)
     computed = 1
@@ -162,7 +163,7 @@ def search(tree: dict, query: int, q: np.ndarray, k: int, floor: float, space: S
         some = np.flatnonzero(np.abs(at - tree["own"][a:b]) <= limit()) + a
         computed += len(some)
         score = tree["v"][some] @ q
-        fit = (score >= (max(best[0][0], floor) if len(best) == k else floor)) & (tree["ids"][some] != query)
+        fit = (score >= (max(best[0][0], floor) if len(best) == k else floor)) & (tree["rows"][some] != query)
         some, score = tree["ids"][some][fit], score[fit]
         # no more than k of a page can be among the k best
         for i in np.lexsort((some, -score))[:k]:
@@ -177,14 +178,14 @@ def search(tree: dict, query: int, q: np.ndarray, k: int, floor: float, space: S
     return [(s, -i) for s, i in best]
 
 
-TREE = "pivot int, cell int, part int, ids array<long>, v array<long>, own array<double>, router array<long>, radius array<double>, parent array<double>, first array<long>, last array<long>, leaf array<boolean>"
+TREE = "pivot int, cell int, part int, rows array<long>, ids array<long>, v array<long>, own array<double>, router array<long>, radius array<double>, parent array<double>, first array<long>, last array<long>, leaf array<boolean>"
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 64, cells: int = 64, tree_rows: int = 4096, block: int = 512, **columns: str) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best other vectors by integer inner product, ties to the smaller vec_id.
 
-    is_query is a condition on id. Rows that repeat a vec_id are one vector, as quantised() says; a vector with the query's
-    own id never answers it. Fewer than k other vectors give fewer rows; an empty table gives none. Other columns are left
+    is_query is a condition on id. Every row is a query or candidate of its own, also where rows repeat a vec_id: only
+    the query's own row never answers it, and queries that share an id have k answers each. Fewer than k other vectors give fewer rows; an empty table gives none. Other columns are left
     out. Routers come from samples of 16 * pivots vectors, and 16 * cells of a pivot that has more than tree_rows; every
     vector is indexed. Scores are longs: a vector whose quantised squares sum up to 2**62 or more is refused by its id.
     """
@@ -199,7 +200,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 64, ce
         raise ValueError(f"the vector of id {total['top']['id']} is too long for inner products that are longs")
     most = base.agg(F.max(F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x))).first()[0]
     space = Space(int(most), max(int(total["width"]), 1))
-    sample = base.orderBy(F.xxhash64("id"), "id").limit(16 * pivots).collect()
+    sample = base.orderBy(F.xxhash64("row"), "row").limit(16 * pivots).collect()
     tops = _far_apart(_matrix(pd.Series([r["v"] for r in sample]), space.width), pivots, space)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,11 +209,11 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 64, ce
                 far = space.between(_matrix(b["v"], space.width), tops)
                 yield b.assign(pivot=far.argmin(1), far=far.min(1))
 
-    placed = durable(base.mapInPandas(assign, "id long, v array<long>, pivot int, far double"))
+    placed = durable(base.mapInPandas(assign, "row long, id long, v array<long>, pivot int, far double"))
     sizes = {r["pivot"]: (r["n"], r["far"]) for r in placed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
     # large pivots have routers of their own
     large = [p for p, (n, _) in sizes.items() if n > tree_rows]
-    at = F.row_number().over(W.partitionBy("pivot").orderBy(F.xxhash64("id"), "id"))
+    at = F.row_number().over(W.partitionBy("pivot").orderBy(F.xxhash64("row"), "row"))
     some = placed.filter(F.col("pivot").isin(large)).withColumn("at", at).filter(F.col("at") <= 16 * cells).select("pivot", "v").collect() if large else []
     inner = {p: np.array(tops[p][None]) for p in sizes}
     for p in large:
@@ -227,50 +228,50 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 64, ce
                 far = space.between(v[own], inner[p])
                 cell[own], near[own] = far.argmin(1), far.min(1)
             if len(b):
-                yield b.assign(cell=cell, near=near)[["id", "v", "pivot", "cell", "near"]]
+                yield b.assign(cell=cell, near=near)[["row", "id", "v", "pivot", "cell", "near"]]
 
-    celled = durable(placed.mapInPandas(deal, "id long, v array<long>, pivot int, cell int, near double"))
+    celled = durable(placed.mapInPandas(deal, "row long, id long, v array<long>, pivot int, cell int, near double"))
     stats = {(r["pivot"], r["cell"]): (r["n"], r["near"]) for r in celled.groupBy("pivot", "cell").agg(F.count("*").alias("n"), F.max("near").alias("near")).collect()}
     # what one cell holds beyond a tree is dealt by hash: at this depth its vectors are near each other or equal.
     # this side has a row per cell, pivots * cells at most
     parts = F.broadcast(spark.createDataFrame([(int(p), int(c), -(-n // tree_rows)) for (p, c), (n, _) in stats.items()], "pivot int, cell int, n_parts int"))
 
     def plant(group: pd.DataFrame) -> pd.DataFrame:
-        t = build(group["id"].to_numpy(), _matrix(group["v"], space.width), space)
+        t = build(group["row"].to_numpy(), group["id"].to_numpy(), _matrix(group["v"], space.width), space)
         return pd.DataFrame([{c: group[c].iloc[0] for c in ("pivot", "cell", "part")} | {c: a.ravel() for c, a in t.items()}])
 
-    dealt = celled.join(parts, ["pivot", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), "n_parts").cast("int"))
+    dealt = celled.join(parts, ["pivot", "cell"]).withColumn("part", F.pmod(F.xxhash64("row"), "n_parts").cast("int"))
     trees = durable(dealt.groupBy("pivot", "cell", "part").applyInPandas(plant, TREE))
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for _, row in b.iterrows():
-                tree = {c: np.asarray(row[c]) for c in ("ids", "own", "radius", "parent", "first", "last", "leaf")}
+                tree = {c: np.asarray(row[c]) for c in ("rows", "ids", "own", "radius", "parent", "first", "last", "leaf")}
                 tree |= {c: np.asarray(row[c]).reshape(-1, space.width).astype(space.exact) for c in ("v", "router")}
                 for x in row["queries"]:
                     q = np.zeros(space.width, space.exact)
                     q[: len(x["qv"])] = x["qv"]
                     floor = -np.inf if x["floor"] is None or x["floor"] != x["floor"] else x["floor"]
-                    out += [(x["qid"], i, s) for s, i in search(tree, x["qid"], q, k, floor, space)]
-            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                    out += [(x["qrow"], x["qid"], i, s) for s, i in search(tree, x["qrow"], q, k, floor, space)]
+            yield pd.DataFrame(out, columns=["row", "query_id", "vec_id", "score"])
 
     place = ["pivot", "cell", "part"]
 
     def answers(asked: DataFrame) -> DataFrame:
-        """Of asked (id, v, floor, pivot, cell, part): the answers of those trees. Queries go in blocks, so a tree that all ask is many small tasks."""
-        one = F.struct(F.col("id").alias("qid"), F.col("v").alias("qv"), "floor")
+        """Of asked (row, id, v, floor, pivot, cell, part): the answers of those trees. Queries go in blocks, so a tree that all ask is many small tasks."""
+        one = F.struct(F.col("row").alias("qrow"), F.col("id").alias("qid"), F.col("v").alias("qv"), "floor")
         blocks = asked.groupBy(*place, "at").agg(F.collect_list(one).alias("queries"))
-        return blocks.join(trees, place).select("queries", *trees.columns).mapInPandas(visit, "query_id long, vec_id long, score long")
+        return blocks.join(trees, place).select("queries", *trees.columns).mapInPandas(visit, "row long, query_id long, vec_id long, score long")
 
     asks = celled.filter(is_query)
     n_blocks = max(1, -(-asks.count() // block))
-    asks = asks.withColumn("at", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(n_blocks)))
-    asks = asks.join(parts, ["pivot", "cell"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit("home")), "n_parts").cast("int")).drop("n_parts")
+    asks = asks.withColumn("at", F.pmod(F.xxhash64("row", F.lit("block")), F.lit(n_blocks)))
+    asks = asks.join(parts, ["pivot", "cell"]).withColumn("part", F.pmod(F.xxhash64("row", F.lit("home")), "n_parts").cast("int")).drop("n_parts")
     asks = durable(asks)
     first = durable(answers(asks.withColumn("floor", F.lit(None).cast("double"))))
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    kth = first.withColumn("r", F.row_number().over(best)).filter(F.col("r") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("floor"))
+    best = W.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    kth = first.withColumn("r", F.row_number().over(best)).filter(F.col("r") == k).select("row", F.col("score").cast("double").alias("floor"))
 
     def elsewhere(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         upper = np.array(sorted(sizes))
@@ -292,13 +293,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, pivots: int = 64, ce
                     there += [(p, x) for x in c[near - radius[p][np.searchsorted(below[p], c)] <= limit]]
                 there += [] if (home, cell) in there else [(home, cell)]
                 out.append([{"pivot": int(p), "cell": int(c)} for p, c in there])
-            yield b.drop(columns=["pivot", "cell"]).assign(there=out)[["id", "v", "home", "home_cell", "home_part", "at", "floor", "there"]]
+            yield b.drop(columns=["pivot", "cell"]).assign(there=out)[["row", "id", "v", "home", "home_cell", "home_part", "at", "floor", "there"]]
 
-    kept = asks.join(kth, "id", "left").select("id", "v", "pivot", "cell", F.col("pivot").alias("home"), F.col("cell").alias("home_cell"), F.col("part").alias("home_part"), "at", "floor")
-    more = kept.mapInPandas(elsewhere, "id long, v array<long>, home int, home_cell int, home_part int, at long, floor double, there array<struct<pivot:int,cell:int>>")
-    spread = more.select("id", "v", "floor", "at", "home", "home_cell", "home_part", F.inline("there"))
+    kept = asks.join(kth, "row", "left").select("row", "id", "v", "pivot", "cell", F.col("pivot").alias("home"), F.col("cell").alias("home_cell"), F.col("part").alias("home_part"), "at", "floor")
+    more = kept.mapInPandas(elsewhere, "row long, id long, v array<long>, home int, home_cell int, home_part int, at long, floor double, there array<struct<pivot:int,cell:int>>")
+    spread = more.select("row", "id", "v", "floor", "at", "home", "home_cell", "home_part", F.inline("there"))
     spread = spread.join(parts, ["pivot", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
-    rest = answers(spread.filter("pivot <> home or cell <> home_cell or part <> home_part").select("id", "v", "floor", "at", *place))
+    rest = answers(spread.filter("pivot <> home or cell <> home_cell or part <> home_part").select("row", "id", "v", "floor", "at", *place))
     return first.union(rest).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

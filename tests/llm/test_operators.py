@@ -301,8 +301,15 @@ def test_decontamination_tiles(spark, odd, none):
     assert set(got) == {(0, 7), (2, 7), (0, None), (2, None)} and got[0, 7]["n_tiles"] == 2 and got[0, 7]["covered"] == 12 and got[2, 7]["coverage"] == 1.0
     for size in (10, 1 << 20):
         assert {r["doc_id"] for r in decontamination.decontaminate(docs, bench, block_bytes=size).collect()} == {1, 3}
-    short = spark.createDataFrame([(1, "It is too short"), (2, "Quite, too short!"), (3, "too long")], "doc_id long, text string")
-    assert {r["doc_id"] for r in decontamination.overlaps(short, bench).collect()} == {1, 2}  # an item of two words, whole
+    # an item of two words counts where it is a whole line, or the text, not amid other words
+    texts = ["It is too short", "Quite, too short!", "too long", "Too short.", "first\n  - too short!\nlast", "first\r\ntoo\r\nshort", "too short too short", "so too\nshort", ""]
+    short = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size in (10, 1 << 20):
+        got = decontamination.overlaps(short, bench, block_bytes=size).collect()
+        assert {(r["doc_id"], r["item_id"], r["coverage"]) for r in got} == {(3, 9, 1.0), (4, 9, 1.0), (5, 9, 1.0)}
+    assert {r["doc_id"] for r in decontamination.decontaminate(short, bench).collect()} == {0, 1, 2, 6, 7, 8}
+    word = spark.createDataFrame([(1, "the")], "item_id long, text string")
+    assert decontamination.decontaminate(spark.createDataFrame([(1, "the cat saw the dog")], "doc_id long, text string"), word).count() == 1
     assert decontamination.decontaminate(odd, bench).count() == odd.count()
     assert decontamination.overlaps(none, bench).count() == 0 == decontamination.overlaps(docs, bench.limit(0)).count()
 
@@ -366,6 +373,22 @@ def test_warc_round_trip(spark):
     assert warc.archive_and_read(pages.limit(0)).count() == 0
 
 
+def test_warc_revisits_of_many_payloads(spark):
+    """The way without a broadcast of all groups, with and without hot ones, against plain loops."""
+    rng = random.Random(3)
+    rows = [(rng.choice([None, *range(400)]), rng.choice([None, "u"]), rng.choice(["", "x", "a" * 99, "b" * 100, *[f"{i}" * 120 for i in range(60)], "hot" * 90, "hot" * 90, "hot" * 90]))
+            for _ in range(900)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    first = {}
+    for i, _, h in rows:
+        if i is not None and len(h) >= 100:
+            first[h] = min(i, first.get(h, i))
+    want = sorted(((i, u, h, hashlib.sha256(h.encode()).hexdigest(), first[h] if h in first and i is not None and i != first[h] else None) for i, u, h in rows), key=str)
+    for options in ({}, {"max_rows": 0}, {"max_rows": 0, "hot_rows": 20}, {"max_rows": 5, "hot_rows": 20}):
+        got = sorted((tuple(r) for r in warc.plan_records(pages, **options).collect()), key=str)
+        assert got == want, options
+
+
 def test_zip64_directory(monkeypatch):
     monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 10)
     monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 1)
@@ -405,12 +428,13 @@ def test_top_k_trees_equal_brute_force():
             v[: n // 2] = v[0]
         ids = rng.permutation(10 * n)[:n].astype(np.int64)
         space = topk.Space(int((v * v).sum(1).max()), width)
-        tree = topk.build(ids, v, space)
-        assert sorted(tree["ids"]) == sorted(ids)
+        rows = rng.permutation(n).astype(np.int64)
+        tree = topk.build(rows, ids, v, space)
+        assert sorted(zip(tree["rows"], tree["ids"], strict=True)) == sorted(zip(rows, ids, strict=True))
         tree = {c: a.astype(space.exact) if c in ("v", "router") else a for c, a in tree.items()}
         tally = [0, 0]
         for j in rng.integers(0, n, 10):
-            found = sorted(topk.search(tree, int(ids[j]), v[j].astype(space.exact), 5, -np.inf, space, tally), key=lambda x: (-x[0], x[1]))
+            found = sorted(topk.search(tree, int(rows[j]), v[j].astype(space.exact), 5, -np.inf, space, tally), key=lambda x: (-x[0], x[1]))
             s = v @ v[j]
             assert found == [(int(s[i]), int(ids[i])) for i in np.lexsort((ids, -s)) if i != j][:5]
         if width <= 2 and n > 1000 and trial % 3:
@@ -418,10 +442,17 @@ def test_top_k_trees_equal_brute_force():
 
 
 def test_top_k_repeated_ids_and_large_components(spark):
-    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (1, [3.0, 3.0]), (1, [3.0, 3.0]), (2, [2.0, 2.0]), (3, [1.0, 1.0])]
+    # rows that repeat an id are rows of their own, with the same vector or another: only the query's own row is no candidate
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 2.0]), (0, [9.0, 0.0]), (1, [3.0, 3.0]), (1, [3.0, 3.0]), (1, [0.0, 5.0]), (2, [2.0, 2.0]), (3, [1.0, 1.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = [(r["rank"], r["vec_id"]) for r in topk.top_k(vectors, F.col("id") == 0).orderBy("rank").collect()]
-    assert got == [(1, 1), (2, 2), (3, 3)]
+    for options in ({}, {"tree_rows": 2, "pivots": 2, "cells": 2}):
+        got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(vectors, F.col("id") == 0, **options).collect())
+        want = []
+        for n, (i, v) in enumerate(rows):
+            if i == 0:
+                scores = sorted((-int(256 * 256 * (v[0] * w[0] + v[1] * w[1])), j) for m, (j, w) in enumerate(rows) if m != n)
+                want += [(0, rank, j, -s) for rank, (s, j) in enumerate(scores[:5], 1)]
+        assert got == sorted(want)
     large = spark.createDataFrame([(0, [4.0e6, 1.0]), (1, [4.0e6, 2.0]), (2, [-4.0e6, 0.0])], "vec_id long, embedding array<double>")
     got = {r["vec_id"]: r["score"] for r in topk.top_k(large, F.col("id") == 0).collect()}
     assert got == {1: (256 * 4_000_000) ** 2 + 256 * 512, 2: -((256 * 4_000_000) ** 2)}
