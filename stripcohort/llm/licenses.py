@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: A template of fewer mandatory words than these scores less than 1 where it is met.
+SCORED_WORDS = 12
 #: Fixed phrases (words in sequence) and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 #: Pieces that several license texts share. Their wording.
@@ -197,7 +199,7 @@ def scanner(phrases: tuple = PHRASES, templates: tuple = TEMPLATES) -> object:
                     at[first] = _places(words, first)
                 for i in at[first]:
                     done, share = a.run(words, i)
-                    score = max(score, share)
+                    score = max(score, share * min(1.0, a.mandatory / SCORED_WORDS))
                     if done:
                         more.add(label)
         return len(words), len(places), min(places, default=None), max(places, default=None), labels, more, score
@@ -221,7 +223,8 @@ def scan_licenses(docs: DataFrame, phrases: tuple = PHRASES, templates: tuple =
     Base places are those of the fixed phrases, overlaps counted. labels has the templates' too; a template is met
     where its mandatory wording stands exactly, optional regions stand or are missing, and replaceable ones have
     words of any kind; what stands before and after it is free. score is the largest share of a template's mandatory
-    words met from one place on (1: met). A null text is empty: no words, no labels, score 0. Repeated rows and null
+    words met from one place on (1: met), times its mandatory words by SCORED_WORDS where it has fewer: common words
+    make up much of a short notice, so its words alone say little, and nothing of what negates them. A null text is empty: no words, no labels, score 0. Repeated rows and null
     ids come back as they are; other columns of docs are left out.
     """
     kind = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"

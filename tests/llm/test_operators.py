@@ -131,6 +131,19 @@ def test_entropy_windows_equal_direct_counts():
     assert secrets.entropy_spans(text, 0, 80, 20, 2.4) == ((hits[0], hits[-1] + 20) if hits else None)
 
 
+def plain_targets(size):
+    """Targets of sources of these sizes, in their order: dealt by weight, the full stop, the rest is dealt again."""
+    weights = np.array([[5, 2, 1][i % 3] for i in range(len(size))], float)
+    goal, want, free = 1.5 * size.sum(), np.zeros(len(size)), np.ones(len(size), bool)
+    while True:
+        want[free] = (goal - want[~free].sum()) * weights[free] / weights[free].sum()
+        over = free & (want > 2 * size)
+        if not over.any():
+            return want
+        want[over] = 2 * size[over]
+        free &= ~over
+
+
 def test_mixing_meets_targets(spark, odd, none):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     a = mixing.taken(docs).toPandas().sort_values("doc_id", ignore_index=True)
@@ -138,16 +151,7 @@ def test_mixing_meets_targets(spark, odd, none):
     assert (a["taken"] <= 2 * a["size"]).all()
     per = a.groupby("source").agg(size=("size", "sum"), source_size=("source_size", "first"), target=("target", "first"), taken=("taken", "sum")).sort_index()
     assert (per["size"] == per["source_size"]).all()
-    weights = np.array([[5, 2, 1][i % 3] for i in range(len(per))], float)
-    size, goal, want = per["size"].to_numpy(float), 1.5 * per["size"].sum(), np.zeros(len(per))
-    free = np.ones(len(per), bool)
-    while True:  # deals by weight, stops the full, reshares
-        want[free] = (goal - want[~free].sum()) * weights[free] / weights[free].sum()
-        over = free & (want > 2 * size)
-        if not over.any():
-            break
-        want[over] = 2 * size[over]
-        free &= ~over
+    want = plain_targets(per["size"].to_numpy(float))
     assert np.allclose(per["target"], want)
     assert (abs(per["taken"] - per["target"]) <= 0.05 * per["target"] + 64).all()
     got = mixing.taken(odd)
@@ -231,6 +235,12 @@ def test_licenses(spark, odd, none):
     assert got[0]["labels"] == "cc-by-nc,mit,mit-notice" and got[2]["labels"] == "gpl-3-short" and got[3]["labels"] == ""
     assert "apache-2-short" in got[1]["labels"]
     assert 0 < got[3]["score"] < 1 and got[4]["n_words"] == 0
+    # a few common words, or a short notice that may be negated, score little; a whole text scores 1
+    mit = re.sub(r"<<opt>>|<<end>>", " ", next(t for la, t in licenses.TEMPLATES if la.startswith("mit") and len(t) > 500))
+    mit = re.sub(r"<<var:(\d+)-\d+>>", lambda m: " word" * int(m[1]) + " ", mit)
+    texts = ["under the table we sat", "not licensed under the MIT License", mit]
+    low, negated, whole = [r["score"] for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert 0 < low < 0.2 and negated < 0.5 and whole == 1.0
     assert licenses.scan_licenses(odd).count() == odd.count() and licenses.scan_licenses(none).count() == 0
 
 
@@ -314,32 +324,34 @@ def test_decontamination_tiles(spark, odd, none):
     assert decontamination.overlaps(none, bench).count() == 0 == decontamination.overlaps(docs, bench.limit(0)).count()
 
 
+def plain_tiles(doc, item, shortest):
+    """Greedy tiling by plain loops: (place in the item, place in the document, words)."""
+    doc_used, item_used, out = [0] * len(doc), [0] * len(item), []
+    while True:
+        best = None
+        for a in range(len(item)):
+            for b in range(len(doc)):
+                n = 0
+                while a + n < len(item) and b + n < len(doc) and item[a + n] == doc[b + n] and not item_used[a + n] and not doc_used[b + n]:
+                    n += 1
+                if n >= shortest and (best is None or n > best[2]):
+                    best = (a, b, n)
+        if best is None:
+            return sorted(out)
+        out.append(best)
+        for k in range(best[2]):
+            item_used[best[0] + k] = doc_used[best[1] + k] = 1
+
+
 def test_tiling_equals_plain_loops(monkeypatch):
     from stripcohort.llm.wordhash import U, mix
 
-    def plain(doc, item, shortest):
-        doc_used, item_used, out = [0] * len(doc), [0] * len(item), []
-        while True:
-            best = None
-            for a in range(len(item)):
-                for b in range(len(doc)):
-                    n = 0
-                    while a + n < len(item) and b + n < len(doc) and item[a + n] == doc[b + n] and not item_used[a + n] and not doc_used[b + n]:
-                        n += 1
-                    if n >= shortest and (best is None or n > best[2]):
-                        best = (a, b, n)
-            if best is None:
-                return sorted(out)
-            out.append(best)
-            for k in range(best[2]):
-                item_used[best[0] + k] = doc_used[best[1] + k] = 1
-
     rng = random.Random(1)
     for trial in range(200):
         kinds, shortest = rng.choice([1, 2, 3, 6]), rng.choice([1, 2, 3, 5])
         item = [rng.randrange(kinds) for _ in range(rng.randint(shortest, 18))]
         doc = [rng.randrange(kinds) for _ in range(rng.randint(1, 30))]
-        want = plain(doc, item, shortest)
+        want = plain_tiles(doc, item, shortest)
         hashed = [mix(np.array(x, U) + U(5)) for x in (doc, item)]
         assert decontamination.tiles_by_length(*hashed, shortest) == want
         block = decontamination.Benchmark([(1, "x")], shortest)
@@ -516,6 +528,113 @@ def test_pipeline_stages(spark):
     assert pq.read_table(f"{DATA}/documents.parquet").num_rows >= len(ids)
 
 
+def _plain_pipeline(docs, labels, benchmark, model):
+    """The stages over (doc_id, source, text) by plain loops, all rows in memory; the rows that the last stage gets, and how many each left."""
+    left = []
+    # quality: window by window under both dictionaries
+    import zstandard
+
+    def score(text):
+        raw, sizes = (text or "").encode(), []
+        for d in (model.good, model.bad):
+            c = zstandard.ZstdCompressor(level=model.level, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(raw[i : i + model.window])) for i in range(0, len(raw), model.window)))
+        if sizes[0] == sizes[1]:
+            return model.prior
+        return 1 / (1 + math.exp(-model.weights[0] - model.weights[1] * (sizes[1] - sizes[0]) / (len(raw) + 16)))
+
+    docs = [d for d in docs if score(d[2]) >= 0.3]
+    left.append(len(docs))
+    # lines that more than a tenth of a source's documents hold, two at least
+    total, having = {}, {}
+    for _, s, t in docs:
+        total[s] = total.get(s, 0) + 1
+        for line in {x for x in (t or "").split("\n") if x}:
+            having[s, line] = having.get((s, line), 0) + 1
+    out = []
+    for i, s, t in docs:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not x or having[s, x] < 2 or having[s, x] <= 0.1 * total[s]]
+        out.append((i, s, "\n".join(kept) if any(kept) and len(kept) < len(lines) else t))
+    changed = sum(a != b for a, b in zip(docs, out, strict=True))
+    docs = out
+    left.append(changed)
+    # near duplicates: every pair, then components by relabelling
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets = []
+    for _, _, t in docs:
+        w = re.findall("[^ \t-\r]+", (t or "").translate(lower))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set())
+    group = list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    first = {}
+    for g, d in zip(group, docs, strict=True):
+        first[g] = min(first.get(g, d), d)
+    docs = [d for g, d in zip(group, docs, strict=True) if first[g] is d]
+    left.append(len(docs))
+    # contamination: greedy tiling of each item with each document that shares a window with it
+    words = [re.findall("[^\\x00-/:-@\\[-`{-\x7f]+", (t or "").translate(lower)) for _, _, t in docs]
+    windows = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in words]
+    gone = set()
+    for t in benchmark:
+        item = re.findall("[^\\x00-/:-@\\[-`{-\x7f]+", t.translate(lower))
+        own = {tuple(item[i : i + 5]) for i in range(len(item) - 4)}
+        for n, w in enumerate(words):
+            if n not in gone and own & windows[n] and 2 * sum(x[2] for x in plain_tiles(w, item, 5)) >= len(item):
+                gone.add(n)
+    docs = [d for n, d in enumerate(docs) if n not in gone]
+    return docs, [*left, len(docs)]
+
+
+def test_pipeline_equals_plain_loops(spark, tmp_path):
+    """All stages in a row, on given documents and planted copies, boilerplate and benchmark passages."""
+    import corpus_pipeline
+
+    rng = random.Random(4)
+    given = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id")
+    rows = [(r["doc_id"], r["text"], r["lang"], f"s{r['doc_id'] % 4}", r["n_chars"]) for r in given.limit(120).collect()]
+    labels, benchmark = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("labels", "benchmark"))
+    items = [r["text"] for r in benchmark.orderBy("item_id").collect() if r["text"]]
+    n = 10**6
+    for k, (_, text, lang, source, _) in enumerate(rows[:30]):
+        w = (text or "a b c").split(" ")
+        if k % 3 == 0:  # a near copy
+            w[rng.randrange(len(w))] = "changed"
+            text = " ".join(w)
+        elif k % 3 == 1:  # an item, in two parts that have changed places
+            x = rng.choice(items).split(" ")
+            text = " ".join([*w[:20], *x[len(x) // 2 :], "amid", *x[: len(x) // 2], *w[20:40]])
+        rows.append((n + k, text, lang, source, len(text or "")))
+    rows = [(i, None if t is None else f"Home | About\n{t}" if i % 2 else t, la, s, c) for i, t, la, s, c in rows]
+    rows += [(2 * n, None, None, None, None), (2 * n + 1, "", "en", "s0", 0), (2 * n + 2, "Home | About", "en", "s1", 12)]
+    spark.createDataFrame(rows, given.schema).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = quality.train(docs, labels)
+    assert model.weights
+    want, left = _plain_pipeline([(i, s, t) for i, t, _, s, _ in rows], labels, items, model)
+    assert 100 < left[0] and 20 < left[1] and left[2] < left[0] - 10 and left[3] < left[2] - 5 and len(rows) > left[0]
+    got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(got) == {i for i, _, _ in want}
+    sizes = {i: len(re.findall("[^ \t-\r]+", t or "")) for i, _, t in want}
+    order = sorted({s for _, s, _ in want}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(sizes[i] for i, x, _ in want if x == s) for s in order}
+    target = dict(zip(order, plain_targets(np.array([total[s] for s in order], float)), strict=True))
+    for i, s, _ in want:
+        r = got[i]
+        assert (r["source"], r["size"], r["source_size"]) == (s, sizes[i], total[s]) and r["target"] == pytest.approx(target[s])
+        assert 0 <= r["taken"] <= 2 * r["size"]
+    for s in order:
+        assert abs(sum(got[i]["taken"] for i, x, _ in want if x == s) - target[s]) <= 0.05 * target[s] + 64
+
+
 def test_pipeline_on_odd_rows(spark, odd, none):
     import corpus_pipeline
 
