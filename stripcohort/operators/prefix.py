@@ -61,7 +61,8 @@ def running(points: DataFrame, keys: list[str], at: str, what: dict[str, tuple[s
 
 
 def mean_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Adds a row's rank by rising value within its key, from 1, ties averaged."""
+    """Adds a row's rank by rising value within its key, from 1, ties averaged. Rows are written once: they meet their values again, to the last bit."""
+    rows = durable(rows)
     points = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running(points, keys, value, {"_upto": ("sum", "_n")})
     return joined(rows, ranked.select(*keys, value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(name)), [*keys, value])

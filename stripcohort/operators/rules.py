@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stripcohort.operators import prefix
+from stripcohort.sources.shared import durable
 
 
 def _by_value(tests: DataFrame, family: str) -> tuple[DataFrame, DataFrame]:
@@ -19,7 +20,9 @@ def holm(tests: DataFrame, family: str) -> DataFrame:
     """p_holm: running maximum of (m - rank) * p within a family, at most 1.
 
     Of equal p the first has the largest step, so the result is one per distinct p: a family of any size is cut into pieces.
+    The tests are written once: they meet their p again, and a mean that executors sum anew may end in another last bit.
     """
+    tests = durable(tests)
     points, m = _by_value(tests, family)
     upto = prefix.joined(prefix.running(points, [family], "p", {"_upto": ("sum", "_n")}), m, [family])
     step = upto.withColumn("_s", (F.col("_m") - F.col("_upto") + F.col("_n")) * F.col("p"))
@@ -28,7 +31,8 @@ def holm(tests: DataFrame, family: str) -> DataFrame:
 
 
 def benjamini_hochberg(tests: DataFrame, family: str) -> DataFrame:
-    """q: running minimum of p * m / rank from the largest p on, at most 1. Of equal p the last has the least step, as in holm()."""
+    """q: running minimum of p * m / rank from the largest p on, at most 1. Of equal p the last has the least step, and tests are written once, as in holm()."""
+    tests = durable(tests)
     points, m = _by_value(tests, family)
     upto = prefix.joined(prefix.running(points, [family], "p", {"_upto": ("sum", "_n")}), m, [family])
     step = upto.withColumns({"_s": F.col("p") * F.col("_m") / F.col("_upto"), "_fall": -F.col("p")})
