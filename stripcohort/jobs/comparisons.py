@@ -126,9 +126,9 @@ def h9_cliques(spark: SparkSession, d: str) -> DataFrame:
 
 NULLS = """o as (select o_orderkey as id, o_orderstatus as config, (o_orderpriority in ('1-URGENT', '2-HIGH'))::int as y, (o_totalprice > 150000)::int as pred from orders),
 s as (select *, unnest(range(0, 20)) as seed from o),
-a as (select config, pred, row_number() over (partition by config order by md5(concat('0|', id)), id) as n from o),
+a as (select seed, config, pred, row_number() over (partition by seed, config order by md5(concat(seed, '|', id)), id) as n from s),
 b as (select seed, config, y, row_number() over (partition by seed, config order by md5(concat(seed + 1000, '|', id)), id) as n from s),
-nulls as (select config, seed, round(avg((y = pred)::int), 9) as v from b join a using (config, n) group by 1, 2),
+nulls as (select config, seed, round(avg((y = pred)::int), 9) as v from a join b using (seed, config, n) group by 1, 2),
 obs as (select config, round(avg((y = pred)::int), 9) as o from o group by 1)"""
 
 
@@ -139,7 +139,7 @@ def h10_permutation_p(spark: SparkSession, d: str) -> DataFrame:
     y, pred = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.col("o_totalprice") > 150000
     rows = orders.select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("config"), y.alias("y"), pred.alias("pred"))
     hit = F.round(F.avg((F.col("y") == F.col("pred")).cast("int")), 9)
-    null = blocks.permuted_hits(rows, "config", range(20)).groupBy("config", "seed").agg(hit.alias("null_value"))
+    null = blocks.permuted_hits(rows, "config", range(20)).select("config", "seed", F.round(F.try_divide("hits", "n"), 9).alias("null_value"))
     return rounded(comparison.permutation_p(null, rows.groupBy("config").agg(hit.alias("observed")), ["config"]), "p", "mean", "sd", "p95")
 
 

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stripcohort.sources.shared import durable
 
-from stripcohort.operators import comparison, features, rules
+from stripcohort.operators import comparison, features, prefix, rules
+
+#: Groups of a permutation by their hash, rows that a task puts in order, and places that a task compares at once.
+CUTS, ROWS, BLOCK = 4096, 2_000_000, 8192
 
 
 def region_block(image: DataFrame, regions: DataFrame) -> DataFrame:
@@ -58,15 +62,35 @@ def permuted_labels(rows: DataFrame, label: str, seed: int, key: str = "id") ->
 
 
 def permuted_hits(rows: DataFrame, config: str, seeds: range) -> DataFrame:
-    """config, seed, y, pred: every row's pred beside the y that a permutation of its configuration deals it, once per seed.
+    """config, seed, n, hits: how many predictions equal the label that a permutation of their configuration deals them, once per seed.
 
-    Predictions are numbered once, by a hash of the first seed; only the labels are dealt anew for each seed, by hashes of its own.
+    Per seed, the n-th prediction by one hash meets the n-th label by another. What moves is an id and a bit per row, side and
+    seed: a group (a hash's first three digits) is put in the order of the hashes, which are made anew, and from there on bits move
+    as arrays, cut where both sides' places meet.
     """
-    own = durable(rows.select(config, "id", "y", "pred"))
-    one = rules.numbered(own.select(config, "id", "pred"), config, rules.seeded(seeds[0], "id"), "id", "_at").select(config, "_at", "pred")
-    each = own.select(config, "id", "y", F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed")).withColumn("_of", F.concat_ws("|", "seed", config))
-    two = rules.numbered(each, "_of", rules.seeded(F.col("seed") + 1000, "id"), "id", "_at").select(config, "seed", "_at", "y")
-    return two.join(one, [config, "_at"]).select(config, "seed", "y", "pred")
+    own = rows.select(config, "id", F.col("y").cast("boolean").alias("y"), F.col("pred").cast("boolean").alias("pred"))
+    drawn = [(seed, side, seed + 1000 * side) for seed in seeds for side in (0, 1)]
+    named = [F.struct(F.lit(n).alias("d"), F.col("y" if side else "pred").alias("bit"), F.substring(rules.seeded(of, "id"), 1, 3).alias("cut")) for n, (_, side, of) in enumerate(drawn)]
+    at = F.conv("cut", 16, 10).cast("int") + F.lit(CUTS) * F.col("d")
+    each = own.select(config, "id", F.inline(F.array(*named))).select(config, "id", "bit", at.alias("at"))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), own.count() * len(drawn) // ROWS + 1)
+    lists = each.repartition(parts, config, "at").groupBy(config, "at").agg(F.collect_list(F.struct("id", "bit")).alias("_l"))
+    table = F.array(*[F.struct(F.lit(seed).alias("seed"), F.lit(side).alias("side"), F.lit(of).alias("of")) for seed, side, of in drawn])
+    lists = lists.select(config, "at", "_l", F.get(table, F.floor(F.col("at") / CUTS).cast("int")).alias("_d")).select(config, "at", "_d.*", "_l")
+    order = F.transform("_l", lambda x: F.struct(F.md5(F.concat_ws("|", F.col("of").cast("string"), x["id"].cast("string"))).alias("h"), x["id"].alias("id"), x["bit"].alias("bit")))
+    bits = durable(lists.select(config, "seed", "side", "at", F.sort_array(order).getField("bit").alias("bits")))
+    before = W.partitionBy(config, "seed", "side").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
+    starts = bits.select(config, "seed", "side", "at", F.coalesce(F.sum(F.size("bits")).over(before), F.lit(0)).alias("first"))
+    placed = prefix.joined(bits, starts, [config, "seed", "side", "at"])
+    first, end = F.col("first"), F.col("first") + F.size("bits")
+    block = placed.select("*", F.explode(F.sequence(F.floor(first / BLOCK), F.floor((end - 1) / BLOCK))).alias("block"))
+    lo, hi = F.greatest(first, F.col("block") * BLOCK), F.least(end, (F.col("block") + 1) * BLOCK)
+    piece = F.struct("side", lo.alias("lo"), F.slice("bits", (lo - first + 1).cast("int"), (hi - lo).cast("int")).alias("bits"))
+    whole = block.select(config, "seed", "block", piece.alias("piece")).groupBy(config, "seed", "block").agg(F.sort_array(F.collect_list("piece")).alias("_p"))
+    of = lambda side: F.flatten(F.filter("_p", lambda x: x["side"] == side).getField("bits"))
+    equal = whole.select(config, "seed", F.zip_with(of(0), of(1), lambda a, b: a == b).alias("_e"))
+    known = F.size(F.filter("_e", lambda x: x.isNotNull())).cast("long")
+    return equal.groupBy(config, "seed").agg(F.sum(known).alias("n"), F.sum(F.size(F.filter("_e", lambda x: x)).cast("long")).alias("hits"))
 
 
 def masked_otsu(image: DataFrame, mask: Column) -> DataFrame:

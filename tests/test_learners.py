@@ -1,5 +1,6 @@
 """Learners, folds and fusion on planted signals; statistics on the edges that the given tables never reach."""
 
+import hashlib
 import math
 import random
 
@@ -198,3 +199,18 @@ def test_p_that_differ_in_their_last_bits_when_made_anew_keep_their_corrections(
     assert None not in [r["p_holm"] for r in rules.holm(df, "family").collect()]
     ranked = prefix.mean_ranks(df, ["family"], "p", "rank").orderBy("id").collect()
     assert [r["rank"] for r in ranked] == list(range(1, 21))
+
+
+def test_predictions_are_dealt_anew_for_every_permutation(spark):
+    r = random.Random(8)
+    rows = [(i, r.choice("ab"), r.random() < 0.4, r.random() < 0.5 if i % 50 else None) for i in range(700)]
+    df = spark.createDataFrame(rows, "id long, config string, y boolean, pred boolean")
+    got = {(x["config"], x["seed"]): (x["n"], x["hits"]) for x in blocks.permuted_hits(df, "config", range(3, 6)).collect()}
+    hashed = lambda seed, i: (hashlib.md5(f"{seed}|{i}".encode()).hexdigest(), i)
+    for c in "ab":
+        for seed in range(3, 6):
+            of = [x for x in rows if x[1] == c]
+            pred = [x[3] for x in sorted(of, key=lambda x: hashed(seed, x[0]))]
+            y = [x[2] for x in sorted(of, key=lambda x: hashed(seed + 1000, x[0]))]
+            assert got[c, seed] == (sum(p is not None for p in pred), sum(p == t for p, t in zip(pred, y, strict=True) if p is not None))
+    assert len(got) == 6
