@@ -16,7 +16,8 @@ OFFSETS = [(1, 0, 0, 1), (1, 45, 1, 1), (1, 90, 1, 0), (1, 135, 1, -1), (2, 0, 0
 def cooccurrence(image: DataFrame, levels: int = 64) -> DataFrame:
     """image_id, distance, angle, and six properties of the symmetric co-occurrence matrix; correlation is 1 if a level stands alone.
 
-    An image is one array (a whole rectangle, row by row), so a pixel finds its neighbours by place: one shuffle by image, then cells are counted.
+    An image is one array (a whole rectangle, row by row), so a pixel finds its neighbours by place: one shuffle by image. Each step's
+    properties come from the array of its pairs inside a row, cells from runs of equal ones, so a task holds an image, not its cells.
     """
     level = F.floor(F.col("value") * levels / 256).cast("int")
     whole = F.transform(F.array_sort(F.collect_list(F.struct("row", "col", level.alias("i")))), lambda x: x["i"])
@@ -27,25 +28,31 @@ def cooccurrence(image: DataFrame, levels: int = 64) -> DataFrame:
     down = F.expr("sequence(0, h - 1 - dr)")
     along = F.expr("sequence(greatest(0, -dc), least(w, w - dc) - 1)")
     pairs = F.flatten(F.transform(down, lambda r: F.transform(along, lambda c: F.struct(F.get("v", r * F.col("w") + c).alias("i"), F.get("v", (r + F.col("dr")) * F.col("w") + c + F.col("dc")).alias("j")))))
-    met = each.select("image_id", "distance", "angle", F.inline(pairs)).groupBy("image_id", "distance", "angle", "i", "j").agg(F.count(F.lit(1)).alias("n"))
-    both = met.select("image_id", "distance", "angle", F.inline(F.array(F.struct("i", "j", "n"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "n"))))
-    cells = both.groupBy("image_id", "distance", "angle", "i", "j").agg(F.sum("n").alias("n"))
-    n, i, j = F.col("n"), F.col("i"), F.col("j")
-    gap = i - j
-    sums = cells.groupBy("image_id", "distance", "angle").agg(
-        F.sum("n").alias("t"),
-        F.sum(n * gap * gap).alias("contrast"),
-        F.sum(n * F.abs(gap)).alias("dissimilarity"),
-        F.sum(n / (1 + gap * gap)).alias("homogeneity"),
-        F.sum(n * n).alias("asm"),
-        F.sum(n * i).alias("si"),
-        F.sum(n * i * i).alias("sii"),
-        F.sum(n * i * j).alias("sij"),
-    )
+    met = each.select("image_id", "distance", "angle", pairs.alias("_p"))
+    # a cell's number, both ways round; levels that are null have cells of their own
+    cell = f"(coalesce({{}}, -1) + 1) * {levels + 1} + coalesce({{}}, -1) + 1"
+    codes = F.expr(f"array_sort(concat(transform(_p, x -> {cell.format('x.i', 'x.j')}), transform(_p, x -> {cell.format('x.j', 'x.i')})))")
+    runs = "aggregate(_c, struct(-1 as at, 0L as n, 0L as sum), (s, c) -> if(c = s.at, struct(c as at, s.n + 1 as n, s.sum + 2 * s.n + 1 as sum), struct(c as at, 1L as n, s.sum + 1 as sum)), s -> s.sum)"
+    at = met.select("image_id", "distance", "angle", "_p", F.expr("filter(_p, x -> x.i is not null and x.j is not null)").alias("_k"), codes.alias("_c"))
+    total = lambda of, start, x: f"aggregate({of}, {start}, (s, x) -> s + {x})"
+    gap = "(x.i - x.j)"
+    named = {
+        "t": "2 * size(_p)",
+        "contrast": f"2 * {total('_k', '0L', f'{gap} * {gap}')}",
+        "dissimilarity": f"2 * {total('_k', '0L', f'abs({gap})')}",
+        "homogeneity": f"2 * {total('_k', '0D', f'1 / (1D + {gap} * {gap})')}",
+        "asm": runs,
+        "si": total("_p", "0L", "coalesce(x.i, 0) + coalesce(x.j, 0)"),
+        "sii": total("_p", "0L", "coalesce(x.i * x.i, 0) + coalesce(x.j * x.j, 0)"),
+        "sij": f"2 * {total('_k', '0L', 'x.i * x.j')}",
+    }
+    sums = at.select("image_id", "distance", "angle", (F.size("_k") > 0).alias("_known"), *[F.expr(e).cast("double").alias(n) for n, e in named.items()])
     t = F.col("t")
     var = t * F.col("sii") - F.col("si") * F.col("si")
     asm = F.col("asm") / (t * t)
-    return sums.select("image_id", "distance", "angle", (F.col("contrast") / t).alias("contrast"), (F.col("dissimilarity") / t).alias("dissimilarity"), (F.col("homogeneity") / t).alias("homogeneity"), F.sqrt(asm).alias("energy"), F.when(var == 0, 1.0).otherwise((t * F.col("sij") - F.col("si") * F.col("si")) / var).alias("correlation"), asm.alias("asm"))
+    known = lambda c: F.when(F.col("_known"), c)
+    correlation = F.when(var == 0, 1.0).otherwise((t * F.col("sij") - F.col("si") * F.col("si")) / var)
+    return sums.select("image_id", "distance", "angle", *[known(F.col(n) / t).alias(n) for n in ("contrast", "dissimilarity", "homogeneity")], F.sqrt(asm).alias("energy"), known(correlation).alias("correlation"), asm.alias("asm"))
 
 
 def intensity(image: DataFrame, keys: list[str]) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from stripcohort.operators import audit, comparison, neighbourhoods
+from stripcohort.operators import audit, comparison, features, neighbourhoods, photometric
 from stripcohort.sources import store
 
 
@@ -163,3 +163,25 @@ def test_wins_count_significant_tests(spark):
     df = spark.createDataFrame(rows, "config string, clf string, fold int, acc double")
     got = {r["config"]: (r["wins"], r["up"], r["down"]) for r in comparison.wins(df, "config", "base", ["clf", "fold"], "acc", ["clf"]).collect()}
     assert got == {"up": (20, 2, 0), "down": (0, 0, 2)}
+
+
+def test_cooccurrence_holds_images_not_cells(spark):
+    shapes = {1: (3, 5), 2: (6, 2)}
+    image = spark.createDataFrame([(k, r, c, int(v)) for k, (h, w) in shapes.items() for (r, c), v in np.ndenumerate(noise(h, w, k) // 80 * 80)], "image_id long, row int, col int, value int")
+    out = features.cooccurrence(image)
+    # one aggregation, which gathers an image: none by cells, whose number is that of pairs
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+    got = {(r["image_id"], r["distance"], r["angle"]): (r["contrast"], r["homogeneity"], r["asm"]) for r in out.collect()}
+    want = {}
+    for k, (h, w) in shapes.items():
+        v = noise(h, w, k) // 80 * 80 // 4
+        for distance, angle, dr, dc in features.OFFSETS:
+            m = np.zeros((64, 64))
+            for r in range(h - dr):
+                for c in range(max(0, -dc), min(w, w - dc)):
+                    m[v[r, c], v[r + dr, c + dc]] += 1
+            if m.sum():
+                m = (m + m.T) / (2 * m.sum())
+                gap = np.subtract.outer(np.arange(64), np.arange(64)) ** 2
+                want[k, distance, angle] = ((m * gap).sum(), (m / (1 + gap)).sum(), (m * m).sum())
+    assert set(got) == set(want) and all(np.allclose(got[x], want[x]) for x in want)
