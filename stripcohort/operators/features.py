@@ -120,7 +120,11 @@ def mask_overlap(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """dice of two masks, r of their values, either's contrast to noise, and the share of a's that b retains, per key; rows (image_id, row, col, value, on). Keys that only b has are its perturbations."""
     other = [k for k in keys if k != "image_id"]
     on = ["image_id", "row", "col", *[k for k in other if k in a.columns]]
-    both = a.join(b.select("image_id", "row", "col", *other, F.col("value").alias("value2"), F.col("on").alias("on2")), on)
+    return overlap(a.join(b.select("image_id", "row", "col", *other, F.col("value").alias("value2"), F.col("on").alias("on2")), on), keys)
+
+
+def overlap(both: DataFrame, keys: list[str]) -> DataFrame:
+    """mask_overlap() of rows that hold both sides (value, on, value2, on2)."""
     total = F.count_if("on") + F.count_if("on2")
 
     def cnr(value: str, on: str) -> Column:

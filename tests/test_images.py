@@ -5,7 +5,7 @@ import random
 
 import numpy as np
 
-from stripcohort.operators import audit, comparison, features, neighbourhoods, photometric
+from stripcohort.operators import audit, comparison, features, neighbourhoods
 from stripcohort.sources import store
 
 
@@ -185,3 +185,11 @@ def test_cooccurrence_holds_images_not_cells(spark):
                 gap = np.subtract.outer(np.arange(64), np.arange(64)) ** 2
                 want[k, distance, angle] = ((m * gap).sum(), (m / (1 + gap)).sum(), (m * m).sum())
     assert set(got) == set(want) and all(np.allclose(got[x], want[x]) for x in want)
+
+
+def test_mask_overlap_shuffles_pixels_before_they_are_perturbed(spark):
+    from stripcohort.jobs import imaging
+
+    plan = imaging.m11_mask_overlap(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+    dealt = [line for line in plan.toString().split("\n") if "Exchange hashpartitioning" in line]
+    assert dealt and all("hashpartitioning(image_id" in line and "kind" not in line for line in dealt)
