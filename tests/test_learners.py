@@ -165,6 +165,27 @@ def test_equal_vectors_are_one_strip(spark):
     assert got == [(0, 1000)]
 
 
+def test_strips_that_correlate_below_the_threshold_are_no_candidates(spark):
+    import numpy as np
+
+    r = np.random.default_rng(12)
+    v = r.standard_normal(48) + r.standard_normal((500, 48))  # correlations about 0.5
+    v[400:] = v[:100] + 0.1 * r.standard_normal((100, 48))
+    u = v - v.mean(axis=1, keepdims=True)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = {(i, j) for i, j in zip(*np.nonzero(u @ u.T >= 0.97)) if i < j}
+    assert len(near) >= 100
+    rows = [(i, "w", [float(x) for x in v[i]]) for i in range(500)]
+    assert {(x["a"], x["b"]) for x in similar.near_pairs(spark.createDataFrame(rows, "id long, w string, v array<double>"), within="w").collect()} == near
+    unit = spark.createDataFrame([(i, 0, [float(x) for x in u[i]]) for i in range(500)], "id long, w long, v array<double>")
+    met = {(x["a"], x["b"]) for x in similar.candidates(unit, 0.97).collect()}
+    assert near <= met and len(met) < 3 * len(near)
+    # of 256 signs, a pair at the threshold differs in 20 on average
+    most = similar.most_apart(20 / 256, 256, 1e-6)
+    tail = lambda n: sum(math.comb(256, i) * (20 / 256) ** i * (236 / 256) ** (256 - i) for i in range(n + 1, 257))
+    assert tail(most) <= 1e-6 < tail(most - 1)
+
+
 def test_features_are_reused_by_content_and_parameters(spark, tmp_path):
     rows = spark.createDataFrame([(i, i % 7) for i in range(50)], "id int, v int")
     calls = []
