@@ -1,17 +1,22 @@
 """Many small models fitted at once: every key (configuration, repeat, fold, ...) is a model, and a step of all of them is one job.
 
-Logistic regression takes Newton steps: one grouped aggregate gives all gradients and Hessians, and each model solves its
-own small system inside its row. Boosted stumps take one grouped histogram per round. No step runs Python on rows, and
-no fit is a job of its own. A model's state is its coefficients; rows stay where Spark dealt them.
+Logistic regression takes Newton steps: tasks sum gradients and Hessians of all models over their own rows, as matrix
+products, and a grouped sum adds up the tasks'. A row that trains many models is held once, with the names of its models.
+Boosted stumps take one grouped histogram per round. No fit is a job of its own. A model's state is its coefficients; rows
+stay where Spark dealt them.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stripcohort.operators import rules
 from stripcohort.sources.shared import durable, forget
@@ -32,13 +37,10 @@ def training_rows(rows: DataFrame, keys: list[str], fold: str, k: int) -> DataFr
     return rows.select(*keys, *[c for c in rows.columns if c not in (*keys, fold)], F.explode(others).alias(fold)).withColumn(fold, F.col(fold).cast("int"))
 
 
-def scaling(train: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, mean, spread: arrays of the mean and population deviation of every feature in a model's training rows; 0 for a constant one."""
-    each = train.select(*keys, F.posexplode("x").alias("_i", "_x"))
-    sums = each.groupBy(*keys, "_i").agg(F.avg("_x").alias("m"), F.stddev_pop("_x").alias("s"), F.min("_x").alias("lo"), F.max("_x").alias("hi"))
-    spread = F.when(F.col("lo") == F.col("hi"), 0.0).otherwise(F.col("s"))
-    whole = F.sort_array(F.collect_list(F.struct("_i", "m", spread.alias("s"))))
-    return sums.groupBy(*keys).agg(whole.alias("_w")).select(*keys, F.col("_w").getField("m").alias("mean"), F.col("_w").getField("s").alias("spread"))
+def members(keys: list[str], fold: str, k: int) -> Column:
+    """The models that a row trains, as an array of structs (keys, fold): those that training_rows() gives it a row for."""
+    others = F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda f: f != F.col(fold))
+    return F.transform(others, lambda f: F.struct(*keys, f.alias(fold)))
 
 
 def _scaled(x: str, mean: str, spread: str) -> Column:
@@ -47,47 +49,91 @@ def _scaled(x: str, mean: str, spread: str) -> Column:
     return F.concat(F.array(F.lit(1.0)), z)
 
 
-#: Solves a positive definite system inside a row: m is its matrix with the right side as the last column.
-SOLVED = """transform(aggregate(sequence(0, size(m) - 1), m, (a, k) ->
-  transform(array(transform(a[k], x -> x / a[k][k])), p -> transform(a, (r, i) -> if(i = k, p, zip_with(r, p, (x, y) -> x - r[k] * y))))[0]), r -> element_at(r, -1))"""
-
+def _sums(rows: DataFrame, known: set[int], part: Callable, top: bool = False) -> dict[int, np.ndarray]:
+    """model -> the sum (or, with top, the largest) of part(model, x, y) over the rows of each known model: x a matrix, y 0 or 1.
 
-def logistic(train: DataFrame, keys: list[str], c: float = 1.0, steps: int = 50, tolerance: float = 1e-9) -> DataFrame:
+    rows: models (array<long>), x, y. A task gives an array per model, or one more whenever it holds 64 MB of them.
+    """
+    both = np.maximum if top else np.add
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([v.tolist() for v in found.values()], pa.list_(pa.float64()))], names=["m", "s"])
+            found.clear()
+            return made
+
+        for batch in batches:
+            models, x = batch.column("models"), batch.column("x")
+            y, named, values, sizes = batch.column("y").to_numpy(), models.flatten().to_numpy(), x.flatten().to_numpy(), x.value_lengths().to_numpy()
+            starts, row = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(y)), models.value_lengths().to_numpy())
+            order = np.argsort(named, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(named[order])) + 1) if len(order) else []:
+                m, of = int(named[at[0]]), row[at]
+                if m in known:
+                    got = part(m, values[starts[of][:, None] + np.arange(sizes[of[0]])], y[of])
+                    found[m] = both(found[m], got) if m in found else got
+            if sum(v.nbytes for v in found.values()) > 1 << 26:
+                yield out()
+        if found:
+            yield out()
+
+    each = rows.select("models", "x", "y").mapInArrow(run, "m long, s array<double>").select("m", F.posexplode("s").alias("i", "v"))
+    added = each.groupBy("m", "i").agg((F.max if top else F.sum)("v").alias("v"))
+    return {r["m"]: np.array(r["s"]) for r in added.groupBy("m").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).getField("v").alias("s")).collect()}
+
+
+def logistic(train: DataFrame, keys: list[str], c: float = 1.0, steps: int = 50, tolerance: float = 1e-9, of: str | None = None) -> DataFrame:
     """keys, mean, spread, w: L2 logistic regressions (strength c, the intercept w[0] free) of standardised features.
 
-    train: keys, y (boolean), x (array of numbers), as many features for all rows of a key. A model whose rows lack a class,
-    or have nulls in y or x, isn't fitted from them: the rows with nulls fall away, and a key of one class has no model.
+    train: keys, y (boolean), x (array of numbers), as many features for all rows of a key. With a column `of` (array of structs
+    of the keys) a row trains all models named there, and is held and sent to tasks once. A model whose rows lack a class,
+    or have nulls in y or x, isn't fitted from them: the rows with nulls fall away, and a key of one class has no model. What
+    the tasks sum up per model comes to the driver, rows never.
     """
-    clean = train.filter(F.col("y").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda v: v.isNotNull())).withColumn("x", F.col("x").cast("array<double>"))
-    both = clean.groupBy(*keys).agg(F.count_if("y").alias("_1"), F.count(F.lit(1)).alias("_n")).filter("_1 > 0 and _1 < _n").select(*keys)
-    scale = durable(scaling(clean.join(both, keys), keys))
-    rows = _spread(clean.join(scale, keys).select(*keys, F.col("y").cast("int").alias("y"), _scaled("x", "mean", "spread").alias("z")))
-    models = durable(scale.select(*keys, "mean", "spread", F.transform(F.concat(F.array(F.lit(0.0)), "mean"), lambda _: F.lit(0.0)).alias("w"), F.lit(float("inf")).alias("_move")))
+    clean = train.filter(F.col("y").isNotNull() & F.col("x").isNotNull() & F.forall("x", lambda v: v.isNotNull()))
+    named = clean.select((F.array(F.struct(*keys)) if of is None else F.col(of)).alias("of"), F.col("x").cast("array<double>").alias("x"), F.col("y").cast("int").alias("y"))
+    # a model goes by the hash of its key
+    rows = _spread(named.withColumn("models", F.transform("of", lambda k: F.xxhash64(k))))
+    counts = rows.select("y", F.inline(F.arrays_zip("of", "models"))).groupBy("of", "models").agg(F.sum("y").alias("ones"), F.count(F.lit(1)).alias("n"))
+    both = [r for r in counts.filter("ones > 0 and ones < n").collect() if all(r["of"][k] is not None for k in keys)]
+    key, many = {r["models"]: r["of"] for r in both}, {r["models"]: r["n"] for r in both}
+    if len(key) < len(both):
+        raise ValueError("two models have keys of one hash")
+    known = set(key)
+    schema = T.StructType([*[T.StructField(k, rows.schema["of"].dataType.elementType[k].dataType) for k in keys], *[T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("mean", "spread", "w")]])
+    if not known:
+        return train.sparkSession.createDataFrame([], schema)
+    mean = {m: s / many[m] for m, s in _sums(rows, known, lambda m, x, y: x.sum(axis=0)).items()}
+    ends = _sums(rows, known, lambda m, x, y: np.concatenate([x.max(axis=0), -x.min(axis=0)]), top=True)
+    squares = _sums(rows, known, lambda m, x, y: ((x - mean[m]) ** 2).sum(axis=0))
+    # 0 for a constant feature
+    spread = {m: np.where(ends[m][: len(s)] == -ends[m][len(s) :], 0.0, np.sqrt(s / many[m])) for m, s in squares.items()}
+    inverse = {m: np.divide(1.0, s, out=np.zeros_like(s), where=s > 0) for m, s in spread.items()}
+    w = {m: np.zeros(len(s) + 1) for m, s in spread.items()}
+
+    def step(m: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The Hessian's rows, then the gradient, without penalties."""
+        z = np.hstack([np.ones((len(x), 1)), (x - mean[m]) * inverse[m]])
+        with np.errstate(over="ignore"):
+            p = 1 / (1 + np.exp(-z @ w[m]))
+        weight = np.maximum(p * (1 - p), 1e-12)
+        return np.concatenate([(z.T @ (z * weight[:, None])).ravel(), z.T @ (p - y)])
+
     for _ in range(steps):
-        p = 1 / (1 + F.exp(-_dot("z", "w")))
-        at = rows.join(models.select(*keys, "w"), keys).select(*keys, "z", "y", p.alias("p"))
-        weight = F.greatest(F.col("p") * (1 - F.col("p")), F.lit(1e-12))
-        # a last element makes the gradient one more column of the Hessian
-        wide = at.select(*keys, weight.alias("r"), F.concat("z", F.array((F.col("p") - F.col("y")) / weight)).alias("z"))
-        first = wide.select(*keys, "r", "z", F.posexplode("z").alias("i", "_a")).filter(F.col("i") < F.size("z") - 1)
-        pairs = first.select(*keys, "i", (F.col("r") * F.col("_a")).alias("_ra"), F.posexplode(F.slice("z", F.col("i") + 1, F.size("z") - F.col("i"))).alias("j", "_b"))
-        sums = pairs.groupBy(*keys, "i", "j").agg(F.sum(F.col("_ra") * F.col("_b")).alias("s"))
-        flat = sums.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "j", "s"))).getField("s").alias("h"))
-        both = flat.join(models, keys)
-        # entry (a, b) of the upper triangle with n + 1 columns, and the penalty
-        n = "size(w)"
-        entry = f"h[cast(least(a, b) * ({n} + 1) - least(a, b) * (least(a, b) - 1) / 2 + abs(a - b) as int)]"
-        matrix = F.expr(f"transform(sequence(0, {n} - 1), a -> transform(sequence(0, {n}), b -> {entry} + case when b = {n} and a > 0 then w[a] / {float(c)!r}D when a = b and a > 0 then {1 / c!r}D else 0D end))")
-        solved = F.expr(f"transform(array(m), m -> {SOLVED})[0]")
-        moved = both.select(*keys, "mean", "spread", "w", matrix.alias("m")).select(*keys, "mean", "spread", "w", solved.alias("_d"))
-        far = F.array_max(F.transform("_d", lambda x: F.abs(x)))
-        cut = F.least(F.lit(1.0), F.lit(10.0) / F.greatest(far, F.lit(1e-300)))  # a step is bounded, so flat regions don't throw it far
-        new = durable(moved.select(*keys, "mean", "spread", F.zip_with("w", F.transform("_d", lambda x: x * cut), lambda x, d: x - d).alias("w"), far.alias("_move")))
-        forget(models)
-        models = new
-        if (models.agg(F.max("_move")).first()[0] or 0.0) <= tolerance:
+        most = 0.0
+        for m, sums in _sums(rows, known, step).items():
+            n = len(w[m])
+            ridge = np.array([0.0, *[1 / c] * (n - 1)])
+            move = np.linalg.solve(sums[: n * n].reshape(n, n) + np.diag(ridge), sums[n * n :] + ridge * w[m])
+            far = np.abs(move).max()
+            w[m] = w[m] - move * min(1.0, 10 / max(far, 1e-300))  # a step is bounded, so flat regions don't throw it far
+            most = max(most, far)
+        if most <= tolerance:
             break
-    return models.drop("_move")
+    forget(rows)
+    return train.sparkSession.createDataFrame([(*key[m], mean[m].tolist(), spread[m].tolist(), w[m].tolist()) for m in w], schema)
 
 
 def scores(models: DataFrame, rows: DataFrame, keys: list[str], keep: list[str]) -> DataFrame:
@@ -103,7 +149,7 @@ def cross_validated(rows: DataFrame, keys: list[str], fold: str = "fold", k: int
     rows: keys, id, y, x, fold.
     """
     rows = durable(rows.select(*keys, "id", "y", F.col("x").cast("array<double>").alias("x"), fold))
-    models = logistic(training_rows(rows, keys, fold, k), [*keys, fold], c)
+    models = logistic(rows.withColumn("_of", members(keys, fold, k)), [*keys, fold], c, of="_of")
     return scores(models, rows, [*keys, fold], ["id", "y"])
 
 
@@ -118,15 +164,18 @@ def stacked(rows: DataFrame, blocks: list[str], k: int = 5, inner: int = 5, seed
     train = durable(training_rows(outer.select("id", "y", "fold"), [], "fold", k))
     of = train.withColumn("_stratum", F.concat_ws("|", "fold", "y"))
     dealt = durable(rules.numbered(of, "_stratum", rules.seeded(seed + 1, "id"), "id", "_at").select("id", "y", "fold", (F.col("_at") % inner).cast("int").alias("inner")))
-    long = durable(outer.select("id", "y", F.inline(F.array(*[F.struct(F.lit(b).alias("block"), F.col(b).cast("array<double>").alias("x")) for b in blocks]))))
+    # each row and block once, with its inner fold in every outer training part
+    lies = dealt.groupBy("id").agg(F.collect_list(F.struct("fold", "inner")).alias("_in"))
+    listed = F.array(*[F.struct(F.lit(b).alias("block"), F.col(b).cast("array<double>").alias("x")) for b in blocks])
+    long = durable(outer.withColumnRenamed("fold", "_own").join(lies, "id", "left").select("id", "y", "_own", "_in", F.inline(listed)))
     by = ["block", "fold", "inner"]
-    inside = dealt.join(long.drop("y"), "id")
     # inner -1: the whole outer training part
-    parts = training_rows(inside, ["block", "fold"], "inner", inner).select(*by, "id", "y", "x").unionByName(inside.select("block", "fold", F.lit(-1).alias("inner"), "id", "y", "x"))
-    models = logistic(parts, by)
-    level = scores(models, inside.select(*by, "id", "y", "x"), by, ["id", "y"])
-    held = outer.select("id", "fold").join(long, "id").withColumn("inner", F.lit(-1))
-    alone = durable(scores(models, held.select(*by, "id", "y", "x"), by, ["id", "y"]))
+    others = lambda d: F.filter(F.sequence(F.lit(-1), F.lit(inner - 1)), lambda i: i != d["inner"])
+    parts = F.flatten(F.transform("_in", lambda d: F.transform(others(d), lambda i: F.struct(F.col("block"), d["fold"].alias("fold"), i.alias("inner")))))
+    models = logistic(long.withColumn("_of", parts), by, of="_of")
+    level = scores(models, long.select("id", "y", "block", "x", F.inline("_in")), by, ["id", "y"])
+    held = long.select("id", "y", "block", "x", F.col("_own").alias("fold"), F.lit(-1).alias("inner"))
+    alone = durable(scores(models, held, by, ["id", "y"]))
 
     def side(df: DataFrame) -> DataFrame:
         got = df.groupBy("fold", "id").agg(F.max("y").alias("y"), *[F.max(F.when(F.col("block") == b, F.col("score"))).alias(f"_{n}") for n, b in enumerate(blocks)])

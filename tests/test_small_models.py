@@ -51,6 +51,21 @@ def test_batched_newton_equals_a_fit_each(spark):
         assert abs(r["score"] - 1 / (1 + math.exp(-(w[0] + z @ w[1:])))) < 1e-6
 
 
+def test_a_row_that_trains_many_models_is_held_once(spark):
+    x, y = data(120, 7)
+    rows = frame(spark, {"a": (x, y)})
+    plain = small_models.logistic(small_models.training_rows(rows, ["config"], "fold", 3), ["config", "fold"])
+    once = small_models.logistic(rows.withColumn("of", small_models.members(["config"], "fold", 3)), ["config", "fold"], of="of")
+    assert plain.schema == once.schema
+    got, want = ({(r["config"], r["fold"]): r for r in df.collect()} for df in (once, plain))
+    assert set(got) == set(want) == {("a", f) for f in range(3)}
+    for k in got:
+        on = np.arange(len(y)) % 3 != k[1]
+        assert all(np.allclose(got[k][n], want[k][n], atol=1e-9) for n in ("mean", "spread", "w"))
+        assert np.allclose(got[k]["mean"], x[on].mean(axis=0)) and np.allclose(got[k]["spread"], x[on].std(axis=0)) and got[k]["spread"][3] == 0
+        assert np.allclose(got[k]["w"], plain_logistic(x[on], y[on]), atol=1e-6)
+
+
 def test_rows_with_nulls_and_keys_of_one_class(spark):
     rows = [("one", True, [1.0]), ("one", True, [2.0]), ("two", True, [1.0]), ("two", False, [0.0]), ("two", None, [5.0]), ("two", True, None), ("two", False, [None])]
     train = spark.createDataFrame(rows, "config string, y boolean, x array<double>")
