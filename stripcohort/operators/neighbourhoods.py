@@ -7,15 +7,18 @@ rows where they are, and a chain of filters is one shuffle. Two forms cover ever
   border, derivatives, resampling; weights of several results go through one pass;
 - `around` gives a pixel its neighbours out of the image as one array, by steps: kernels that aren't separable.
 
-Both are joins or explodes and sums that Spark compiles; no Python runs on rows. Kernels and matrices are made from
+Both are joins or explodes and sums that Spark compiles. Banks of wide kernels, which would give a pixel hundreds of rows, are
+matrix products on images as arrays instead (`by_arrays`). Kernels and matrices are made from
 their parameters on the driver, and are as large as an axis times a kernel.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,6 +157,29 @@ def as_array(image: DataFrame, *more: Column | str) -> DataFrame:
     return placed(by_image(image).groupBy("image_id").agg(whole.getField("value").alias("pixels"), *more))
 
 
+def by_arrays(image: DataFrame, height: int, width: int | None, f: Callable[[np.ndarray], np.ndarray], names: tuple[str, ...] = ("value",), at_once: int = 16) -> DataFrame:
+    """image_id, row, col and names: what f makes of a stack of images (n, height, width), a stack per name; without a width, an image
+    is as wide as its values make it. A task holds few images' stacks at a time; the images are placed anew as arrays."""
+    arrays = as_array(image)
+    kind = arrays.schema["image_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("pixels").value_lengths().to_numpy()
+            # stacks of images of one size
+            starts = [i for i in range(batch.num_rows) if i == 0 or sizes[i] != sizes[i - 1]] + [batch.num_rows]
+            for start, stop in ((i, min(i + at_once, b)) for a, b in zip(starts, starts[1:], strict=False) for i in range(a, b, at_once)):
+                part = batch.slice(start, stop - start)
+                made = f(part.column("pixels").flatten().to_numpy().reshape(part.num_rows, height, -1)).reshape(len(names), -1)
+                ends = pa.array(np.arange(part.num_rows + 1) * int(sizes[start]), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("image_id"), *[pa.ListArray.from_arrays(ends, pa.array(m, pa.float64())) for m in made]], names=["image_id", *names])
+
+    made = by_image(arrays.mapInArrow(run, f"image_id {kind}, " + ", ".join(f"{n} array<double>" for n in names)))
+    across = F.expr(f"size({names[0]}) div {height}").cast("int") if width is None else F.lit(width)
+    each = made.select("image_id", across.alias("_n"), F.posexplode(F.arrays_zip(*names)).alias("_i", "_v"))
+    return placed(each.select("image_id", F.expr("_i div _n").cast("int").alias("row"), (F.col("_i") % F.col("_n")).cast("int").alias("col"), *[F.col("_v").getField(n).alias(n) for n in names]))
+
+
 def around(image: DataFrame, height: int, width: int, steps: list[tuple], border: str) -> DataFrame:
     """image_id, row, col, and for every step (rows, columns, weight, ...) of every place: middle and value (the place's and the neighbour's), step (its number), w0, w1, ...
 
@@ -196,12 +222,21 @@ def gabor_kernels(size: int = 21, sigma: float = 4.0, wave: float = 10.0, aspect
 
 
 def oriented(image: DataFrame, height: int, width: int, kernels: list[tuple] | None = None) -> DataFrame:
-    """image_id, row, col, value: the largest absolute answer of a bank of kernels, all in one pass; borders mirrored."""
+    """image_id, row, col, value: the largest absolute answer of a bank of kernels, all in one product; borders mirrored."""
     kernels = kernels or gabor_kernels()
-    n = len(kernels[0]) - 2
-    answers = around(image, height, width, kernels, "mirror").groupBy(*PLACE).agg(*[F.abs(F.sum(F.col("value") * F.col(f"w{j}"))).alias(f"a{j}") for j in range(n)])
-    most = F.greatest(*[f"a{j}" for j in range(n)]) if n > 1 else F.col("a0")
-    return placed(answers.select(*PLACE, most.alias("value")))
+    tall, wide = (max(abs(k[i]) for k in kernels) for i in (0, 1))
+    down, across = ([folded(i, n, "mirror") for i in range(-m, n + m)] for n, m in ((height, tall), (width, wide)))
+    weights = np.array([k[2:] for k in kernels]).T
+
+    def answers(images: np.ndarray) -> np.ndarray:
+        framed = images[:, down][:, :, across]
+        out = np.empty(images.shape)
+        for n, one in enumerate(framed):
+            shifted = np.stack([one[tall + r : tall + r + height, wide + c : wide + c + width].ravel() for r, c, *_ in kernels])
+            out[n] = np.abs(weights @ shifted).max(axis=0).reshape(height, width)
+        return out
+
+    return by_arrays(image, height, width, answers)
 
 
 def second_derivatives(size: int, sigma: float) -> dict[str, np.ndarray]:
@@ -217,18 +252,23 @@ def vesselness(image: DataFrame, height: int, width: int, sigmas: tuple[float, .
     """image_id, row, col, value of an image 0..255: the largest answer over scales of exp(-(l1/l2)^2 / 2 beta^2) (1 - exp(-(l1^2 + l2^2) / 2 c^2)).
 
     l1 and l2 are the eigenvalues, by rising size, of the second derivatives of value / 255, turned so that bright ridges
-    count, l2 in the quotient 1e-10 at least. All scales and derivatives go through one pass per axis.
+    count, l2 in the quotient 1e-10 at least.
     """
-    of = lambda size: {n: [second_derivatives(size, s)[n] for s in sigmas] for n in ("gg", "dg", "gd", "dd")}
-    unit = placed(by_image(image).select(*PLACE, (F.col("value") / 255.0).alias("value")))
-    wide = along(unit, "col", of(width), {"gg": ("value", "gg"), "dg": ("value", "dg"), "dd": ("value", "dd")})
-    both = along(wide, "row", of(height), {"rr": ("gg", "dd"), "rc": ("dg", "gd"), "cc": ("dd", "gg")})
-    mean, root = -(F.col("rr") + F.col("cc")) / 2, F.sqrt(F.pow(F.col("rr") - F.col("cc"), 2) / 4 + F.col("rc") * F.col("rc"))
-    pair = both.select(*PLACE, (mean - root).alias("a"), (mean + root).alias("b"))
-    small, large = (F.when((F.abs("a") <= F.abs("b")) == first, F.col("a")).otherwise(F.col("b")) for first in (True, False))
-    answer = F.exp(-F.pow(F.abs("l1") / F.greatest("l2", F.lit(1e-10)), 2) / (2 * beta * beta)) * (1 - F.exp(-(F.col("l1") * F.col("l1") + F.col("l2") * F.col("l2")) / (2 * c * c)))
-    sized = pair.select(*PLACE, small.alias("l1"), large.alias("l2"))
-    return placed(sized.groupBy(*PLACE).agg(F.max(answer).alias("value")))
+    across, down = ([second_derivatives(size, s) for s in sigmas] for size in (width, height))
+
+    def answers(images: np.ndarray) -> np.ndarray:
+        unit, most = images / 255.0, np.full(images.shape, -np.inf)
+        for x, y in zip(across, down, strict=True):
+            rr, rc, cc = y["dd"] @ (unit @ x["gg"].T), y["gd"] @ (unit @ x["dg"].T), y["gg"] @ (unit @ x["dd"].T)
+            mean, root = -(rr + cc) / 2, np.sqrt((rr - cc) ** 2 / 4 + rc * rc)
+            a, b = mean - root, mean + root
+            first = np.abs(a) <= np.abs(b)
+            l1, l2 = np.where(first, a, b), np.where(first, b, a)
+            answer = np.exp(-((np.abs(l1) / np.maximum(l2, 1e-10)) ** 2) / (2 * beta * beta)) * (1 - np.exp(-(l1 * l1 + l2 * l2) / (2 * c * c)))
+            most = np.maximum(most, answer)
+        return most
+
+    return by_arrays(image, height, width, answers)
 
 
 def circle_steps(points: int, radius: float) -> list[tuple[float, float]]:
@@ -270,33 +310,29 @@ def ellipse(size: int) -> list[tuple[int, int]]:
     return [(d, round(r * math.sqrt(max(1 - d * d / (r * r), 0)))) for d in range(-r, r + 1)]
 
 
-def _extremes(image: DataFrame, sizes: tuple[int, ...], height: int, up: str, down: str) -> DataFrame:
-    """image_id, size, row, col, hi, lo: the largest of column `up` and the least of `down` under each footprint; places beyond the border
-    don't count. Along a row from the row as an array, between rows by an explode. A column size of the image meets its own footprint."""
-    keys = ["image_id", "row"] + (["size"] if "size" in image.columns else [])
-    lines = image.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("col", up, down))).alias("_l"))
-    lines = lines.select(*keys, F.col("_l").getField(up).alias("_up"), F.col("_l").getField(down).alias("_down"))
-    at = lines.select(*keys, "_up", "_down", F.posexplode("_up").alias("col", "_"))
-    # a row per reach of a footprint, with its own extremes, then one per step that has this reach
-    foot = [(n, x, [d for d, y in ellipse(n) if y == x]) for n in sizes for x in sorted({y for _, y in ellipse(n)})]
-    listed = F.expr("array(" + ", ".join(f"struct({n} as to_size, {x} as reach, array({', '.join(map(str, ds))}) as steps)" for n, x, ds in foot) + ")")
-    wide = at.select(*keys, "_up", "_down", "col", F.inline(listed))
-    if "size" in image.columns:
-        wide = wide.filter(F.col("size") == F.col("to_size"))
-    first = F.greatest(F.lit(0), F.col("col") - F.col("reach"))
-    cut = lambda c: F.slice(c, first + 1, F.col("col") + F.col("reach") - first + 1)
-    ends = wide.select("image_id", "row", "col", "to_size", "steps", F.array_max(cut("_up")).alias("hi"), F.array_min(cut("_down")).alias("lo"))
-    sent = ends.select("image_id", "to_size", "row", "col", "hi", "lo", F.explode("steps").alias("_d")).withColumn("row", F.col("row") - F.col("_d"))
-    inside = sent.filter(F.col("row").between(0, height - 1))
-    return placed(inside.groupBy("image_id", F.col("to_size").alias("size"), "row", "col").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo")))
+def _largest(images: np.ndarray, size: int) -> np.ndarray:
+    """The largest value under a footprint, of a stack of images; places beyond the border don't count."""
+    n, height, width = images.shape
+    r = size // 2
+    framed = np.full((n, height + 2 * r, width + 2 * r), -np.inf)
+    framed[:, r : r + height, r : r + width] = images
+    reach, along_row = {0: framed[:, :, r : r + width]}, framed[:, :, r : r + width]
+    for x in range(1, r + 1):
+        along_row = np.maximum(along_row, np.maximum(framed[:, :, r - x : r - x + width], framed[:, :, r + x : r + x + width]))
+        reach[x] = along_row
+    return np.max([reach[x][:, r + d : r + d + height] for d, x in ellipse(size)], axis=0)
 
 
 def hats(image: DataFrame, height: int, scales: tuple[int, ...] = SCALES) -> DataFrame:
-    """image_id, size, row, col, closed, opened: the image's closing and opening under each footprint, all in two passes."""
-    once = by_image(image).select(*PLACE, "value", F.col("value").alias("_same"))
-    grown = _extremes(once, scales, height, "value", "_same")
-    back = _extremes(grown, scales, height, "lo", "hi")  # the openings are the largest of the least
-    return placed(back.select("image_id", "size", "row", "col", F.col("lo").alias("closed"), F.col("hi").alias("opened")))
+    """image_id, size, row, col, closed, opened: the image's closing and opening under each footprint, all in one pass."""
+    kind = image.schema["value"].dataType
+    names = tuple(f"{n}_{s}" for s in scales for n in ("closed", "opened"))
+
+    def both(images: np.ndarray) -> np.ndarray:
+        return np.stack([sign * -_largest(-_largest(sign * images, s), s) for s in scales for sign in (1, -1)])
+
+    each = by_arrays(image, height, None, both, names).select(*PLACE, F.inline(F.array(*[F.struct(F.lit(s).alias("size"), F.col(f"closed_{s}").cast(kind).alias("closed"), F.col(f"opened_{s}").cast(kind).alias("opened")) for s in scales])))
+    return placed(each.select("image_id", "size", "row", "col", "closed", "opened"))
 
 
 def fine_structures(image: DataFrame, height: int, scales: tuple[int, ...] = SCALES, mode: str = "both") -> DataFrame:

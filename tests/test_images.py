@@ -71,6 +71,21 @@ def test_oriented_kernels_and_gradients_equal_plain_sums(spark):
     assert got[2].max() < 1e-8  # kernels have no mean
 
 
+def test_banks_of_kernels_make_no_row_per_weight(spark):
+    image = frame(spark, {1: noise(24, 31)})
+    for made in (neighbourhoods.oriented(image, 24, 31), neighbourhoods.vesselness(image, 24, 31), neighbourhoods.hats(image, 24)):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "_up" not in plan and plan.count("MapInArrow") == 1
+    # images of two widths in one table
+    both = {1: noise(17, 22), 2: noise(17, 9, 3)}
+    rows = frame(spark, {1: both[1]}).unionByName(frame(spark, {2: both[2]}))
+    got = {(r["image_id"], r["row"], r["col"]): (r["closed"], r["opened"]) for r in neighbourhoods.hats(rows, 17, (3,)).collect()}
+    assert len(got) == 17 * 31
+    for k, v in both.items():
+        alone = {(k, r["row"], r["col"]): (r["closed"], r["opened"]) for r in neighbourhoods.hats(frame(spark, {k: v}), 17, (3,)).collect()}
+        assert alone.items() <= got.items() and all(c >= v[i, j] >= o for (_, i, j), (c, o) in alone.items())
+
+
 def test_vesselness_finds_bright_lines_only(spark):
     v = np.full((40, 40), 60)
     v[:, 20] = 200
