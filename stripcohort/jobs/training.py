@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stripcohort.operators import comparison, learners, metrics, neighbourhoods, photometric, prefix, rules, small_models
+from stripcohort.operators import comparison, learners, metrics, neighbourhoods, perceptrons, photometric, prefix, rules, small_models
 from stripcohort.sources import shared, views
 
 QUERIES: dict = {}
@@ -32,12 +32,13 @@ def _measured(found: DataFrame, keys: list[str]) -> DataFrame:
 
 @query
 def c10_cross_validated(spark: SparkSession, d: str) -> DataFrame:
-    """Three learners over five folds, with every fold's metrics and AUC; the logistic models of all folds are one batch."""
-    rows = _rows(spark, d)
-    heavy = {n: learners.LEARNERS[n]() for n in ("forest", "perceptron")}
-    found = learners.cross_validated(rows, heavy).select("clf", "fold", "y", "score", "pred")
-    light = small_models.cross_validated(rows.withColumnRenamed("features", "x"), [])
-    return _measured(found.unionByName(light.select(F.lit("logistic").alias("clf"), "fold", "y", "score", "pred")), ["clf", "fold"])
+    """Three learners over five folds, with every fold's metrics and AUC; the logistic models of all folds are one batch, and so are the perceptrons."""
+    rows = shared.durable(_rows(spark, d))
+    found = learners.cross_validated(rows, {"forest": learners.forest()}).select("clf", "fold", "y", "score", "pred")
+    long = rows.withColumnRenamed("features", "x")
+    for name, batch in (("logistic", small_models.cross_validated(long, [])), ("perceptron", perceptrons.cross_validated(long))):
+        found = found.unionByName(batch.select(F.lit(name).alias("clf"), "fold", "y", "score", "pred"))
+    return _measured(found, ["clf", "fold"])
 
 
 @query

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.feature import ElementwiseProduct, StandardScaler
@@ -43,10 +44,10 @@ def perceptron(hidden: tuple[int, ...] = (100, 50), steps: int = 100, seed: int
 LEARNERS: dict[str, Callable[[], Learner]] = {"logistic": logistic, "forest": forest, "perceptron": perceptron}
 
 
-def held(rows: DataFrame, per_part: int = 10_000, least: int = 1000) -> DataFrame:
-    """rows kept for the many passes of a fit (the caller lets go of them), in no more partitions than their number asks for: a fit is hundreds of small jobs."""
-    n = rows.count()
-    parts = max(min(rows.sparkSession.sparkContext.defaultParallelism, n // least), n // per_part) + 1
+def held(rows: DataFrame, per_part: int = 10_000) -> DataFrame:
+    """rows kept for the many passes of a fit (the caller lets go of them), in no more partitions than their number asks for, nor than tasks can run:
+    a task of a forest gives the histograms of all nodes, however few its rows, so what is shuffled grows with the partitions."""
+    parts = min(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // per_part + 1)
     return rows.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -93,9 +94,12 @@ def cross_validated(rows: DataFrame, learners: dict[str, Learner], fold: str = "
         other = tests.join(rows.select("id", fold, "y"), "id")
         asked = ready.withColumn("condition", F.lit("clean")).unionByName(vectors(other), allowMissingColumns=True)
     out = [_empty(asked, keep).select(F.lit("").alias("clf"), *keep, "score", "pred")]
+    # folds are fitted side by side, since a fit's jobs are small
+    with ThreadPool(k) as pool:
+        models = pool.map(inheritable_thread_target(rows.sparkSession)(lambda f: fitted(ready.filter(F.col(fold) != f), learners)), range(k))
     for f in range(k):
-        train, test = ready.filter(F.col(fold) != f), asked.filter(F.col(fold) == f)
-        for name, model in fitted(train, learners).items():
+        test = asked.filter(F.col(fold) == f)
+        for name, model in models[f].items():
             out.append(scored(model, test, keep).select(F.lit(name).alias("clf"), *keep, "score", "pred"))
     found = durable(reduce(DataFrame.unionByName, out))
     ready.unpersist()
