@@ -186,6 +186,23 @@ def test_strips_that_correlate_below_the_threshold_are_no_candidates(spark):
     assert tail(most) <= 1e-6 < tail(most - 1)
 
 
+def test_vectors_are_centred_in_one_pass_and_constant_ones_take_no_part(spark, monkeypatch):
+    rows = [(i, [c] * 3) for i, c in enumerate((0.1, 0.3, 0.7, 1.1, 4.9))]  # three times 0.1, divided by 3, isn't 0.1
+    rows += [(10, [1.0, 2.0, 4.0]), (11, [3.0, 5.0, 9.0]), (12, [1.0, None, 4.0]), (13, [4.0, 2.0, 1.0]), (14, None), (15, [])]
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return shared.durable(df)
+
+    monkeypatch.setattr(similar, "durable", kept)
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = similar.near_pairs(df.select("id", F.transform("v", lambda x: x * 1).alias("v"))).collect()
+    assert [(r["a"], r["b"]) for r in got] == [(10, 11)] and got[0]["r"] == pytest.approx(1)
+    # a mean inside a lambda would be taken for each component
+    assert "aggregate(" not in plans[0]
+
+
 def test_features_are_reused_by_content_and_parameters(spark, tmp_path):
     rows = spark.createDataFrame([(i, i % 7) for i in range(50)], "id int, v int")
     calls = []
