@@ -187,7 +187,7 @@ def test_strips_that_correlate_below_the_threshold_are_no_candidates(spark):
 
 
 def test_vectors_are_centred_in_one_pass_and_constant_ones_take_no_part(spark, monkeypatch):
-    rows = [(i, [c] * 3) for i, c in enumerate((0.1, 0.3, 0.7, 1.1, 4.9))]  # three times 0.1, divided by 3, isn't 0.1
+    rows = [(i, [c] * 3) for i, c in enumerate((0.1, 0.2, 0.4, 0.7, 1.1))]  # three times 0.1, 0.2 or 0.4, divided by 3, is more
     rows += [(10, [1.0, 2.0, 4.0]), (11, [3.0, 5.0, 9.0]), (12, [1.0, None, 4.0]), (13, [4.0, 2.0, 1.0]), (14, None), (15, [])]
     plans = []
 
