@@ -164,7 +164,8 @@ def mixed_pieces(docs: DataFrame, block_words: int = 64, **options: object) -> D
     """The mix itself: shard, source, block, pass, doc_id, first, n: which words of which document each block of each shard holds."""
     placed, slots = mix(docs, block_words, **options)
     held = pieces(placed, block_words)
-    joined = held.withColumnRenamed("source", "s").join(slots, F.col("s").eqNullSafe(F.col("source")) & (held["block"] == slots["block"]))
+    # shuffled by hint: Spark judges exploded rows by the few bytes that they came from, and would broadcast all slots
+    joined = held.withColumnRenamed("source", "s").join(slots.hint("merge"), F.col("s").eqNullSafe(F.col("source")) & (held["block"] == slots["block"]))
     return joined.select("shard", "source", slots["block"].alias("block"), "pass", "doc_id", "first", "n")
 
 
@@ -178,7 +179,8 @@ def taken(docs: DataFrame, block_words: int = 64, **options: object) -> DataFram
     placed = durable(placed)
     times = slots.groupBy(F.col("source").alias("s"), F.col("block").alias("b")).agg(F.count(F.lit(1)).alias("times"))
     held = pieces(placed, block_words)
-    got = held.join(times, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
+    # shuffled by hint, as in mixed_pieces()
+    got = held.join(times.hint("merge"), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
     per = got.groupBy("doc_id", "source", "size", "at", "source_size", "target").agg(F.sum(F.col("n") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
     none = placed.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
     return per.unionByName(none).select("doc_id", "source", "size", "source_size", "target", "taken")
