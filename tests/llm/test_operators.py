@@ -161,16 +161,31 @@ def test_mixing_meets_targets(spark, odd, none):
     assert (a.set_index("doc_id")["taken"].reindex(held.index) == held).all()
 
 
+def joins_of_blocks(mixed):
+    """Lines of the plan that ran: joins by a block's number."""
+    mixed.collect()
+    return [line for line in mixed._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "block#" in line]
+
+
 def test_mixing_broadcasts_no_blocks(spark):
     """Slots come from a few rows, by which Spark would judge them to be few: the driver held a row for each block of the corpus."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     for got in (mixing.taken(docs), mixing.mixed_pieces(docs)):
-        got.collect()
-        plan = got._jdf.queryExecution().executedPlan().toString()
-        joins = [line for line in plan.splitlines() if "Join" in line and "block#" in line]
+        joins = joins_of_blocks(got)
         assert joins and not any("Broadcast" in line for line in joins), joins
 
 
+def test_pipeline_mix_broadcasts_no_blocks(spark):
+    """Stage 5 over what the stages before it give to it."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    kept = corpus_pipeline.drop_contaminated(spark, corpus_pipeline.drop_lines(spark, docs, DATA), DATA)
+    name, stage = corpus_pipeline.STAGES[-1]
+    joins = joins_of_blocks(stage(spark, kept, DATA))
+    assert name == "mixing" and joins and not any("Broadcast" in line for line in joins), joins
+
+
 def test_permutation_is_one_and_spreads(spark):
     for n in (1, 2, 3, 7, 100, 4097, 100_000):
         rows = spark.range(n).withColumn("n", F.lit(n).cast("long"))
